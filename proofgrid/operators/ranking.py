@@ -68,21 +68,20 @@ def first_per_group(df: DataFrame, group: list[str], order: list[Column]) -> Dat
     return df.groupBy(*group).agg(first).select(*group, "_first.*").select(*df.columns)
 
 
-def order_statistics(df: DataFrame, key: str, ranks: list[int], digits: int = 3) -> list[str]:
-    """The values of a uniform hex key at some 0-based ranks.
+def order_statistic(df: DataFrame, key: str, rank: int, small: int = 4096) -> str:
+    """The value at a 0-based rank of a uniform hex key, found by leading digits.
 
-    Counts per leading hex digits locate the bucket of each rank; only that bucket is
-    sorted. The driver sees at most ``16**digits`` counts and one value per rank.
+    Each pass counts rows by three more digits and keeps one bucket, until the bucket is
+    small enough to sort. The driver sees at most 4096 counts per pass.
     """
-    prefix = F.substring(key, 1, digits)
-    counts = sorted((r["b"], r["n"]) for r in df.groupBy(prefix.alias("b")).agg(F.count("*").alias("n")).collect())
-    found = []
-    for rank in ranks:
-        before = 0
-        for bucket, n in counts:
-            if rank < before + n:
+    near, width = df.select(key), 3
+    while True:
+        prefix = F.substring(key, 1, width)
+        counts = near.groupBy(prefix.alias("b")).agg(F.count("*").alias("n")).collect()
+        for bucket, n in sorted((r["b"], r["n"]) for r in counts):
+            if rank < n:
                 break
-            before += n
-        near = df.filter(prefix == bucket).select(key).orderBy(key).limit(rank - before + 1)
-        found.append(near.agg(F.max(key)).first()[0])
-    return found
+            rank -= n
+        near, width = near.filter(prefix == bucket), width + 3
+        if n <= small:
+            return near.orderBy(key).limit(rank + 1).agg(F.max(key)).first()[0]
