@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from proofgrid.functions.keys import SPACE
 
@@ -14,7 +15,7 @@ from proofgrid.functions.keys import SPACE
 INERT = "^[\\x00-\\x7f\\u00c0-\\u00ff]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatibility_form(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

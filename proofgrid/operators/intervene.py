@@ -6,7 +6,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions import keys
@@ -168,21 +169,46 @@ def run(
     return scored.drop("_perturbed", "_smooth", "values", "mask")
 
 
+def stored_rows(spark: SparkSession, store: str) -> DataFrame | None:
+    """The rows of a parquet folder, or None before the first run."""
+    try:
+        return spark.read.parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+PROVENANCE = ["target_text", "model_revision", "adapter_revision"]
+
+
 def run_and_append(
     items: DataFrame, scorer: Callable[[Column], Column], width: int, store: str, design: Design = Design()
 ) -> DataFrame:
     """Append what is missing in the parquet folder ``store``; return all of it."""
-    spark = items.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    stored = spark.read.parquet(store) if exists else None
+    stored = stored_rows(items.sparkSession, store)
     if stored is not None:
         gates.enforce(gates.repeated_keys(stored, "intervention_id"), "duplicate intervention ids in stored results")
-        fields = ["target_text", "model_revision", "adapter_revision"]
-        changed = gates.changed_provenance(items.select("item_id", *fields), stored, ["item_id"], fields)
+        now = items.select("item_id", *PROVENANCE)
+        changed = gates.changed_provenance(now, stored, ["item_id"], PROVENANCE)
         gates.enforce(changed.select("item_id"), "target or model changed beneath stored interventions")
     run(items, scorer, width, design, stored).write.mode("append").parquet(store)
-    return spark.read.parquet(store)
+    return items.sparkSession.read.parquet(store)
+
+
+def reconcile_maps(current: DataFrame, stored: DataFrame, fields: list[str]) -> DataFrame:
+    """The manifest of maps (``item_id, method, path, sha256`` and ``fields``) with a state per row.
+
+    ``new`` rows are to be computed, ``kept`` rows are as stored, ``changed`` rows must
+    stop the run.
+    """
+    key = ["item_id", "method"]
+    old = stored.select(*key, *[F.col(f).alias(f"_{f}") for f in ["sha256", *fields]], F.lit(True).alias("_stored"))
+    same = F.lit(True)
+    for f in ["sha256", *fields]:
+        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+    state = F.when(F.col("_stored").isNull(), "new").when(same, "kept").otherwise("changed")
+    return current.join(old, key, "left").select(*key, "path", "sha256", state.alias("state"))
 
 
 def level_effects(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from proofgrid.functions import answers, tokens
 from proofgrid.functions.stem import stemmed
@@ -31,19 +32,13 @@ def ngram_overlap(rows: DataFrame, key: list[str], reference: Column, prediction
 
     Both sides are exploded together and counted by (key, n, gram): linear in the tokens.
     """
-    grams = lambda t, ref: F.concat(
-        *[
-            F.transform(
-                tokens.ngrams(t, n),
-                lambda g, n=n: F.struct(
-                    F.lit(n).alias("n"), g.alias("gram"), F.lit(int(ref)).alias("r"), F.lit(int(not ref)).alias("p")
-                ),
-            )
-            for n in orders
-        ]
-    )
+    def cells_of(t: Column, n: int, r: int, p: int) -> Column:
+        cell = lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(r).alias("r"), F.lit(p).alias("p"))
+        return F.transform(tokens.ngrams(t, n), cell)
+
+    both = [cells_of(F.col("_ref"), n, 1, 0) for n in orders] + [cells_of(F.col("_pred"), n, 0, 1) for n in orders]
     listed = rows.select(*key, reference.alias("_ref"), prediction.alias("_pred"))
-    spread = listed.select(*key, F.inline_outer(F.concat(grams(F.col("_ref"), True), grams(F.col("_pred"), False))))
+    spread = listed.select(*key, F.inline_outer(F.concat(*both)))
     counted = spread.groupBy(*key, "n", "gram").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
     cells = []
     for n in orders:
@@ -170,7 +165,7 @@ def _lcs(a, b) -> int:
     return len(a) - open_.bit_count()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int64")
 
