@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import keys
 from proofgrid.operators import gates, saliency
+from proofgrid.session import together
 
 RANDOM_MAP = "random_map"
 GREY = 127.0  # fixed value of the grey replacement
@@ -41,20 +43,17 @@ class Design:
         return deletions + ([("insertion", "blur_baseline")] if self.insertion and method != RANDOM_MAP else [])
 
 
+CELL = "array<struct<method string, fraction double, mode string, repeat int, uses array<struct<intervention string, treatment string>>>>"
+
+
 def _cells(design: Design) -> Column:
     """The fixed grid as an array literal, so that it is exploded inside a row and never joined."""
-    cells = []
-    for method, fraction, mode, repeat in design.masks():
-        uses = F.array(*[
-            F.struct(F.lit(i).alias("intervention"), F.lit(t).alias("treatment")) for i, t in design.uses(method)
-        ])
-        cells.append(
-            F.struct(
-                F.lit(method).alias("method"), F.lit(fraction).alias("fraction"), F.lit(mode).alias("mode"),
-                F.lit(repeat).alias("repeat"), uses.alias("uses"),
-            )
-        )
-    return F.array(*cells)
+    cells = [
+        {"method": m, "fraction": f, "mode": mode, "repeat": r,
+         "uses": [{"intervention": i, "treatment": t} for i, t in design.uses(m)]}
+        for m, f, mode, r in design.masks()
+    ]
+    return F.from_json(F.lit(json.dumps(cells)), CELL)
 
 
 def mask_seed(design: Design) -> Column:
@@ -99,17 +98,14 @@ def smoothed(values: Column, width: int, sigma: float = 1.0, radius: int = 1) ->
     return F.transform(values, lambda v, i: around(i))
 
 
-def deleted(values: Column, replacement: Column, mask: Column) -> Column:
-    """Masked patches replaced, the others as they were."""
-    return F.zip_with(
-        F.transform(values, lambda v, i: F.when(~F.array_contains(mask, i), v)), replacement,
-        lambda kept, other: F.coalesce(kept, other),
-    )
+def deleted(values: Column, replacement: Callable[[Column], Column], mask: Column) -> Column:
+    """Masked patches replaced by ``replacement(patch number)``, the others as they were."""
+    return F.transform(values, lambda v, i: F.when(F.array_contains(mask, i), replacement(i)).otherwise(v))
 
 
 def inserted(values: Column, baseline: Column, mask: Column) -> Column:
     """The baseline with the masked patches restored."""
-    return deleted(baseline, values, mask)
+    return deleted(baseline, lambda i: F.get(values, i), mask)
 
 
 def linear_scorer(weight: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -126,16 +122,17 @@ def mask_table(items: DataFrame, design: Design = Design()) -> DataFrame:
     """One row per mask with its patch numbers and its uses.
 
     ``items``: ``item_id, values, maps`` and whatever else is to be kept, where ``maps``
-    is ``map<method, array>``. Patches are ranked once per map, not once per level.
+    is ``map<method, array>``. Items are shuffled once, before they grow, so what follows
+    stays partitioned by item. Patches are ranked once per map, not once per level.
     """
     ranked = F.transform_values("maps", lambda m, v: saliency.ranked_patches(v))
-    cells = items.withColumn("_ranked", ranked).select("*", F.inline(_cells(design)))
+    cells = together(items, "item_id").withColumn("_ranked", ranked).select("*", F.inline(_cells(design)))
     control_seed = keys.stable_seed(F.lit(design.seed), F.col("item_id"), F.lit(RANDOM_MAP), F.col("repeat"))
     control = saliency.ranked_patches(saliency.random_map(F.col("values"), control_seed))
     order = F.when(F.col("method") == RANDOM_MAP, control).otherwise(F.try_element_at("_ranked", F.col("method")))
     random_order = F.when(F.col("mode") == "random", saliency.shuffled_patches(F.col("values"), mask_seed(design)))
     size = saliency.mask_size(F.col("values"), F.col("fraction"))
-    mask = saliency.patch_mask(order, random_order, F.col("mode"), size)
+    mask = saliency.patch_mask(order, random_order, F.col("mode"), F.size("values"), size)
     return cells.withColumn("mask", mask).drop("_ranked", "maps")
 
 
@@ -146,24 +143,27 @@ def run(
     """Score every intervention that is not stored yet.
 
     ``items``: one row per item with ``item_id, source_img_id, target_text,
-    model_revision, adapter_revision, values, maps``. Without stored rows the whole grid
-    is exploded inside each item's row, and nothing is shuffled. With stored rows, the
-    grid's ids are compared first and only what is left meets the arrays again.
+    model_revision, adapter_revision, values, maps``. The grid is exploded inside each
+    item's row, where stored ids (at most one grid per item) are left out. The result is
+    partitioned by item, so the reduction to effects shuffles nothing.
     """
     values = F.transform("values", lambda v: v.cast("double"))
     ready = items.withColumn("values", values)
+    if stored is not None:
+        done = stored.groupBy("item_id").agg(F.collect_list("intervention_id").alias("_done"))
+        ready = ready.join(done, "item_id", "left")
     ready = ready.withColumn("_smooth", smoothed(F.col("values"), width)).withColumn(
         "original_fixed_answer_mean_logprob", scorer(F.col("values"))
     )
     cells = _with_ids(mask_table(ready, design).select("*", F.inline("uses")).drop("uses"))
     if stored is not None:
-        left = pending(grid(items.select("item_id"), design), stored).select("intervention_id")
-        cells = cells.join(left, "intervention_id", "left_semi")
-    grey = F.transform("values", lambda v: F.lit(GREY))
+        known = F.coalesce(F.array_contains("_done", F.col("intervention_id")), F.lit(False))
+        cells = cells.filter(~known).drop("_done")
+    smooth = F.col("_smooth")
     perturbed = (
-        F.when(F.col("intervention") == "insertion", inserted(F.col("values"), F.col("_smooth"), F.col("mask")))
-        .when(F.col("treatment") == "gray", deleted(F.col("values"), grey, F.col("mask")))
-        .otherwise(deleted(F.col("values"), F.col("_smooth"), F.col("mask")))
+        F.when(F.col("intervention") == "insertion", inserted(F.col("values"), smooth, F.col("mask")))
+        .when(F.col("treatment") == "gray", deleted(F.col("values"), lambda i: F.lit(GREY), F.col("mask")))
+        .otherwise(deleted(F.col("values"), lambda i: F.get(smooth, i), F.col("mask")))
     )
     scored = cells.withColumn("_perturbed", perturbed).withColumn("fixed_answer_mean_logprob", scorer(F.col("_perturbed")))
     return scored.drop("_perturbed", "_smooth", "values", "mask")
@@ -220,8 +220,8 @@ def level_effects(rows: DataFrame) -> DataFrame:
     score = F.col("fixed_answer_mean_logprob")
     is_ = lambda mode: F.col("mode") == mode
     kept = rows.filter((F.col("intervention") == "deletion") & (F.col("method") != RANDOM_MAP))
-    grouped = kept.groupBy("item_id", "method", "treatment", "fraction").agg(
-        F.min("source_img_id").alias("source_img_id"),
+    # The source follows from the item; as a key it keeps the aggregate a hash aggregate.
+    grouped = kept.groupBy("item_id", "source_img_id", "method", "treatment", "fraction").agg(
         F.count_if(is_("targeted")).alias("_targeted"),
         F.count_if(is_("random")).alias("_random"),
         F.max(F.when(is_("targeted"), score)).alias("targeted_fixed_answer_mean_logprob"),
@@ -237,17 +237,14 @@ def level_effects(rows: DataFrame) -> DataFrame:
 
 def item_effects(levels: DataFrame, nested: bool = False) -> DataFrame:
     """Mean effect over the levels of each item, method and treatment; optionally with the levels nested."""
-    cells = [
-        F.min("source_img_id").alias("source_img_id"),
-        F.avg("targeted_deletion_effect").alias("mean_targeted_deletion_effect"),
-    ]
+    cells = [F.avg("targeted_deletion_effect").alias("mean_targeted_deletion_effect")]
     if nested:  # as many entries as the design has levels
         level = F.struct(
             "fraction", "targeted_fixed_answer_mean_logprob", "random_fixed_answer_mean_logprob",
             "targeted_deletion_effect",
         )
         cells.append(F.sort_array(F.collect_list(level)).alias("per_level"))
-    return levels.groupBy("item_id", "method", "treatment").agg(*cells)
+    return levels.groupBy("item_id", "source_img_id", "method", "treatment").agg(*cells)
 
 
 def insertion_auc(rows: DataFrame) -> DataFrame:

@@ -57,13 +57,11 @@ def shuffled_patches(values: Column, seed: Column) -> Column:
     return F.transform(F.sort_array(drawn), lambda p: p["i"])
 
 
-def patch_mask(ranked: Column, shuffled: Column, mode: Column, size: Column) -> Column:
+def patch_mask(ranked: Column, shuffled: Column, mode: Column, patches: Column, size: Column) -> Column:
     """The masked patch numbers in ascending order: most salient, least salient or random."""
-    top = F.slice(ranked, F.size(ranked) - size + 1, size)
-    picked = F.when(mode == "targeted", top).when(mode == "least_salient", F.slice(ranked, 1, size)).when(
-        mode == "random", F.slice(shuffled, 1, size)
-    )
-    return F.sort_array(picked)
+    start = F.when(mode == "targeted", patches - size + 1).otherwise(1)
+    order = F.when(mode == "random", shuffled).when(mode.isin("targeted", "least_salient"), ranked)
+    return F.sort_array(F.slice(order, start, size))
 
 
 def random_map(values: Column, seed: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType
 
 from proofgrid.functions import answers, tokens
 from proofgrid.functions.stem import stemmed
+from proofgrid.session import together
 
 # Fixed values of the published metrics.
 BLEU_ORDER = 4
@@ -23,10 +24,6 @@ METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 METRICS = ["exact_match", "bleu", "rouge1", "rouge2", "rougeL", "meteor"]
 
 
-def _by_key(rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.repartition(*key)
-
-
 def ngram_overlap(rows: DataFrame, key: list[str], reference: Column, prediction: Column, orders: range) -> DataFrame:
     """Per key and n: clipped matches and the n-gram counts of both sides (``m1, r1, p1, ...``).
 
@@ -64,21 +61,25 @@ def sentence_bleu_value() -> Column:
     return F.when(F.col("m1") == 0, 0.0).otherwise(score)
 
 
+def _normal_tokens(rows: DataFrame, key: list[str], reference: str, prediction: str) -> DataFrame:
+    """Tokens of both normalised answers; Spark forgets a partitioning at a Python function, so that comes first."""
+    normal = rows.select(
+        *key, answers.normalised(F.col(reference)).alias("ref"), answers.normalised(F.col(prediction)).alias("pred")
+    )
+    split = [answers.normalised_tokens(F.col(c)).alias(c) for c in ("ref", "pred")]
+    return together(normal, *key).select(*key, *split)
+
+
 def sentence_bleu(rows: DataFrame, key: list[str], reference: str, prediction: str) -> DataFrame:
     """``key, bleu`` on the tokens of the normalised answers."""
-    normal = _by_key(rows.select(*key, reference, prediction), key).select(
-        *key, answers.normalised(F.col(reference)).alias("_r"), answers.normalised(F.col(prediction)).alias("_p")
-    )
-    counts = ngram_overlap(
-        normal, key, answers.normalised_tokens(F.col("_r")), answers.normalised_tokens(F.col("_p")),
-        range(1, BLEU_ORDER + 1),
-    )
+    normal = _normal_tokens(rows, key, reference, prediction)
+    counts = ngram_overlap(normal, key, F.col("ref"), F.col("pred"), range(1, BLEU_ORDER + 1))
     return counts.select(*key, sentence_bleu_value().alias("bleu"))
 
 
 def corpus_bleu_counts(rows: DataFrame, key: list[str], reference: str, prediction: str) -> DataFrame:
     """Per-row counts that add up to corpus BLEU over any group of rows; raw text, 13a tokens."""
-    listed = _by_key(rows.select(*key, reference, prediction), key).select(
+    listed = together(rows.select(*key, reference, prediction), *key).select(
         *key,
         tokens.tokens_13a(F.col(reference)).alias("_r"),
         tokens.tokens_13a(F.col(prediction)).alias("_p"),
@@ -104,28 +105,21 @@ def f_measure(matched: Column, reference_total: Column, prediction_total: Column
     return F.coalesce(F.try_divide(2.0 * matched, reference_total + prediction_total), F.lit(0.0))
 
 
-def _stems(rows: DataFrame, key: list[str], sides: list[str], vocabulary_limit: int, keep_short: int) -> DataFrame:
-    """Replace the token arrays in ``sides`` by ``<side>_stems``; words up to ``keep_short`` letters stay.
+def _stemmed_tokens(rows: DataFrame, key: list[str], sides: list[str], vocabulary_limit: int) -> DataFrame:
+    """``key, side, pos, word, stem`` for the token arrays in ``sides``.
 
     The distinct words are stemmed once. Up to the limit, the table of stems is broadcast
     to the tokens; a larger vocabulary is stemmed where its tokens are, which needs no
     join on words and so knows no hot word.
     """
-    pair = lambda c, side: F.transform(
-        c, lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("word"))
+    listed = lambda side: F.transform(
+        F.col(side), lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("word"))
     )
-    spread = rows.select(*key, F.inline_outer(F.concat(*[pair(F.col(s), s) for s in sides])))
+    spread = rows.select(*key, F.inline(F.concat(*[listed(s) for s in sides])))
     words = spread.select("word").distinct()
     if words.limit(vocabulary_limit + 1).count() <= vocabulary_limit:
-        found = spread.join(F.broadcast(stemmed(words)), "word", "left")
-    else:
-        found = stemmed(spread)
-    stem = F.when(F.length("word") > keep_short, F.col("stem")).otherwise(F.col("word"))
-    cells = []
-    for s in sides:
-        mine = F.collect_list(F.when(F.col("side") == s, F.struct("pos", stem.alias("stem"))))
-        cells.append(F.transform(F.sort_array(mine), lambda x: x["stem"]).alias(f"{s}_stems"))
-    return found.groupBy(*key).agg(*cells)
+        return spread.join(F.broadcast(stemmed(words)), "word")
+    return stemmed(spread)
 
 
 VOCABULARY_LIMIT = 1_000_000
@@ -136,14 +130,23 @@ def rouge_ready(
     vocabulary_limit: int = VOCABULARY_LIMIT,
 ) -> DataFrame:
     """``key, ref_stems, pred_stems`` for the three ROUGE scores, from raw text."""
-    listed = _by_key(rows.select(*key, reference, prediction), key).select(
+    listed = together(rows.select(*key, reference, prediction), *key).select(
         *key,
         tokens.rouge_tokens(F.col(reference)).alias("ref"),
         tokens.rouge_tokens(F.col(prediction)).alias("pred"),
     )
     if not stemming:
         return listed.withColumnsRenamed({"ref": "ref_stems", "pred": "pred_stems"})
-    return _stems(listed, key, ["ref", "pred"], vocabulary_limit, keep_short=3)
+    found = _stemmed_tokens(listed, key, ["ref", "pred"], vocabulary_limit)
+    stem = F.when(F.length("word") > 3, F.col("stem")).otherwise(F.col("word"))
+    side = lambda s: F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("pos", stem.alias("stem"))))), lambda x: x["stem"]
+    )
+    gathered = found.groupBy(*key).agg(side("ref").alias("ref_stems"), side("pred").alias("pred_stems"))
+    none = F.array().cast("array<string>")  # rows without any token
+    return listed.select(*key).join(gathered, key, "left").select(
+        *key, *[F.coalesce(c, none).alias(c) for c in ("ref_stems", "pred_stems")]
+    )
 
 
 def rouge_n(ready: DataFrame, key: list[str]) -> DataFrame:
@@ -205,18 +208,8 @@ def meteor(
 
     ``synonyms`` (``word, synonym_group``) is optional; without it the third stage is empty.
     """
-    listed = _by_key(rows.select(*key, reference, prediction), key).select(
-        *key,
-        answers.normalised_tokens(answers.normalised(F.col(reference))).alias("ref"),
-        answers.normalised_tokens(answers.normalised(F.col(prediction))).alias("pred"),
-    )
-    stems = _stems(listed, key, ["ref", "pred"], vocabulary_limit, keep_short=0)
-    both = listed.join(stems, key)
-    side = lambda s: F.transform(
-        F.arrays_zip(F.col(s).alias("word"), F.col(f"{s}_stems").alias("stem")),
-        lambda x, i: F.struct(F.lit(s).alias("side"), i.alias("pos"), x["word"].alias("word"), x["stem"].alias("stem")),
-    )
-    tokens_ = both.select(*key, F.inline(F.concat(side("ref"), side("pred"))))
+    listed = _normal_tokens(rows, key, reference, prediction)
+    tokens_ = _stemmed_tokens(listed, key, ["ref", "pred"], vocabulary_limit)
     forms = ["word", "stem"]
     if synonyms is not None:
         tokens_ = tokens_.join(synonyms, "word", "left")

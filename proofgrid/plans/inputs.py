@@ -129,7 +129,7 @@ def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def confident(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as answers with a confidence, a correctness label and a cluster."""
     return table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", (F.col("value") / 500.0).alias("confidence"),
+        "event_id", "user_id", "event_type", (F.col("value") / (F.col("value") + 50.0)).alias("confidence"),
         F.col("event_type").isin("purchase", "signup").cast("int").alias("correct"),
     )
 

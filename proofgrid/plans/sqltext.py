@@ -98,7 +98,7 @@ flagged AS (
 
 CONFIDENT = """
 conf AS (
-  SELECT event_id, user_id, event_type, value / 500.0::DOUBLE AS confidence,
+  SELECT event_id, user_id, event_type, value / (value + 50.0::DOUBLE) AS confidence,
     CAST(event_type IN ('purchase', 'signup') AS INT) AS correct
   FROM events)"""
 

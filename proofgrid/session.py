@@ -42,6 +42,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def together(df: DataFrame, *key: str) -> DataFrame:
+    """Rows of one key in one of ``spark.sql.shuffle.partitions`` partitions.
+
+    For light rows that are about to grow or to be worked on hard: later grouping by the
+    key and more columns needs no further shuffle. The number is stated because adaptive
+    execution would merge partitions by their bytes, not by the work in them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables under the checkpoint folder that all executors share."""
     context = spark.sparkContext
