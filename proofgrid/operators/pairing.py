@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.operators import gates
-from proofgrid.operators.ranking import first_per_group, with_position
+from proofgrid.operators.ranking import with_position
 
 
 def shifted_sources(rows: DataFrame, source: str, image: str, order: list[Column]) -> DataFrame:
     """``source, shifted_image``: each source gets the image of the next one in sorted order, the last of the first."""
-    own = first_per_group(rows.select(source, image, *order), [source], order).select(source, image)
+    own = rows.groupBy(source).agg(F.min_by(image, F.struct(*order)).alias(image))
     ranked = with_position(own, source)
     n = ranked.count()
     if n < 2:
