@@ -25,7 +25,7 @@ def grouped_split(records: DataFrame, group: str, seed: int, dev_fraction: float
         raise ValueError("fractions must lie between 0 and 1")
     if dev_fraction + test_fraction >= 1:
         raise ValueError("fractions must sum to less than 1")
-    groups = records.select(group).distinct().select(seeded_digest(seed, F.col(group)).alias("digest"))
+    groups = durable(records.select(group).distinct().select(seeded_digest(seed, F.col(group)).alias("digest")))
     total = groups.count()
     if total == 0:
         return records.withColumn("partition", F.lit(None).cast("string"))

@@ -47,7 +47,7 @@ def replicate_means(rows: DataFrame, cluster: str, values: list[str], n_boot: in
     if clusters == 0:
         empty = placed.select(F.lit(0).cast("bigint").alias("replicate"), *[F.col(v) for v in values])
         return empty, placed, 0
-    drawn = _draws(rows, clusters, n_boot, seed).join(_sized(placed, clusters), "position")
+    drawn = _draws(rows, clusters, n_boot, seed).join(_sized(placed.drop("cluster"), clusters), "position")
     means = drawn.groupBy("replicate").agg(*[(F.sum(v) / F.sum("n")).alias(v) for v in values])
     return means, placed, clusters
 

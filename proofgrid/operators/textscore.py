@@ -24,26 +24,46 @@ METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 METRICS = ["exact_match", "bleu", "rouge1", "rouge2", "rougeL", "meteor"]
 
 
-def ngram_overlap(rows: DataFrame, key: list[str], reference: Column, prediction: Column, orders: range) -> DataFrame:
+def ngram_overlap(rows: DataFrame, key: list[str], reference: str, prediction: str, orders: range) -> DataFrame:
     """Per key and n: clipped matches and the n-gram counts of both sides (``m1, r1, p1, ...``).
 
-    Both sides are exploded together and counted by (key, n, gram): linear in the tokens.
+    If no n-gram repeats on one side, the matches are the common n-grams and are counted
+    inside the row. Only the other lists are exploded, both sides together, and counted by
+    (key, n, gram). Either way the work is linear in the tokens.
     """
-    def cells_of(t: Column, n: int, r: int, p: int) -> Column:
-        cell = lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(r).alias("r"), F.lit(p).alias("p"))
-        return F.transform(tokens.ngrams(t, n), cell)
-
-    both = [cells_of(F.col("_ref"), n, 1, 0) for n in orders] + [cells_of(F.col("_pred"), n, 0, 1) for n in orders]
-    listed = rows.select(*key, reference.alias("_ref"), prediction.alias("_pred"))
-    spread = listed.select(*key, F.inline_outer(F.concat(*both)))
-    counted = spread.groupBy(*key, "n", "gram").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
-    cells = []
+    sides = [("r", reference), ("p", prediction)]
+    listed = rows.select(
+        *key,
+        *[F.size(c).alias(f"_size_{s}") for s, c in sides],
+        *[tokens.ngrams(F.col(c), n).alias(f"_{s}{n}") for n in orders for s, c in sides],
+    )
+    cell = lambda n, gram, r, p: F.struct(
+        F.lit(n).alias("n"), gram.alias("gram"), r.cast("bigint").alias("r"), p.cast("bigint").alias("p")
+    )
+    one, zero, nothing = F.lit(1), F.lit(0), F.lit(None).cast("string")
+    cells = [F.array(cell(0, nothing, F.col("_size_r"), F.col("_size_p")))]
     for n in orders:
-        at = lambda c, n=n: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0))
-        cells += [
-            at(F.least("r", "p")).alias(f"m{n}"), at(F.col("r")).alias(f"r{n}"), at(F.col("p")).alias(f"p{n}")
-        ]
-    return counted.groupBy(*key).agg(*cells)
+        r, p = F.col(f"_r{n}"), F.col(f"_p{n}")
+        unrepeated = lambda grams: F.size(F.array_distinct(grams)) == F.size(grams)
+        common = F.size(F.array_intersect(r, p))
+        in_ref = F.transform(r, _counted(cell, n, one, zero))
+        in_pred = F.transform(p, _counted(cell, n, zero, one))
+        cells.append(
+            F.when(unrepeated(r) | unrepeated(p), F.array(cell(n, nothing, common, common))).otherwise(
+                F.concat(in_ref, in_pred)
+            )
+        )
+    spread = listed.select(*key, F.inline(F.concat(*cells)))
+    counted = spread.groupBy(*key, "n", "gram").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
+    matched = [F.sum(F.when(F.col("n") == n, F.least("r", "p"))).alias(f"m{n}") for n in orders]
+    size = lambda s: F.max(F.when(F.col("n") == 0, F.col(s))).alias(f"_size_{s}")
+    sums = counted.groupBy(*key).agg(*matched, size("r"), size("p"))
+    totals = [F.greatest(F.col(f"_size_{s}") - (n - 1), F.lit(0)).alias(f"{s}{n}") for n in orders for s, _ in sides]
+    return sums.select(*key, *[F.coalesce(f"m{n}", F.lit(0)).alias(f"m{n}") for n in orders], *totals)
+
+
+def _counted(cell, n: int, r: Column, p: Column):
+    return lambda gram: cell(n, gram, r, p)
 
 
 def brevity_penalty(reference_length: Column, prediction_length: Column) -> Column:
@@ -73,7 +93,7 @@ def _normal_tokens(rows: DataFrame, key: list[str], reference: str, prediction:
 def sentence_bleu(rows: DataFrame, key: list[str], reference: str, prediction: str) -> DataFrame:
     """``key, bleu`` on the tokens of the normalised answers."""
     normal = _normal_tokens(rows, key, reference, prediction)
-    counts = ngram_overlap(normal, key, F.col("ref"), F.col("pred"), range(1, BLEU_ORDER + 1))
+    counts = ngram_overlap(normal, key, "ref", "pred", range(1, BLEU_ORDER + 1))
     return counts.select(*key, sentence_bleu_value().alias("bleu"))
 
 
@@ -81,10 +101,10 @@ def corpus_bleu_counts(rows: DataFrame, key: list[str], reference: str, predicti
     """Per-row counts that add up to corpus BLEU over any group of rows; raw text, 13a tokens."""
     listed = together(rows.select(*key, reference, prediction), *key).select(
         *key,
-        tokens.tokens_13a(F.col(reference)).alias("_r"),
-        tokens.tokens_13a(F.col(prediction)).alias("_p"),
+        tokens.tokens_13a(F.col(reference)).alias("ref"),
+        tokens.tokens_13a(F.col(prediction)).alias("pred"),
     )
-    return ngram_overlap(listed, key, F.col("_r"), F.col("_p"), range(1, BLEU_ORDER + 1))
+    return ngram_overlap(listed, key, "ref", "pred", range(1, BLEU_ORDER + 1))
 
 
 def corpus_bleu_value(counts: dict[str, Column]) -> Column:
@@ -150,7 +170,7 @@ def rouge_ready(
 
 
 def rouge_n(ready: DataFrame, key: list[str]) -> DataFrame:
-    counts = ngram_overlap(ready, key, F.col("ref_stems"), F.col("pred_stems"), range(1, 3))
+    counts = ngram_overlap(ready, key, "ref_stems", "pred_stems", range(1, 3))
     f = lambda n: f_measure(F.col(f"m{n}"), F.col(f"r{n}"), F.col(f"p{n}")).alias(f"rouge{n}")
     return counts.select(*key, f(1), f(2))
 
@@ -178,26 +198,25 @@ def rouge_l(ready: DataFrame, key: list[str]) -> DataFrame:
     return ready.select(*key, f_measure(common, F.size("ref_stems"), F.size("pred_stems")).alias("rougeL"))
 
 
-def _match(open_tokens: DataFrame, key: list[str], forms: list[str]) -> DataFrame:
-    """Pair equal forms of a row from the end: the k-th last in one side with the k-th last in the other.
+def _match(found: DataFrame, key: list[str], forms: list[str]) -> DataFrame:
+    """Pair lone tokens of equal form from the end: the k-th last of one side with the k-th last of the other.
 
-    A row of the result is a pair, or a lone token with its remaining forms.
+    ``found`` has a row per pair or lone token, with the positions in ``ref`` and ``pred``.
+    Pairs, and tokens without a form, pass through as they are.
     """
-    from_end = Window.partitionBy(*key, "side", forms[0]).orderBy(F.desc("pos"))
-    ranked = open_tokens.withColumn("_k", F.row_number().over(from_end))
-    at = lambda s: F.max(F.when(F.col("side") == s, F.col("pos"))).alias(f"{s}_pos")
-    return ranked.groupBy(*key, forms[0], "_k").agg(at("ref"), at("pred"), *[F.max(f).alias(f) for f in forms[1:]])
-
-
-def _pairs(matched: DataFrame, key: list[str]) -> DataFrame:
-    return matched.select(*key, "ref_pos", "pred_pos").filter("ref_pos is not null and pred_pos is not null")
-
-
-def _lone(matched: DataFrame, key: list[str], forms: list[str]) -> DataFrame:
-    lone = matched.filter("ref_pos is null or pred_pos is null")
-    side = F.when(F.col("ref_pos").isNull(), "pred").otherwise("ref")
-    open_tokens = lone.select(*key, side.alias("side"), F.coalesce("ref_pos", "pred_pos").alias("pos"), *forms)
-    return open_tokens.filter(F.col(forms[0]).isNotNull())
+    form, later = forms[0], forms[1:]
+    paired = F.col("ref").isNotNull() & F.col("pred").isNotNull()
+    side = F.when(paired, "both").when(F.col("ref").isNotNull(), "ref").otherwise("pred")
+    open_ = (side != "both") & F.col(form).isNotNull()
+    marked = found.withColumn("_side", side).withColumn("_form", F.when(open_, F.col(form)))
+    from_end = Window.partitionBy(*key, "_side", "_form").orderBy(F.desc(F.coalesce("ref", "pred")))
+    ranked = marked.withColumn("_k", F.row_number().over(from_end))
+    apart = F.when(F.col("_form").isNull(), F.col("_side")).alias("_apart")
+    ends = [F.max("ref").alias("ref"), F.max("pred").alias("pred")]
+    if form == "word":  # later forms follow from the word
+        return ranked.groupBy(*key, "_form", apart, "_k", *later).agg(*ends).select(*key, "ref", "pred", *later)
+    grouped = ranked.groupBy(*key, "_form", apart, "_k").agg(*ends, *[F.max(f).alias(f) for f in later])
+    return grouped.select(*key, "ref", "pred", *later)
 
 
 def meteor(
@@ -214,16 +233,15 @@ def meteor(
     if synonyms is not None:
         tokens_ = tokens_.join(synonyms, "word", "left")
         forms.append("synonym_group")
-    pairs, left = None, tokens_
+    at = lambda s: F.when(F.col("side") == s, F.col("pos")).alias(s)
+    found = tokens_.select(*key, at("ref"), at("pred"), *forms)
     while forms:
-        matched = _match(left, key, forms)
-        found = _pairs(matched, key)
-        pairs = found if pairs is None else pairs.unionByName(found)
+        found = _match(found, key, forms)
         forms = forms[1:]
-        left = _lone(matched, key, forms) if forms else None
-    along = Window.partitionBy(*key).orderBy("pred_pos")
-    steps = lambda c: F.col(c) - F.lag(c).over(along)
-    chained = pairs.withColumn("_new", ~F.coalesce((steps("pred_pos") == 1) & (steps("ref_pos") == 1), F.lit(False)))
+    pairs = found.filter("ref is not null and pred is not null")
+    along = Window.partitionBy(*key).orderBy("pred")
+    follows = lambda c: F.coalesce(F.col(c) - F.lag(c).over(along) == 1, F.lit(False))
+    chained = pairs.withColumn("_new", ~(follows("pred") & follows("ref")))
     totals = chained.groupBy(*key).agg(F.count("*").alias("m"), F.count_if("_new").alias("chunks"))
     sizes = listed.select(*key, F.size("ref").alias("r"), F.size("pred").alias("p"))
     precision, recall = F.col("m") / F.col("p"), F.col("m") / F.col("r")

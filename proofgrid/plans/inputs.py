@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import answers
 from proofgrid.functions.keys import hash60, item_id, joined, question_text, source_id
-from proofgrid.operators import audit, dedupe
+from proofgrid.operators import dedupe
+from proofgrid.session import widened
 from proofgrid.sources import records
 
 CONDITIONS = ["paired", "unadapted", "question_only", "constant", "shuffled"]
@@ -24,10 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work on their texts."""
+    return widened(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn and the assistant turn after it, by an equi-join on unique keys."""
     said = table(spark, sf_dir, "conversations")
-    user = said.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked"))
+    user = widened(said.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked")))
     reply = said.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
     pairs = user.join(reply, ["conv_id", "turn"])
     return pairs.withColumn("h", hash60(joined(F.col("conv_id"), F.col("turn"))))
@@ -187,4 +193,4 @@ def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(l)
     )
     text = F.array_join(F.transform(F.split("text", "\n"), mark), "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"))

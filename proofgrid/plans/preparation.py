@@ -11,6 +11,7 @@ from proofgrid.plans import inputs, sqltext
 from proofgrid.plans.inputs import table
 from proofgrid.plans.registry import query
 from proofgrid.plans.sqltext import canon, h60
+from proofgrid.session import sized
 from proofgrid.sources import files
 
 # ---- gates -----------------------------------------------------------------------
@@ -315,8 +316,8 @@ def contained_passages(spark, sf):
     Both sides meet on runs of eight words. A passage is contained where all its runs
     follow each other, that is, where as many runs as it has meet at one distance.
     """
-    docs = _runs(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", F.col("at").alias("doc_at"), "run")
-    passages = _runs(table(spark, sf, "benchmark"), "item_id", "text")
+    docs = _runs(inputs.documents(spark, sf), "doc_id", "text").select("doc_id", F.col("at").alias("doc_at"), "run")
+    passages = sized(_runs(table(spark, sf, "benchmark"), "item_id", "text"), 1_000_000)
     meet = docs.join(passages, "run").groupBy("doc_id", "item_id", "runs", (F.col("doc_at") - F.col("at")).alias("distance"))
     found = meet.agg(F.count("*").alias("met")).filter(F.col("met") == F.col("runs"))
     return found.select("item_id", "doc_id").distinct()
@@ -494,7 +495,7 @@ dup AS (SELECT lang AS source, {canon('text')} AS question_key, '' AS answer_key
 )
 def document_dedupe(spark, sf):
     """Whole documents as keys: equal texts, and whether their sources differ."""
-    docs = table(spark, sf, "documents").select(
+    docs = inputs.documents(spark, sf, "lang", "source").select(
         F.col("lang").alias("source"), keys.canonical(F.col("text")).alias("question_key"), F.lit("").alias("answer_key"),
         F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("origin"), "doc_id",
         dedupe.metadata_digest(F.col("source"), F.lit(None).cast("array<string>"), F.lit(None).cast("string")).alias("digest"),

@@ -194,7 +194,7 @@ def vocabulary_stems(spark, sf):
     """Stems of every word of the documents."""
     from proofgrid.functions.tokens import rouge_tokens
 
-    vocabulary = inputs.table(spark, sf, "documents").select(F.explode(rouge_tokens(F.col("text"))).alias("word")).distinct()
+    vocabulary = inputs.documents(spark, sf).select(F.explode(rouge_tokens(F.col("text"))).alias("word")).distinct()
     return stem.stemmed(vocabulary)
 
 

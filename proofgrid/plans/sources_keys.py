@@ -161,7 +161,7 @@ def question_texts(spark, sf):
 @query("b3_canonical_text", f"SELECT doc_id, md5({canon('text')}) AS canonical_md5 FROM documents")
 def canonical_texts(spark, sf):
     """Canonical form of every document."""
-    return table(spark, sf, "documents").select("doc_id", F.md5(keys.canonical(F.col("text"))).alias("canonical_md5"))
+    return inputs.documents(spark, sf).select("doc_id", F.md5(keys.canonical(F.col("text"))).alias("canonical_md5"))
 
 
 @query(
@@ -171,7 +171,7 @@ def canonical_texts(spark, sf):
 def normalised_answers(spark, sf):
     """Normalised form of every document; the given texts hold no compatibility characters."""
     return (
-        table(spark, sf, "documents").select("doc_id", answers.normalised(F.col("text")).alias("n"))
+        inputs.documents(spark, sf).select("doc_id", answers.normalised(F.col("text")).alias("n"))
         .select("doc_id", F.md5("n").alias("normal_md5"), F.length("n").cast("bigint").alias("characters"))
     )
 
@@ -220,7 +220,7 @@ def stable_seeds(spark, sf):
 @query("b8_word_count", f"SELECT doc_id, len({sqltext.words('text')}) AS words FROM documents")
 def word_counts(spark, sf):
     """White-space words per document."""
-    return table(spark, sf, "documents").select("doc_id", keys.word_count(F.col("text")).cast("bigint").alias("words"))
+    return inputs.documents(spark, sf).select("doc_id", keys.word_count(F.col("text")).cast("bigint").alias("words"))
 
 
 @query(

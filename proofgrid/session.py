@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -52,6 +53,20 @@ def together(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores is dealt out evenly; any other stays as it is.
+
+    For few files whose rows take much work each.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def sized(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables under the checkpoint folder that all executors share."""
     context = spark.sparkContext
