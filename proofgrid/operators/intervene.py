@@ -118,22 +118,31 @@ def linear_scorer(weight: Callable[[Column], Column]) -> Callable[[Column], Colu
     return score
 
 
+def _random_order(design: Design, repeat: Column) -> Column:
+    """Patches of the item ranked by the random map of one repeat."""
+    seed = keys.stable_seed(F.lit(design.seed), F.col("item_id"), F.lit(RANDOM_MAP), repeat)
+    return saliency.ranked_patches(saliency.random_map(F.col("values"), seed))
+
+
 def mask_table(items: DataFrame, design: Design = Design()) -> DataFrame:
     """One row per mask with its patch numbers and its uses.
 
     ``items``: ``item_id, values, maps`` and whatever else is to be kept, where ``maps``
     is ``map<method, array>``. Items are shuffled once, before they grow, so what follows
-    stays partitioned by item. Patches are ranked once per map, not once per level.
+    stays partitioned by item. Patches are ranked once per map, random maps
+    included, not once per level.
     """
     ranked = F.transform_values("maps", lambda m, v: saliency.ranked_patches(v))
-    cells = together(items, "item_id").withColumn("_ranked", ranked).select("*", F.inline(_cells(design)))
-    control_seed = keys.stable_seed(F.lit(design.seed), F.col("item_id"), F.lit(RANDOM_MAP), F.col("repeat"))
-    control = saliency.ranked_patches(saliency.random_map(F.col("values"), control_seed))
-    order = F.when(F.col("method") == RANDOM_MAP, control).otherwise(F.try_element_at("_ranked", F.col("method")))
+    control = F.transform(F.sequence(F.lit(0), F.lit(design.random_repeats - 1)), lambda r: _random_order(design, r))
+    ranks = together(items, "item_id").withColumn("_ranked", ranked).withColumn("_control", control)
+    cells = ranks.select("*", F.inline(_cells(design)))
+    order = F.when(F.col("method") == RANDOM_MAP, F.get("_control", F.col("repeat"))).otherwise(
+        F.try_element_at("_ranked", F.col("method"))
+    )
     random_order = F.when(F.col("mode") == "random", saliency.shuffled_patches(F.col("values"), mask_seed(design)))
     size = saliency.mask_size(F.col("values"), F.col("fraction"))
     mask = saliency.patch_mask(order, random_order, F.col("mode"), F.size("values"), size)
-    return cells.withColumn("mask", mask).drop("_ranked", "maps")
+    return cells.withColumn("mask", mask).drop("_ranked", "_control", "maps")
 
 
 def run(

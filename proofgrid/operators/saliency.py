@@ -1,7 +1,8 @@
 """Saliency maps on a patch grid: validation, patch masks, random maps, agreement.
 
 A map is an array in one row, so ranking its patches is an array sort inside the row and
-needs no shuffle.
+needs no shuffle. What is the same for all patches goes into the lambdas as an array of
+equal values: Spark would evaluate an expression inside a lambda again for every element.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.functions.keys import hash60, joined
+from proofgrid.functions.keys import hash60
 
 # The smallest range and side a valid map may have.
 MIN_RANGE = 1e-12
@@ -27,10 +28,15 @@ def invalid_reason(values: Column, height: Column, width: Column) -> Column:
     )
 
 
+def _for_each(values: Column, constant: Column) -> Column:
+    return F.array_repeat(constant, F.size(values))
+
+
 def normalised_map(values: Column) -> Column:
     """Min-max scaled values in single precision."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda v: ((v - low) / (high - low)).cast("float"))
+    low, high = F.array_min(values).alias("low"), F.array_max(values).alias("high")
+    ends = _for_each(values, F.struct(low, high))
+    return F.zip_with(values, ends, lambda v, e: ((v - e["low"]) / (e["high"] - e["low"])).cast("float"))
 
 
 def validate(maps: DataFrame, values: str = "raw", height: str = "height", width: str = "width") -> tuple[DataFrame, DataFrame]:
@@ -51,10 +57,18 @@ def ranked_patches(values: Column) -> Column:
     return F.transform(F.sort_array(pairs), lambda p: p["i"])
 
 
+def _draws(values: Column, seed: Column, digits) -> Column:
+    text = _for_each(values, F.concat(seed.cast("string"), F.lit("|")))
+    return F.transform(text, lambda t, i: digits(F.concat(t, i.cast("string")), i))
+
+
 def shuffled_patches(values: Column, seed: Column) -> Column:
-    """Patch numbers in an order that only the seed decides."""
-    drawn = F.transform(values, lambda v, i: F.struct(hash60(joined(seed, i)).alias("h"), i.alias("i")))
-    return F.transform(F.sort_array(drawn), lambda p: p["i"])
+    """Patch numbers in an order that only the seed decides: that of ``hash60`` of seed and number.
+
+    The hex digits sort like the number they stand for.
+    """
+    pair = lambda text, i: F.struct(F.substring(F.md5(text), 1, 15).alias("h"), i.alias("i"))
+    return F.transform(F.sort_array(_draws(values, seed, pair)), lambda p: p["i"])
 
 
 def patch_mask(ranked: Column, shuffled: Column, mode: Column, patches: Column, size: Column) -> Column:
@@ -66,7 +80,7 @@ def patch_mask(ranked: Column, shuffled: Column, mode: Column, patches: Column,
 
 def random_map(values: Column, seed: Column) -> Column:
     """Uniform values in [0, 1) for every patch."""
-    return F.transform(values, lambda v, i: hash60(joined(seed, i)) / F.lit(float(2**60)))
+    return _draws(values, seed, lambda text, i: hash60(text) / F.lit(float(2**60)))
 
 
 def overlap(mask: Column, region: Column) -> Column:
@@ -91,7 +105,7 @@ def correlation(a: Column, b: Column) -> Column:
 def _centred(c: Column) -> Column:
     doubles = F.transform(c, lambda x: x.cast("double"))
     mean = F.try_divide(F.aggregate(doubles, F.lit(0.0), lambda s, x: s + x), F.size(c).cast("double"))
-    return F.transform(doubles, lambda x: x - mean)
+    return F.zip_with(doubles, _for_each(c, mean), lambda x, m: x - m)
 
 
 def _squares(c: Column) -> Column:
