@@ -15,27 +15,22 @@ def metadata_digest(complexity: Column, question_class: Column, original: Column
     return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
 
 
-def collapse(rows: DataFrame, origin: str, digest: str, order: list[Column], keep: list[str]) -> DataFrame:
+def collapse(
+    rows: DataFrame, origin: str, origin_rank: Column, digest: str, order: list[Column], keep: list[str]
+) -> DataFrame:
     """One row per (source, question, answer): first row's ``keep`` columns, ordered origins, conflict flag.
 
-    The first aggregate is per origin, so the second sees one row per key and origin and
-    its list is as short as the list of origins, however often a key repeats. Equal
+    Rows of an origin with a lower rank come first, then ``order`` decides. The set of
+    origins is as short as the list of origins, however often a key repeats. Equal
     extremes of the digest mean that all duplicates agree.
     """
-    place = F.struct(*order)
-    per_origin = rows.groupBy(*KEY, origin).agg(
+    ranked = rows.withColumn("_rank", origin_rank)
+    origins = F.sort_array(F.collect_set(F.struct("_rank", F.col(origin).alias("origin"))))
+    per_key = ranked.groupBy(*KEY).agg(
         F.count("*").alias("rows"),
-        F.min(place).alias("place"),
-        F.min_by(F.struct(*keep), place).alias("first"),
-        F.min(digest).alias("low"),
-        F.max(digest).alias("high"),
-    )
-    origins = F.sort_array(F.collect_list(F.struct("place", F.col(origin).alias("origin"))))
-    per_key = per_origin.groupBy(*KEY).agg(
-        F.sum("rows").alias("rows"),
-        F.min_by("first", "place").alias("first"),
+        F.min_by(F.struct(*keep), F.struct("_rank", *order)).alias("first"),
         F.transform(origins, lambda o: o["origin"]).alias("official_origins"),
-        (F.min("low") != F.max("high")).alias("metadata_conflict"),
+        (F.min(digest) != F.max(digest)).alias("metadata_conflict"),
     )
     return per_key.select(*KEY, "rows", "official_origins", "metadata_conflict", "first.*")
 
@@ -58,25 +53,31 @@ def flag_conflicts(collapsed: DataFrame) -> DataFrame:
     return flagged.withColumn("excluded", F.col("answer_conflict") | F.col("metadata_conflict"))
 
 
-def merge_report(flagged: DataFrame) -> DataFrame:
-    """The seven counts of a merge, by a cascade of ever smaller aggregates."""
+def merge_report(collapsed: DataFrame) -> DataFrame:
+    """The seven counts of a merge, by a cascade of ever smaller aggregates.
+
+    A question's rows are all excluded if it has several answers, else those with a
+    metadata conflict; that needs no join.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     one = lambda c: F.when(c, 1).otherwise(0)
-    per_question = flagged.groupBy(*PAIR).agg(
+    per_question = collapsed.groupBy(*PAIR).agg(
+        F.sum("rows").alias("rows"), F.count("*").alias("answers"), F.sum(one(F.col("metadata_conflict"))).alias("metadata")
+    )
+    clash = F.col("answers") > 1
+    per_source = per_question.groupBy("source").agg(
         F.sum("rows").alias("rows"),
-        F.count("*").alias("unique_rows"),
-        F.max(one(F.col("answer_conflict"))).alias("conflict_groups"),
-        F.sum(one(F.col("metadata_conflict"))).alias("metadata_groups"),
-        F.sum(one(F.col("excluded"))).alias("excluded"),
+        F.sum("answers").alias("answers"),
+        F.sum(one(clash)).alias("conflict_groups"),
+        F.sum("metadata").alias("metadata_groups"),
+        F.sum(F.when(clash, F.col("answers")).otherwise(F.col("metadata"))).alias("excluded"),
     )
-    sums = ["rows", "unique_rows", "conflict_groups", "metadata_groups", "excluded"]
-    per_source = per_question.groupBy("source").agg(*[F.sum(s).alias(s) for s in sums])
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return per_source.agg(
         total("rows").alias("input_rows"),
-        total(F.col("rows") - F.col("unique_rows")).alias("exact_duplicates_removed"),
+        total(F.col("rows") - F.col("answers")).alias("exact_duplicates_removed"),
         total("conflict_groups").alias("conflicting_image_question_groups_removed"),
         total("metadata_groups").alias("metadata_conflict_groups_removed"),
         total("excluded").alias("conflicting_rows_removed"),
-        total(F.col("unique_rows") - F.col("excluded")).alias("primary_rows_after_exclusions"),
-        total(one(F.col("unique_rows") > F.col("excluded"))).alias("primary_source_images_after_exclusions"),
+        total(F.col("answers") - F.col("excluded")).alias("primary_rows_after_exclusions"),
+        total(one(F.col("answers") > F.col("excluded"))).alias("primary_source_images_after_exclusions"),
     )

@@ -121,15 +121,18 @@ def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def collapsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeated_rows(spark, sf_dir)
     marked = rows.withColumn(
         "digest", dedupe.metadata_digest(F.col("complexity"), F.col("classes"), F.col("original"))
     )
     rank = F.when(F.col("origin") == "train", 0).otherwise(1)
-    order = [rank.alias("rank"), F.col("row_digest")]
-    collapsed = dedupe.collapse(marked, "origin", "digest", order, ["answer", "complexity", "partkey"])
-    return dedupe.flag_conflicts(collapsed)
+    keep = ["answer", "complexity", "partkey"]
+    return dedupe.collapse(marked, "origin", rank, "digest", [F.col("row_digest")], keep)
+
+
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.flag_conflicts(collapsed_rows(spark, sf_dir))
 
 
 def confident(spark: SparkSession, sf_dir: str) -> DataFrame:

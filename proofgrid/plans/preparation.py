@@ -63,7 +63,7 @@ _FIELDS = [
 )
 def pinned_counts(spark, sf):
     """Merge report fields that differ from pinned counts."""
-    report = gates.long_report(dedupe.merge_report(inputs.flagged_rows(spark, sf)))
+    report = gates.long_report(dedupe.merge_report(inputs.collapsed_rows(spark, sf)))
     count = lambda name, field: table(spark, sf, name).agg(
         F.lit(field).alias("field"), F.count("*").cast("double").alias("value")
     )
@@ -475,7 +475,7 @@ def subset_summary(spark, sf):
 )
 def exact_dedupe(spark, sf):
     """First row, size and ordered origins of every distinct annotation."""
-    return inputs.flagged_rows(spark, sf).select(
+    return inputs.collapsed_rows(spark, sf).select(
         "source", "question_key", "answer_key", "rows", "partkey", F.array_join("official_origins", ",").alias("origins")
     )
 
@@ -501,7 +501,7 @@ def document_dedupe(spark, sf):
         dedupe.metadata_digest(F.col("source"), F.lit(None).cast("array<string>"), F.lit(None).cast("string")).alias("digest"),
     )
     rank = F.when(F.col("origin") == "train", 0).otherwise(1)
-    one = dedupe.collapse(docs, "origin", "digest", [rank.alias("rank"), F.col("doc_id")], ["doc_id"])
+    one = dedupe.collapse(docs, "origin", rank, "digest", [F.col("doc_id")], ["doc_id"])
     return one.select("source", F.md5("question_key").alias("text_md5"), "rows", "doc_id", "metadata_conflict")
 
 
@@ -512,7 +512,7 @@ def document_dedupe(spark, sf):
 )
 def answer_conflicts(spark, sf):
     """Questions with more than one distinct answer."""
-    return dedupe.answer_conflicts(inputs.flagged_rows(spark, sf))
+    return dedupe.answer_conflicts(inputs.collapsed_rows(spark, sf))
 
 
 @query(
@@ -521,7 +521,7 @@ def answer_conflicts(spark, sf):
 )
 def metadata_conflicts(spark, sf):
     """Keys whose duplicates disagree in their metadata."""
-    return inputs.flagged_rows(spark, sf).filter("metadata_conflict").select("source", "question_key", "answer_key")
+    return inputs.collapsed_rows(spark, sf).filter("metadata_conflict").select("source", "question_key", "answer_key")
 
 
 @query(
@@ -536,7 +536,7 @@ def clean_and_excluded(spark, sf):
 @query("f4_merge_report", _REPORT)
 def merge_report(spark, sf):
     """The seven counts of the merge."""
-    return dedupe.merge_report(inputs.flagged_rows(spark, sf))
+    return dedupe.merge_report(inputs.collapsed_rows(spark, sf))
 
 
 @query(
