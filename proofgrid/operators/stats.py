@@ -59,11 +59,11 @@ def cluster_bootstrap(
     means, placed, clusters = replicate_means(rows, cluster, values, n_boot, seed)
     low, high = interval_positions(n_boot, ci)
     # n_boot numbers per measure: a fixed size, whatever the data.
-    ordered = means.agg(*[F.sort_array(F.collect_list(v)).alias(f"_{v}") for v in values])
+    ordered = means.agg(F.struct(*[F.sort_array(F.collect_list(v)).alias(v) for v in values]).alias("sorted"))
     whole = placed.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), *[F.try_divide(F.sum(v), F.sum("n")).alias(v) for v in values]
-    )
-    at = lambda v, i: F.get(F.col(f"_{v}"), F.lit(i))
+    ).withColumn("_sorted", ordered.scalar())
+    at = lambda v, i: F.get(F.col("_sorted")[v], F.lit(i))
     cells = [
         F.struct(
             F.lit(v).alias("measure"), F.col(v).alias("estimate"), at(v, low).alias("low"), at(v, high).alias("high"),
@@ -71,8 +71,7 @@ def cluster_bootstrap(
         )
         for v in values
     ]
-    ordered, whole = ordered.withColumn("_one", F.lit(1)), whole.withColumn("_one", F.lit(1))
-    report = whole.join(ordered, "_one").select(F.inline(F.array(*cells)))
+    report = whole.select(F.inline(F.array(*cells)))
     return report.withColumn("n_clusters", F.lit(clusters).cast("bigint")).withColumn(
         "n_boot", F.lit(n_boot).cast("bigint")
     )
