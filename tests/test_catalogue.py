@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from proofgrid.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalogue.QUERIES, catalogue.SQL
 
 
 @pytest.fixture(scope="module")
@@ -49,5 +50,5 @@ def test_query(spark, duck, name):
 
 
 def test_every_sql_text_has_a_query_and_the_entry_query_runs(spark):
-    assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 1
