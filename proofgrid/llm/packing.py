@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections import deque
@@ -18,22 +19,20 @@ SENTENCE_COST = 2  # what a cut inside a document costs, in padded positions
 HARD_COST = 12  # the same inside a sentence
 HARD_STEP = 32  # sentences may be cut at multiples of this, of which the length is one too
 BLOCK = 1 << 19  # ids that one run of the dynamic programme covers, more only for one longer document
-CACHE = 250_000  # chunks whose ids a worker remembers
 _SEQUENCE_BITS = 33
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Ids:
-    """Ids of texts by the tokenizer, remembered per chunk between spaces.
+    """Ids of texts as the tokenizer file gives them.
 
-    The tokenizer splits before a lone space that stands between visible characters, so chunks can be
-    encoded alone. Texts with longer runs of white space around spaces are encoded whole.
+    Texts of Latin letters go through the merge ranks of the same vocabulary, which give the same ids in
+    less than half of the time; texts with other scripts or a special token's string, and tokenizers
+    without such ranks, go through the tokenizer itself.
     """
 
-    _unsafe = re.compile(r"  |\s \s")
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,38 +41,25 @@ class Ids:
         for token, i in vocabulary.items():
             # the byte-level spelling of a line feed is U+010A
             self.sentence_end[i] = token.endswith((".", "!", "?", "Ċ"))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[chunk] = len(self.flat)
-                self.flat.append(np.array(found.ids, np.uint32))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text with ``END`` after them."""
-        if len(self.known) > CACHE:
-            self._forget()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if self._unsafe.search(text):
-                whole = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out[i] = np.array([*whole, END], np.uint32)
-            else:
-                first, *rest = text.split(" ")
-                split[i] = [first, *[" " + r for r in rest]]
-        missing = {c for chunks in split.values() for c in chunks}.difference(self.known)
-        self._learn(sorted(missing))
-        end = np.array([END], np.uint32)
-        for i, chunks in split.items():
-            out[i] = np.concatenate([*[self.flat[self.known[c]] for c in chunks], end])
-        return out
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.other = re.compile("|".join(["[\u0250-\U0010ffff]", *map(re.escape, special)]))
+        self.fast = None
+        if ranks is not None:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Ids of a text with ``END`` after them."""
+        if self.fast is None or self.other.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        ids.append(END)
+        return np.array(ids, np.uint32)
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +111,10 @@ def tail(start: int, stop: int) -> list[int]:
     return [start + int(x) for x in np.cumsum(parts)[:-1]]
 
 
-_IDS: dict[str, Ids] = {}
+_IDS: dict[tuple, Ids] = {}  # one per worker and tokenizer
 
 
-def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, ranks: str | None = None) -> DataFrame:
     """Pieces of documents in sequences of at most ``LENGTH`` ids; the order of the input is kept.
 
     Each task packs the documents it reads, in their order, as one stream: there is no shuffle, and
@@ -137,7 +123,8 @@ def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
     two, which need no padding, where this costs less. Sequence ids are the number of the partition
     and a running number; a lost task makes the same again, as its input split is the same.
 
-    ``tokenizer`` is the path of a byte-level tokenizer file, which every executor can read. A null text
+    ``tokenizer`` is the path of a byte-level tokenizer file, which every executor can read, and
+    ``ranks``, if given, that of the same vocabulary as merge ranks (see ``Ids``). A null text
     is an empty one: a document of the closing id alone. Null or repeated ids are kept as they are,
     each row is a document of its own. An empty table gives no pieces. Other columns are not read.
     """
@@ -166,8 +153,9 @@ def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
         )
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _IDS.setdefault(tokenizer, None) or Ids(tokenizer)
-        _IDS[tokenizer] = encode
+        if (tokenizer, ranks) not in _IDS:
+            _IDS[tokenizer, ranks] = Ids(tokenizer, ranks)
+        encode = _IDS[tokenizer, ranks]
         partition = TaskContext.get().partitionId()
         heads: list[tuple] = []
         docs: list[np.ndarray] = []
@@ -198,13 +186,11 @@ def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
             return out
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                for doc_id, ids in zip(part["doc_id"], encode(texts)):
-                    heads.append((None if pd.isna(doc_id) else int(doc_id), len(ids)))
-                    docs.append(ids)
-                    held += len(ids)
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids = encode(text if isinstance(text, str) else "")
+                heads.append((None if pd.isna(doc_id) else int(doc_id), len(ids)))
+                docs.append(ids)
+                held += len(ids)
                 if held >= BLOCK and (out := flush(False)) is not None:
                     yield out
         if docs:
@@ -213,11 +199,7 @@ def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(work, SCHEMA)
 
 
-def tokenizer_file() -> str:
+def query(documents: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def query(documents: DataFrame) -> DataFrame:
-    return pack(documents, tokenizer_file())
+    return pack(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
