@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofgrid.session import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run without ASCII white space
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,3 +35,15 @@ def row_key(*columns: str, names: tuple[str, str] = ("_k1", "_k2")) -> list[Colu
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that all executors share and read again.
+
+    Cuts lineage like a checkpoint, and Spark then plans with the measured size of the files: it
+    broadcasts what is small and shuffles what is not.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

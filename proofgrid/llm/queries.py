@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import line_rules, line_spread, mixing, packing, url_rules
+from proofgrid.llm import line_rules, line_spread, mixing, near_dups, packing, url_rules
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.query(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.query(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_rules": op2_line_rules,
     "op5_packing": op5_packing,
     "op6_line_spread": op6_line_spread,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_mixing": op8_mixing,
     "op10_url_rules": op10_url_rules,
 }
