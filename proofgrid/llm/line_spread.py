@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import row_key
+from proofgrid.llm.common import row_key, stored
 
 MIN_SITES = 10
 SKETCH_BITS = 12  # 4096 registers: a standard error of 1.6 per cent
@@ -37,11 +37,12 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"), F.min(place).alias("first")
     )
     low, high = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
-    spread = spread.filter(F.col("sites") >= F.floor(F.lit(low)))
-    near = spread.filter(F.col("sites") <= F.ceil(F.lit(high))).select("h1", "h2")
-    exact = lines.select("h1", "h2", "site").join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
-    judged = spread.join(exact, ["h1", "h2"], "left")
-    return judged.filter(F.coalesce("exact", "sites") >= min_sites).select("h1", "h2", "first")
+    wide = stored(spread.filter(F.col("sites") >= F.floor(F.lit(low))), "line-spread")
+    near = wide.filter(F.col("sites") <= F.ceil(F.lit(high))).select("h1", "h2")
+    pairs = lines.select("h1", "h2", "site").join(near, ["h1", "h2"], "left_semi")
+    exact = pairs.distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    judged = wide.join(exact, ["h1", "h2"], "left")
+    return stored(judged.filter(F.coalesce("exact", "sites") >= min_sites).select("h1", "h2", "first"), "boilerplate")
 
 
 def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -52,8 +53,9 @@ def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> Dat
     all its other occurrences go. Blank lines are no lines here and stay.
 
     Only hashes of lines are grouped and joined. Marked places come back to their document by 128 bits
-    over its id, source and text, and the text is cut in its row. No join carries a hint: Spark takes
-    the boilerplate to the lines if it measures it as small, else it splits hot lines.
+    over its id, source and text, and the text is cut in its row. No join carries a hint: the lines found
+    are written to the shared folder, so Spark takes them to the documents' lines if the files are
+    small, and else splits hot lines.
 
     Null text gives null, 0 and 0. Rows equal in id, source and text are treated alike, so a first
     occurrence stays in each of them. An empty table gives no rows; columns named like new ones are replaced.
