@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import line_rules, line_spread, mixing, near_dups, packing, url_rules
+from proofgrid.llm import language_id, line_rules, line_spread, mixing, near_dups, packing, url_rules
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.query(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_line_rules": op2_line_rules,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_line_spread": op6_line_spread,
     "op7_near_duplicates": op7_near_duplicates,
