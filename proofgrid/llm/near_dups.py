@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import partitions
+from proofgrid.llm.common import partitions, stored
 from proofgrid.session import durable
 
 SHINGLE = 5  # words
@@ -105,7 +105,10 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets share at least ``LINK`` per cent of their union."""
+    """The pairs ``(a, b)`` whose full shingle sets share at least ``LINK`` per cent of their union.
+
+    Only texts that stand in a pair are taken along.
+    """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -126,8 +129,11 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 links.append(both > 0 and 100 * both >= LINK * (len(x) + len(y) - both))
             yield batch.loc[links, ["a", "b"]]
 
-    texts = lambda side: documents.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    return pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+    pairs = stored(pairs, "near-pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = stored(documents.join(ends, "doc_id", "left_semi"), "near-texts")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import language_id, line_rules, line_spread, mixing, near_dups, packing, url_rules
+from proofgrid.llm import flac, language_id, line_rules, line_spread, mixing, near_dups, packing, url_rules
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.query(table(spark, sf_dir, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.query(spark, table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op6_line_spread": op6_line_spread,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mixing": op8_mixing,
+    "op9_flac": op9_flac,
     "op10_url_rules": op10_url_rules,
 }
 SQL: dict[str, str] = {
