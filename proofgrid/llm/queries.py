@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import flac, language_id, line_rules, line_spread, mixing, near_dups, packing, url_rules
+from proofgrid.llm import cotraining, flac, language_id, line_rules, line_spread, mixing, near_dups, packing, secrets, url_rules
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.query(table(spark, sf_dir, "documents"))
+
+
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,9 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
     "op2_line_rules": op2_line_rules,
+    "op3_quality_cotraining": op3_quality_cotraining,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_line_spread": op6_line_spread,
