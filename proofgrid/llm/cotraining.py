@@ -166,7 +166,14 @@ def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.nda
     smooth = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     own = [_logistic(np.column_stack([even, out[:, v]]), smooth, even, 1e-3) for v in (0, 1)]
     both = np.column_stack([even, *[c[0] + c[1] * out[:, v] for v, c in enumerate(own)]])
-    return CoTrained(views, (*own, _logistic(both, smooth, even, 1e-3)), prior, tuple(int((g >= 0).sum()) for g in given))
+    used = [0, 1, 2]
+    while True:  # a view that would count against itself is left out
+        weights = np.zeros(3)
+        weights[used] = _logistic(both[:, used], smooth, even, 1e-3)
+        if (weights[1:] >= 0).all():
+            break
+        used.remove(1 + int(weights[1:].argmin()))
+    return CoTrained(views, (*own, weights), prior, tuple(int((g >= 0).sum()) for g in given))
 
 
 def _views(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -518,17 +518,15 @@ def store(texts: DataFrame, others: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     they are read, many at a time but never more than about ``CHUNK`` bytes at once besides a longer text.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
-            for a, b in _portions(raw, CHUNK):
-                padded = [r.ljust(max(1, -(-len(r) // UNIT)) * UNIT, b" ") for r in raw[a:b]]
-                out = batch.iloc[a:b][list(others)].copy()
-                out["n_bytes"], out["media"] = [len(r) for r in raw[a:b]], encode(padded)
-                yield out
+    @F.pandas_udf("n_bytes long, media binary")
+    def coded(column: pd.Series) -> pd.DataFrame:
+        raw = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in column]
+        media: list[bytes] = []
+        for a, b in _portions(raw, CHUNK):
+            media += encode([r.ljust(max(1, -(-len(r) // UNIT)) * UNIT, b" ") for r in raw[a:b]])
+        return pd.DataFrame({"n_bytes": [len(r) for r in raw], "media": media})
 
-    schema = ", ".join(texts.schema[c].simpleString().replace(":", " ", 1) for c in others)
-    return texts.select(*others, "text").mapInPandas(work, f"{schema}, n_bytes long, media binary")
+    return texts.select(*others, coded.asNondeterministic()("text").alias("_m")).select(*others, "_m.*")
 
 
 BLOCKS = "blocks array<struct<first_sample:long,n_samples:int,pcm:binary>>"
@@ -543,23 +541,21 @@ def read_blocks(media: DataFrame, column: str = "media") -> DataFrame:
     repeat; an empty table gives no rows.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            streams = batch[column].to_list()
-            for a, b in _portions(streams, CHUNK):
-                found = decode([s if s is not None else b"" for s in streams[a:b]])
-                out = batch.iloc[a:b].copy()
-                for i, name in enumerate(("sample_rate", "channels", "sample_bits")):
-                    out[name] = pd.Series([None if f is None else f[i] for f in found], index=out.index, dtype="object")
-                out["blocks"] = pd.Series(
-                    [None if f is None else [{"first_sample": at, "n_samples": len(x), "pcm": pcm(x, f[2])} for at, x in f[3]] for f in found],
-                    index=out.index, dtype="object",
-                )
-                yield out
-
-    kept = media.drop("sample_rate", "channels", "sample_bits", "blocks")
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(work, f"{own}, sample_rate long, channels int, sample_bits int, {BLOCKS}")
+    @F.pandas_udf(f"sample_rate long, channels int, sample_bits int, {BLOCKS}")
+    def blocks(batch: pd.Series) -> pd.DataFrame:
+        streams, rows = batch.to_list(), []
+        for a, b in _portions(streams, CHUNK):
+            for found in decode([s or b"" for s in streams[a:b]]):
+                if found is None:
+                    rows.append((None,) * 4)
+                else:
+                    *head, own = found
+                    rows.append((*head, [{"first_sample": at, "n_samples": len(x), "pcm": pcm(x, head[2])} for at, x in own]))
+        out = pd.DataFrame(rows, columns=["sample_rate", "channels", "sample_bits", "blocks"], dtype="object")
+        return out
+
+    kept = [c for c in media.columns if c not in ("sample_rate", "channels", "sample_bits", "blocks")]
+    return media.select(*kept, blocks.asNondeterministic()(column).alias("_b")).select(*kept, "_b.*")
 
 
 def features(blocks: DataFrame, others: tuple[str, ...]) -> DataFrame:
@@ -569,26 +565,22 @@ def features(blocks: DataFrame, others: tuple[str, ...]) -> DataFrame:
     Null blocks give nulls.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for blocks_ in batch["blocks"]:
-                if blocks_ is None:
-                    rows.append((None,) * 4)
-                    continue
-                whole = b"".join(b["pcm"] for b in blocks_)
-                x = np.frombuffer(whole, np.uint8).astype(np.int32) - 128
-                power = int((x * x).sum(dtype=np.int64)) // max(1, len(x))
-                turns = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
-                step = int(np.abs(np.diff(x)).max(initial=0))
-                rows.append((len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]), f"power={power};turns={turns};step={step};blocks={len(blocks_)}"))
-            out = batch[list(others)].copy()
-            for i, name in enumerate(("payload_bytes", "payload_sha256", "tail_crc32", "feature")):
-                out[name] = pd.Series([r[i] for r in rows], index=out.index, dtype="object")
-            yield out
-
-    own = ", ".join(blocks.schema[c].simpleString().replace(":", " ", 1) for c in others)
-    return blocks.select(*others, "blocks").mapInPandas(work, f"{own}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    def figures(batch: pd.Series) -> pd.DataFrame:
+        rows = []
+        for blocks_ in batch:
+            if blocks_ is None:
+                rows.append((None,) * 4)
+                continue
+            whole = b"".join(b["pcm"] for b in blocks_)
+            x = np.frombuffer(whole, np.uint8).astype(np.int32) - 128
+            power = int((x * x).sum(dtype=np.int64)) // max(1, len(x))
+            turns = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
+            step = int(np.abs(np.diff(x)).max(initial=0))
+            rows.append((len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]), f"power={power};turns={turns};step={step};blocks={len(blocks_)}"))
+        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"], dtype="object")
+
+    return blocks.select(*others, figures.asNondeterministic()("blocks").alias("_f")).select(*others, "_f.*")
 
 
 def query(documents: DataFrame) -> DataFrame:

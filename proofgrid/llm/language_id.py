@@ -259,8 +259,6 @@ def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[s
         counted = counted.groupBy("lang", F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
         counted, order = stored(counted, "language-counts"), order - 1
     rows = counted.toPandas()
-    own = ", ".join(f"{documents.schema[c].simpleString().replace(':', ' ', 1)}" for c in others)
-    schema = (own + ", " if own else "") + "lang_pred string, score double, cross_entropy double, rejected boolean"
     final = spark.sparkContext.broadcast(Languages(rows, "n", order, alphabet))
 
     weights, limits = None, {}
@@ -286,29 +284,26 @@ def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[s
             some = some.sort_values(["a", "b", "c", "n", "lang"])
             weights = _platt(some[["a", "b", "c"]].to_numpy(), (some["best"] == some["lang"]).to_numpy())
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         models = final.value
         table = symbol_table(models.alphabet)
         names = np.array([*models.names, UNKNOWN], dtype=object)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            out = batch[list(others)].copy()
-            if not models.names:
-                yield out.assign(lang_pred=UNKNOWN, score=0.0, cross_entropy=None, rejected=False)
+        for texts in batches:
+            if not models.names or not len(texts):
+                yield pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "cross_entropy": None, "rejected": False})
                 continue
-            e, n = models.entropies(texts, table)
-            known = n > 0
-            best = np.where(known, e.argmin(axis=1) if len(e) else 0, len(models.names))
-            f = _features(e, n)
-            p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(f)), f]) @ weights, -30, 30))) if weights is not None else np.full(len(f), 0.5)
-            out["lang_pred"] = names[best]
-            out["score"] = np.where(known, p, 0.0)
-            out["cross_entropy"] = pd.Series(np.where(known, f[:, 2], np.nan), index=out.index).astype(object).where(known, None)
-            limit = np.array([limits.get(x, np.inf) for x in out["lang_pred"]])
-            out["rejected"] = known & (f[:, 2] > limit)
-            yield out
-
-    return documents.select(*others, *([] if "text" in others else ["text"])).mapInPandas(work, schema)
+            e, n = models.entropies(texts.to_list(), table)
+            known, f = n > 0, _features(e, n)
+            p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(f)), f]) @ weights, -30, 30))) if weights is not None else 0.5
+            best = names[np.where(known, e.argmin(axis=1), len(models.names))]
+            limit = np.array([limits.get(x, np.inf) for x in best])
+            fit = pd.Series(f[:, 2]).astype(object).where(known, None)
+            yield pd.DataFrame({"lang_pred": best, "score": np.where(known, p, 0.0), "cross_entropy": fit, "rejected": known & (f[:, 2] > limit)})
+
+    own = [c for c in others if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
+    found = documents.select(*own, predicted.asNondeterministic()("text").alias("_found"))
+    return found.select(*own, "_found.*")
 
 
 FOLDS = 5

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _SPACE = " \t\n\x0b\x0c\r"
 _ENDINGS = ".!?…\"'”’»)"
@@ -26,7 +26,7 @@ MIN_WORDS = 50
 REPEAT_SHARE = 50
 
 SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
     " base_failed boolean, kept boolean, n_lines long, n_punctuation_lines long, n_navigation_lines long,"
     " n_boilerplate_lines long, lost_words long, clean_text string"
 )
@@ -106,15 +106,14 @@ def clean(documents: DataFrame) -> DataFrame:
     repeated results, an empty table gives none; other columns are not read.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(",")]
-        for batch in batches:
-            rows = [measure(t if isinstance(t, str) else None) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out
+    names = [c.split()[0] for c in SCHEMA.split(",")]
 
-    return documents.select("doc_id", "text").mapInPandas(work, SCHEMA)
+    @F.pandas_udf(SCHEMA)
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t) for t in texts], columns=names)
+
+    # nondeterministic, so that a filter on the result does not make Spark run it twice
+    return documents.select("doc_id", measured.asNondeterministic()("text").alias("_m")).select("doc_id", "_m.*")
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LENGTH = 1024
 END = 0  # the id after each document
@@ -188,7 +189,7 @@ def pack(documents: DataFrame, tokenizer: str, ranks: str | None = None) -> Data
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = encode(text if isinstance(text, str) else "")
-                heads.append((None if pd.isna(doc_id) else int(doc_id), len(ids)))
+                heads.append((None if doc_id is None else int(doc_id), len(ids)))
                 docs.append(ids)
                 held += len(ids)
                 if held >= BLOCK and (out := flush(False)) is not None:
@@ -196,7 +197,8 @@ def pack(documents: DataFrame, tokenizer: str, ranks: str | None = None) -> Data
         if docs:
             yield flush(True)
 
-    return documents.select("doc_id", "text").mapInPandas(work, SCHEMA)
+    # as text, a null among ids does not turn them into floating-point numbers
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(work, SCHEMA)
 
 
 def query(documents: DataFrame) -> DataFrame:
