@@ -65,37 +65,36 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 _FORGET = 500_000  # words a task remembers
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     known: dict[bytes, int] = {}
-    for batch in batches:
-        for at in range(0, len(batch), 64):  # few enough for their hashes to stay in the cache
-            part = batch.iloc[at : at + 64]
-            if len(known) > _FORGET:
-                known.clear()
-            sets = [shingles(t if isinstance(t, str) else None, known) for t in part["text"]]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)})
-            out["n_shingles"] = [len(s) for s in sets]
-            out["set_key"] = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            out["bands"], out["minima"] = None, None
-            if full:
-                sig = signature([sets[i] for i in full])
-                rows = np.ascontiguousarray(sig[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS)
-                low = np.ascontiguousarray(sig.astype(np.uint8))
-                bands, minima = [None] * len(sets), [None] * len(sets)
-                for k, i in enumerate(full):
-                    bands[i] = [xxhash.xxh3_64_intdigest(r.tobytes(), band) - (1 << 63) for band, r in enumerate(rows[k])]
-                    minima[i] = low[k].tobytes()
-                out["bands"], out["minima"] = bands, minima
-            yield out
-
-
-FINGERPRINTS = "doc_id long, n_shingles long, set_key binary, bands array<long>, minima binary"
+
+    def part(texts: pd.Series) -> list[tuple]:
+        if len(known) > _FORGET:
+            known.clear()
+        sets = [shingles(t, known) for t in texts]
+        full = [s for s in sets if len(s)]
+        sig = iter(signature(full)) if full else iter(())
+        out = []
+        for s in sets:
+            if not len(s):
+                out.append((0, None, None, None))
+                continue
+            minima = next(sig)
+            rows = minima[: BANDS * ROWS].reshape(BANDS, ROWS)
+            bands = [xxhash.xxh3_64_intdigest(r.tobytes(), band) - (1 << 63) for band, r in enumerate(rows)]
+            out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), bands, minima.astype(np.uint8).tobytes()))
+        return out
+
+    for texts in batches:
+        # few at a time, so that their hashes stay in the processor's cache
+        rows = [row for at in range(0, len(texts), 64) for row in part(texts.iloc[at : at + 64])]
+        yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "minima"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """Per document: size and 128-bit key of its shingle set, band hashes, and one byte of each minimum."""
-    return documents.select("doc_id", "text").mapInPandas(_fingerprints, FINGERPRINTS)
+    made = F.pandas_udf(_fingerprints, "n_shingles long, set_key binary, bands array<long>, minima binary").asNondeterministic()
+    return documents.select("doc_id", made("text").alias("_f")).select("doc_id", "_f.*")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
