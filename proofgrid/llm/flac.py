@@ -7,17 +7,20 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 BLOCK = 4608  # samples of a frame; the last one may hold less
 UNIT = 192  # texts are padded to a multiple of this
 RATE = 8000
-CHUNK = 1 << 20  # samples or bytes that are coded at once
+CHUNK = 1 << 19  # samples or bytes that are coded at once
 MOST_RICE = 14  # 15 marks an unencoded partition
 
 _FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}  # fixed predictors
@@ -491,16 +494,36 @@ def _together(streams: list[bytes], group: list[tuple[int, list]], out: list) ->
         at += len(own)
 
 
-def _portions(values: list, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of ``values`` of about ``most`` bytes."""
+def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive values of about ``CHUNK`` bytes."""
     start = held = 0
-    for i, v in enumerate(values):
-        held += len(v or b"")
-        if held >= most:
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= CHUNK:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(values):
-        yield start, len(values)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _with_made(rows: DataFrame, column: str, made: pa.Schema, make: Callable[[list], list[tuple]]) -> DataFrame:
+    """``rows`` with the fields of ``made`` in place of ``column``; other columns pass through unchanged.
+
+    A task makes values of about ``CHUNK`` bytes at a time and hands them on, however large its batches are.
+    """
+    own = [c for c in rows.columns if c != column and c not in made.names]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0)
+            for a, b in _portions(pc.fill_null(pc.binary_length(values), 0).to_pylist()):
+                part = batch.slice(a, b - a)
+                cells = list(zip(*make(part.column(0).to_pylist())))
+                arrays = [*part.columns[1:], *[pa.array(c, t) for c, t in zip(cells, made.types)]]
+                yield pa.RecordBatch.from_arrays(arrays, [*own, *made.names])
+
+    schema = StructType([rows.schema[c] for c in own] + from_arrow_schema(made).fields)
+    return rows.select(column, *own).mapInArrow(work, schema)
 
 
 def pcm(block: np.ndarray, depth: int) -> bytes:
@@ -511,79 +534,73 @@ def pcm(block: np.ndarray, depth: int) -> bytes:
     return np.ascontiguousarray(block.astype("<i8")).view(np.uint8).reshape(block.size, 8)[:, :width].tobytes()
 
 
-def store(texts: DataFrame, others: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: ``others``, ``n_bytes`` of the text as UTF-8 and ``media``, its bytes as a FLAC stream.
+def store(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``n_bytes`` of the text as UTF-8 and ``media``, its bytes as a FLAC stream, for the text.
 
     Bytes 32 pad the text to a positive multiple of ``UNIT``. Null text is empty. Rows are coded where
-    they are read, many at a time but never more than about ``CHUNK`` bytes at once besides a longer text.
+    they are read, many at a time but never more than about ``CHUNK`` bytes at once besides a longer
+    text. Rows may repeat; an empty table gives no rows; columns named like the new ones are replaced.
     """
 
-    @F.pandas_udf("n_bytes long, media binary")
-    def coded(column: pd.Series) -> pd.DataFrame:
-        raw = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in column]
-        media: list[bytes] = []
-        for a, b in _portions(raw, CHUNK):
-            media += encode([r.ljust(max(1, -(-len(r) // UNIT)) * UNIT, b" ") for r in raw[a:b]])
-        return pd.DataFrame({"n_bytes": [len(r) for r in raw], "media": media})
-
-    return texts.select(*others, coded.asNondeterministic()("text").alias("_m")).select(*others, "_m.*")
+    def coded(values: list[str | None]) -> list[tuple]:
+        raw = [(v or "").encode("utf-8", "surrogatepass") for v in values]
+        media = encode([r.ljust(max(1, -(-len(r) // UNIT)) * UNIT, b" ") for r in raw])
+        return [(len(r), m) for r, m in zip(raw, media)]
 
-
-BLOCKS = "blocks array<struct<first_sample:long,n_samples:int,pcm:binary>>"
+    return _with_made(texts, "text", pa.schema([("n_bytes", pa.int64()), ("media", pa.binary())]), coded)
 
 
 def read_blocks(media: DataFrame, column: str = "media") -> DataFrame:
-    """The rows of ``media`` with ``sample_rate``, ``channels``, ``sample_bits`` and ``blocks`` of PCM.
+    """The rows of ``media`` with ``sample_rate``, ``channels``, ``sample_bits`` and ``blocks`` of PCM for the stream.
 
     Blocks are those of the stream's frames in order; ``first_sample`` makes them seekable. Frames
     must pass their header's and their own checksum, and the samples the stream's digest if it has
     one. A null, a stream that is none, is cut or changed gives nulls in the new columns. Rows may
     repeat; an empty table gives no rows.
     """
+    block = pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())])
+    made = pa.schema([("sample_rate", pa.int64()), ("channels", pa.int32()), ("sample_bits", pa.int32()), ("blocks", pa.list_(block))])
 
-    @F.pandas_udf(f"sample_rate long, channels int, sample_bits int, {BLOCKS}")
-    def blocks(batch: pd.Series) -> pd.DataFrame:
-        streams, rows = batch.to_list(), []
-        for a, b in _portions(streams, CHUNK):
-            for found in decode([s or b"" for s in streams[a:b]]):
-                if found is None:
-                    rows.append((None,) * 4)
-                else:
-                    *head, own = found
-                    rows.append((*head, [{"first_sample": at, "n_samples": len(x), "pcm": pcm(x, head[2])} for at, x in own]))
-        out = pd.DataFrame(rows, columns=["sample_rate", "channels", "sample_bits", "blocks"], dtype="object")
-        return out
+    def read(streams: list[bytes | None]) -> list[tuple]:
+        rows = []
+        for found in decode([s or b"" for s in streams]):
+            if found is None:
+                rows.append((None,) * 4)
+            else:
+                *head, own = found
+                rows.append((*head, [{"first_sample": at, "n_samples": len(x), "pcm": pcm(x, head[2])} for at, x in own]))
+        return rows
 
-    kept = [c for c in media.columns if c not in ("sample_rate", "channels", "sample_bits", "blocks")]
-    return media.select(*kept, blocks.asNondeterministic()(column).alias("_b")).select(*kept, "_b.*")
+    return _with_made(media, column, made, read)
 
 
-def features(blocks: DataFrame, others: tuple[str, ...]) -> DataFrame:
-    """Per row of single-channel 8-bit ``blocks``: size, digest, end checksum and features of the samples.
+def features(media: DataFrame, column: str = "media") -> DataFrame:
+    """The rows of ``media`` with size, digest, end checksum and features of the PCM read back, for the stream.
 
-    ``feature`` states mean square, sign changes and largest step of the samples, as whole numbers.
-    Null blocks give nulls.
+    ``feature`` states mean square, sign changes and largest step of the samples and the number of
+    blocks, as whole numbers; it is meant for one channel of 8 bits. A stream that ``read_blocks`` gives
+    nulls for has nulls here.
     """
+    made = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
-    def figures(batch: pd.Series) -> pd.DataFrame:
+    def figures(streams: list[bytes | None]) -> list[tuple]:
         rows = []
-        for blocks_ in batch:
-            if blocks_ is None:
+        for found in decode([s or b"" for s in streams]):
+            if found is None:
                 rows.append((None,) * 4)
                 continue
-            whole = b"".join(b["pcm"] for b in blocks_)
+            whole = b"".join(pcm(x, found[2]) for _, x in found[3])
             x = np.frombuffer(whole, np.uint8).astype(np.int32) - 128
             power = int((x * x).sum(dtype=np.int64)) // max(1, len(x))
             turns = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
             step = int(np.abs(np.diff(x)).max(initial=0))
-            rows.append((len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]), f"power={power};turns={turns};step={step};blocks={len(blocks_)}"))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"], dtype="object")
+            feature = f"power={power};turns={turns};step={step};blocks={len(found[3])}"
+            rows.append((len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]), feature))
+        return rows
 
-    return blocks.select(*others, figures.asNondeterministic()("blocks").alias("_f")).select(*others, "_f.*")
+    return _with_made(media, column, made, figures)
 
 
 def query(documents: DataFrame) -> DataFrame:
-    stored = store(documents)
-    held = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    return features(read_blocks(held), ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    held = store(documents.select("doc_id", "text")).withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return features(held)
