@@ -29,7 +29,7 @@ def n_words(text: Column) -> Column:
 
 def row_key(*columns: str, names: tuple[str, str] = ("_k1", "_k2")) -> list[Column]:
     """128 bits that stand for a row's cells; equal rows, equal keys."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in columns]
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0001")) for c in columns]
     return [F.xxhash64(*cells).alias(names[0]), F.xxhash64(F.lit("second"), *cells).alias(names[1])]
 
 

@@ -206,13 +206,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> CoTrained:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             a, b = _views(batch)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "a": list(a), "b": list(b)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "a": [r.tobytes() for r in a], "b": [r.tobytes() for r in b]})
 
     both = labelled.unionByName(pool.withColumn("label", F.lit(-1.0)))
-    found = both.mapInPandas(measure, "doc_id long, label double, a array<double>, b array<double>").toPandas()
-    found["order"] = [a.tobytes() + b.tobytes() for a, b in zip(found["a"], found["b"])]
-    found = found.sort_values(["doc_id", "order", "label"])
-    stack = lambda part, c, n: np.stack(part[c].to_list()) if len(part) else np.empty((0, n))
+    found = both.mapInPandas(measure, "doc_id long, label double, a binary, b binary").toArrow().to_pandas()
+    found = found.sort_values(["doc_id", "a", "b", "label"])
+    stack = lambda part, c, n: np.frombuffer(b"".join(part[c])).reshape(-1, n)
     views = lambda part: (stack(part, "a", TEXT_VIEW), stack(part, "b", METADATA_VIEW))
     has = found["label"] >= 0
     return co_train(views(found[has]), found.loc[has, "label"].to_numpy(float), views(found[~has]))

@@ -258,7 +258,7 @@ def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[s
             raise ValueError("more languages than the models may hold")
         counted = counted.groupBy("lang", F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
         counted, order = stored(counted, "language-counts"), order - 1
-    rows = counted.toPandas()
+    rows = counted.toArrow().to_pandas()
     final = spark.sparkContext.broadcast(Languages(rows, "n", order, alphabet))
 
     weights, limits = None, {}
@@ -279,7 +279,7 @@ def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[s
         right = tried.filter("best = lang")
         limits = {r["lang"]: r["q"] for r in right.groupBy("lang").agg(F.percentile_approx("c", 0.999).alias("q")).collect()}
         share = min(1.0, CALIBRATION_ROWS / max(1, tried.count()))
-        some = tried.filter(F.pmod(F.xxhash64("lang", "best", "a", "c", "n"), F.lit(1 << 20)) < int(share * (1 << 20))).toPandas()
+        some = tried.filter(F.pmod(F.xxhash64("lang", "best", "a", "c", "n"), F.lit(1 << 20)) < int(share * (1 << 20))).toArrow().to_pandas()
         if len(some):
             some = some.sort_values(["a", "b", "c", "n", "lang"])
             weights = _platt(some[["a", "b", "c"]].to_numpy(), (some["best"] == some["lang"]).to_numpy())
