@@ -231,7 +231,7 @@ def _symmetric(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(doc_id, component)`` for every end of an edge ``(u, v)``: the smallest id it reaches.
+    """``(doc_id, component)`` for the ends of edges ``(u, v)``: the smallest id reached, left out for that id itself.
 
     Large-star links the larger neighbours of each node to its smallest neighbour, small-star the
     smaller ones, by turns until no edge changes. Minima are partial aggregates, and the join that
