@@ -22,7 +22,7 @@ def bin_index(confidence: Column, bins: int = 10) -> Column:
 
 
 def _bin_sums(rows: DataFrame, confidence: str, label: str, bins: int) -> DataFrame:
-    p, y = F.col(confidence), F.col(label).cast("double")
+    p, y = gates.number(confidence, "a confidence"), F.col(label).cast("double")
     return rows.groupBy(bin_index(p, bins).alias("bin")).agg(
         F.count("*").alias("n"), F.sum(p).alias("confidence"), F.sum(y).alias("correct"),
         F.sum((p - y) * (p - y)).alias("squares"),
@@ -30,7 +30,7 @@ def _bin_sums(rows: DataFrame, confidence: str, label: str, bins: int) -> DataFr
 
 
 def calibration_bins(rows: DataFrame, confidence: str, label: str, bins: int = 10) -> DataFrame:
-    """Non-empty bins with size, mean confidence and accuracy."""
+    """Non-empty bins with size, mean confidence and accuracy. A null confidence fails the job."""
     return _bin_sums(rows, confidence, label, bins).select(
         "bin", "n", (F.col("confidence") / F.col("n")).alias("mean_confidence"),
         (F.col("correct") / F.col("n")).alias("accuracy"),
@@ -38,7 +38,10 @@ def calibration_bins(rows: DataFrame, confidence: str, label: str, bins: int = 1
 
 
 def calibration_summary(rows: DataFrame, confidence: str, label: str, bins: int = 10) -> DataFrame:
-    """``n, accuracy, mean_confidence, brier_score, ece``; only n when there are no rows."""
+    """``n, accuracy, mean_confidence, brier_score, ece``; only n when there are no rows.
+
+    A null confidence fails the job.
+    """
     sums = _bin_sums(rows, confidence, label, bins)
     n = F.sum("n")
     return sums.agg(
@@ -52,7 +55,7 @@ def calibration_summary(rows: DataFrame, confidence: str, label: str, bins: int
 
 def checked_summary(rows: DataFrame, confidence: str, label: str, bins: int = 10) -> DataFrame:
     """The summary after the range gate."""
-    gates.enforce(gates.outside_unit_interval(rows, confidence), "confidence must lie in [0, 1]")
+    gates.enforce(gates.outside_unit_interval(rows, confidence), "confidences outside the unit interval")
     return calibration_summary(rows, confidence, label, bins)
 
 
@@ -60,9 +63,9 @@ def risk_coverage(rows: DataFrame, confidence: str, label: str, coverages=COVERA
     """Accuracy and risk of the most confident share of rows; equal confidences take correct rows first.
 
     Rows are first counted per (confidence, label), so ties of any size are one row, and
-    a share is cut inside a tie by arithmetic. No row gets a rank.
+    a share is cut inside a tie by arithmetic. No row gets a rank. A null confidence fails the job.
     """
-    levels = rows.groupBy(F.col(confidence).alias("p"), F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    levels = rows.groupBy(gates.number(confidence, "a confidence").alias("p"), F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n"))
     running = with_running_sums(levels, [F.desc("p"), F.desc("y")], ["n"])
     total = running.agg(F.sum("n").alias("total"))
     sized = running.withColumn("total", total.scalar())
@@ -85,7 +88,7 @@ def risk_coverage(rows: DataFrame, confidence: str, label: str, coverages=COVERA
 
 def _levels(rows: DataFrame, score: str, label: str) -> DataFrame:
     y = F.col(label).cast("int")
-    return rows.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    return rows.groupBy(gates.number(score, "a score").alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
 def ranking_quality(rows: DataFrame, score: str, label: str) -> DataFrame:
@@ -123,7 +126,7 @@ def selective_risk(rows: DataFrame, score: str, label: str, target: float) -> Da
 
 def fit_logistic(development: DataFrame, logprob: str, label: str) -> tuple[LogisticRegressionModel, int]:
     """Logistic map from mean log probability to correctness, with unit L2 strength and free intercept."""
-    gates.enforce(gates.single_class(development, label), "both classes are needed for calibration")
+    gates.enforce(gates.single_class(development, label), "a logistic map needs right and wrong answers")
     rows = development.select(F.col(logprob).cast("double").alias("x"), F.col(label).cast("double").alias("label"))
     n = rows.count()
     features = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
@@ -138,13 +141,21 @@ def with_probability(rows: DataFrame, logprob: str, coefficient: float, intercep
 
 
 def fit_and_evaluate(development: DataFrame, test: DataFrame, logprob: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """The calibration summary of ``test`` with the fitted numbers, and the calibrated rows."""
+    """The calibration report of ``test`` and its calibrated rows.
+
+    The report is one row: summary, fitted numbers, ``bins`` and ``risk_coverage`` as arrays of fixed
+    size. A probability that is null or outside [0, 1] fails the job.
+    """
     model, n = fit_logistic(development, logprob, label)
     coefficient, intercept = float(model.coefficients[0]), float(model.intercept)
     rows = with_probability(test, logprob, coefficient, intercept)
-    summary = calibration_summary(rows, "calibrated_correctness_probability", label)
+    scored = "calibrated_correctness_probability"
+    summary = checked_summary(rows, scored, label)
+    nested = lambda part: part.agg(F.sort_array(F.collect_list(F.struct(*part.columns)))).scalar()
     return (
-        summary.withColumn("development_n", F.lit(n))
+        summary.withColumn("bins", nested(calibration_bins(rows, scored, label)))
+        .withColumn("risk_coverage", nested(risk_coverage(rows, scored, label)))
+        .withColumn("development_n", F.lit(n))
         .withColumn("logistic_coefficient", F.lit(coefficient))
         .withColumn("logistic_intercept", F.lit(intercept)),
         rows,

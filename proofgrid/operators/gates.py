@@ -72,7 +72,15 @@ def one_sided_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def outside_unit_interval(df: DataFrame, column: str) -> DataFrame:
-    return df.filter((F.col(column) < 0) | (F.col(column) > 1))
+    """Rows without a number in [0, 1]; null and NaN are outside."""
+    c = F.col(column).cast("double")
+    return df.filter(c.isNull() | F.isnan(c) | (c < 0) | (c > 1))
+
+
+def number(df_column: str, what: str) -> Column:
+    """A column as it is, or a failed job from inside the plan where it is null."""
+    c = F.col(df_column)
+    return require(c.isNotNull(), c, f"{what} must not be null")
 
 
 def single_class(df: DataFrame, label: str) -> DataFrame:

@@ -30,10 +30,14 @@ class Design:
     insertion: bool = True
     seed: int = 42
 
+    def __post_init__(self) -> None:
+        if not all(0 < f <= 1 for f in self.levels):
+            raise ValueError("a level is a share of the patches, above 0 and at most 1")
+
     def masks(self) -> list[tuple[str, float, str, int]]:
         """(method, fraction, mode, repeat) of every mask of an item."""
-        modes = [("targeted", 0), ("least_salient", 0)] + [("random", r) for r in range(self.random_repeats)]
-        own = [(m, f, mode, r) for m in self.methods for f in self.levels for mode, r in modes]
+        repeats = {"targeted": 1, "least_salient": 1, "random": self.random_repeats}
+        own = [(m, f, mode, r) for m in self.methods for f in self.levels for mode, n in repeats.items() for r in range(n)]
         control = [(RANDOM_MAP, f, "targeted", r) for r in range(self.random_repeats) for f in self.levels]
         return own + control
 
@@ -130,9 +134,11 @@ def mask_table(items: DataFrame, design: Design = Design()) -> DataFrame:
     ``items``: ``item_id, values, maps`` and whatever else is to be kept, where ``maps``
     is ``map<method, array>``. Items are shuffled once, before they grow, so what follows
     stays partitioned by item. Patches are ranked once per map, random maps
-    included, not once per level.
+    included, not once per level. A map with a value that is no number, or with one value
+    throughout, fails the job: leave such maps out with ``saliency.validate`` first.
     """
-    ranked = F.transform_values("maps", lambda m, v: saliency.ranked_patches(v))
+    usable = lambda v: ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & (F.array_max(v) > F.array_min(v))
+    ranked = F.transform_values("maps", lambda m, v: gates.require(usable(v), saliency.ranked_patches(v), "a map is not valid"))
     control = F.transform(F.sequence(F.lit(0), F.lit(design.random_repeats - 1)), lambda r: _random_order(design, r))
     ranks = together(items, "item_id").withColumn("_ranked", ranked).withColumn("_control", control)
     cells = ranks.select("*", F.inline(_cells(design)))
@@ -157,7 +163,7 @@ def run(
     partitioned by item, so the reduction to effects shuffles nothing.
     """
     values = F.transform("values", lambda v: v.cast("double"))
-    ready = items.withColumn("values", values)
+    ready = with_map_hash(items).withColumn("values", values)
     if stored is not None:
         done = stored.groupBy("item_id").agg(F.collect_list("intervention_id").alias("_done"))
         ready = ready.join(done, "item_id", "left")
@@ -188,7 +194,12 @@ def stored_rows(spark: SparkSession, store: str) -> DataFrame | None:
         return None
 
 
-PROVENANCE = ["target_text", "model_revision", "adapter_revision"]
+PROVENANCE = ["target_text", "model_revision", "adapter_revision", "attribution_sha256"]
+
+
+def with_map_hash(items: DataFrame) -> DataFrame:
+    """Items with the hash of all their maps, which each of their scores carries."""
+    return items.withColumn("attribution_sha256", F.sha2(F.to_json(F.sort_array(F.map_entries("maps"))), 256))
 
 
 def run_and_append(
@@ -197,10 +208,10 @@ def run_and_append(
     """Append what is missing in the parquet folder ``store``; return all of it."""
     stored = stored_rows(items.sparkSession, store)
     if stored is not None:
-        gates.enforce(gates.repeated_keys(stored, "intervention_id"), "duplicate intervention ids in stored results")
-        now = items.select("item_id", *PROVENANCE)
+        gates.enforce(gates.repeated_keys(stored, "intervention_id"), "the store holds an intervention twice")
+        now = with_map_hash(items).select("item_id", *PROVENANCE)
         changed = gates.changed_provenance(now, stored, ["item_id"], PROVENANCE)
-        gates.enforce(changed.select("item_id"), "target or model changed beneath stored interventions")
+        gates.enforce(changed.select("item_id"), "stored scores belong to another answer, model or map")
     run(items, scorer, width, design, stored).write.mode("append").parquet(store)
     return items.sparkSession.read.parquet(store)
 
@@ -238,7 +249,7 @@ def level_effects(rows: DataFrame) -> DataFrame:
     )
     complete = (F.col("_targeted") == 1) & (F.col("_random") >= 1)
     effect = F.col("random_fixed_answer_mean_logprob") - F.col("targeted_fixed_answer_mean_logprob")
-    message = "each item, method, level and treatment needs one targeted and repeated random scores"
+    message = "an effect needs exactly one targeted and at least one random score"
     return grouped.withColumn("targeted_deletion_effect", gates.require(complete, effect, message)).drop(
         "_targeted", "_random"
     )

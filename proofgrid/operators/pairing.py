@@ -15,7 +15,7 @@ def shifted_sources(rows: DataFrame, source: str, image: str, order: list[Column
     ranked = with_position(own, source)
     n = ranked.count()
     if n < 2:
-        raise ValueError("the shuffled control needs at least two sources")
+        raise ValueError("one source alone has no other to swap images with")
     following = ranked.select(F.pmod(F.col("position") - 1, F.lit(n)).alias("position"), F.col(image).alias("shifted_image"))
     return ranked.join(following, "position").select(source, "shifted_image")
 
@@ -52,5 +52,5 @@ def paired_differences(
         *[(side(a, m) - side(b, m)).alias(f"{m}_difference") for m in metrics],
     )
     complete = (F.col("_a") == 1) & (F.col("_b") == 1)
-    checked = gates.require(complete, F.col(key), "paired conditions have different item ids")
+    checked = gates.require(complete, F.col(key), "an item lacks one of the two conditions or has one twice")
     return grouped.withColumn(key, checked).drop("_a", "_b")

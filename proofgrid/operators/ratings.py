@@ -39,16 +39,16 @@ def stratified_examples(rows: DataFrame, stratum: str, key: str, per_stratum: in
     return rows.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= per_stratum)
 
 
-def classification_quality(rows: DataFrame, group: str, truth: Column, guess: Column) -> DataFrame:
-    """Accuracy, precision, recall and F1 of a binary decision per question type."""
-    counts = rows.groupBy(group).agg(
+def classification_quality(rows: DataFrame, group: list[str], truth: Column, guess: Column) -> DataFrame:
+    """Accuracy, precision, recall and F1 of a binary decision per group, such as condition and question type."""
+    counts = rows.groupBy(*group).agg(
         F.count("*").alias("n"), F.count_if(truth & guess).alias("tp"), F.count_if(~truth & guess).alias("fp"),
         F.count_if(truth & ~guess).alias("fn"), F.count_if(~truth & ~guess).alias("tn"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     return counts.select(
-        group, "n", ratio(tp + F.col("tn"), F.col("n")).alias("accuracy"), ratio(tp, tp + fp).alias("precision"),
+        *group, "n", ratio(tp + F.col("tn"), F.col("n")).alias("accuracy"), ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
 

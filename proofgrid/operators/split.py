@@ -22,9 +22,9 @@ def grouped_split(records: DataFrame, group: str, seed: int, dev_fraction: float
     by an expression, without join or shuffle, however large a group is.
     """
     if not (0 < dev_fraction < 1 and 0 < test_fraction < 1):
-        raise ValueError("fractions must lie between 0 and 1")
+        raise ValueError("each share must be above 0 and below 1")
     if dev_fraction + test_fraction >= 1:
-        raise ValueError("fractions must sum to less than 1")
+        raise ValueError("test and development leave nothing for training")
     groups = durable(records.select(group).distinct().select(seeded_digest(seed, F.col(group)).alias("digest")))
     total = groups.count()
     if total == 0:

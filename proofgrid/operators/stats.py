@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.functions.keys import hash60, joined
+from proofgrid.operators import gates
 from proofgrid.operators.ranking import with_position
 
 BROADCAST_CLUSTERS = 1_000_000  # up to here the cluster sums are a few dozen megabytes
@@ -23,7 +24,7 @@ def _draws(df: DataFrame, clusters: int, n_boot: int, seed: int) -> DataFrame:
 
 
 def interval_positions(n_boot: int, ci: float) -> tuple[int, int]:
-    """0-based places of both ends among the sorted replicates."""
+    """0-based places of both ends among the sorted replicates (fixed rule of the interval)."""
     alpha = 1 - ci
     return int((alpha / 2) * n_boot), int((1 - alpha / 2) * n_boot) - 1
 
@@ -36,11 +37,11 @@ def replicate_means(rows: DataFrame, cluster: str, values: list[str], n_boot: in
     """Means of each replicate, the cluster sums, and the number of clusters.
 
     A replicate's mean needs only sum and count of each drawn cluster, so rows shrink to
-    one per cluster before anything is drawn.
+    one per cluster before anything is drawn. A null value fails the job.
     """
     key = F.col(cluster).cast("string")
     sums = rows.groupBy(key.alias("cluster")).agg(
-        F.count("*").alias("n"), *[F.sum(F.col(v).cast("double")).alias(v) for v in values]
+        F.count("*").alias("n"), *[F.sum(gates.number(v, "a resampled value").cast("double")).alias(v) for v in values]
     )
     placed = with_position(sums, "cluster")
     clusters = placed.count()
@@ -85,10 +86,10 @@ def cluster_bootstrap_statistic(
 
     ``statistic`` takes ``replicate, <group>, <sums>`` and returns ``replicate, estimate``.
     Rows shrink to sums per cluster and group; a replicate adds them with the number of
-    times each cluster was drawn.
+    times each cluster was drawn. A null among the sums fails the job.
     """
     key = F.col(cluster).cast("string")
-    parts = rows.groupBy(key.alias("cluster"), *group).agg(*[F.sum(F.col(s).cast("double")).alias(s) for s in sums])
+    parts = rows.groupBy(key.alias("cluster"), *group).agg(*[F.sum(gates.number(s, "a resampled value").cast("double")).alias(s) for s in sums])
     placed = with_position(parts.select("cluster").distinct(), "cluster")
     clusters = placed.count()
     times = _draws(rows, clusters, n_boot, seed).groupBy("replicate", "position").agg(F.count("*").alias("times"))

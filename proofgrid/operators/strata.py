@@ -20,20 +20,27 @@ def strata(complexity: Column, classes: Column) -> Column:
     )
 
 
-def stratified_means(scored: DataFrame, complexity: Column, classes: Column, metrics: list[str]) -> DataFrame:
+def stratified_means(
+    scored: DataFrame, complexity: Column, classes: Column, metrics: list[str], by: tuple[str, ...] = ()
+) -> DataFrame:
     """``stratum_kind, stratum, n`` and the mean of each metric, from one scan and one shuffle.
 
     Rows with several classes count in each of them. If the rows carry corpus BLEU counts,
     the result also has ``corpus_bleu``, pooled per stratum and not a mean of row scores.
+    ``by`` keeps sets of predictions apart. Without it, no input gives one overall row with ``n`` 0.
     """
     pooled = [c for c in BLEU_COUNTS if c in scored.columns]
-    spread = scored.select(F.inline(strata(complexity, classes)), *metrics, *pooled)
-    grouped = spread.groupBy("stratum_kind", "stratum").agg(
+    spread = scored.select(*by, F.inline(strata(complexity, classes)), *metrics, *pooled)
+    grouped = spread.groupBy(*by, "stratum_kind", "stratum").agg(
         F.count("*").alias("n"),
         *[F.avg(m).alias(m) for m in metrics],
         *[F.sum(c).alias(c) for c in pooled],
     )
-    if not pooled:
+    if pooled:
+        bleu = textscore.corpus_bleu_value({c: F.col(c) for c in pooled})
+        grouped = grouped.withColumn("corpus_bleu", bleu).drop(*pooled)
+    if by:
         return grouped
-    bleu = textscore.corpus_bleu_value({c: F.col(c) for c in pooled})
-    return grouped.withColumn("corpus_bleu", bleu).drop(*pooled)
+    nothing = scored.sparkSession.range(1).select(F.lit("overall").alias("stratum_kind"), F.lit("all").alias("stratum"), F.lit(0).cast("long").alias("n"))
+    absent = nothing.filter(spread.agg(F.count("*")).scalar() == 0)
+    return grouped.unionByName(absent, allowMissingColumns=True)

@@ -21,6 +21,7 @@ BLEU_ORDER = 4
 BLEU_EPSILON = 0.1
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 
+# Names of the scores.
 METRICS = ["exact_match", "bleu", "rouge1", "rouge2", "rougeL", "meteor"]
 
 
@@ -219,26 +220,44 @@ def _match(found: DataFrame, key: list[str], forms: list[str]) -> DataFrame:
     return grouped.select(*key, "ref", "pred", *later)
 
 
+def _match_groups(found: DataFrame, key: list[str], synonyms: DataFrame) -> DataFrame:
+    """Pairs of lone tokens (``open_word``) that share a group, each token in one pair at most.
+
+    In each group the k-th last of one side meets the k-th last of the other; a token that meets
+    several keeps the last.
+    """
+    lone = found.filter("ref is null or pred is null")
+    groups = synonyms.filter("word is not null and synonym_group is not null").select(F.col("word").alias("open_word"), "synonym_group").distinct()
+    side = F.col("ref").isNotNull().alias("_side")
+    spread = lone.join(groups, "open_word").select(*key, "ref", "pred", "synonym_group", side)
+    from_end = Window.partitionBy(*key, "_side", "synonym_group").orderBy(F.desc(F.coalesce("ref", "pred")))
+    met = spread.withColumn("_k", F.row_number().over(from_end)).groupBy(*key, "synonym_group", "_k").agg(F.max("ref").alias("ref"), F.max("pred").alias("pred"))
+    once = met.filter("ref is not null and pred is not null").groupBy(*key, "pred").agg(F.max("ref").alias("ref"))
+    return once.groupBy(*key, "ref").agg(F.max("pred").alias("pred")).select(*key, "ref", "pred")
+
+
 def meteor(
     rows: DataFrame, key: list[str], reference: str, prediction: str, synonyms: DataFrame | None = None,
     vocabulary_limit: int = VOCABULARY_LIMIT,
 ) -> DataFrame:
     """``key, meteor``: exact matches, then stems, then synonym groups; fewer chunks score higher.
 
-    ``synonyms`` (``word, synonym_group``) is optional; without it the third stage is empty.
+    ``synonyms`` (``word, synonym_group``) is optional; without it the third stage is empty. A word may
+    stand in several groups; a token is matched once all the same.
     """
     listed = _normal_tokens(rows, key, reference, prediction)
     tokens_ = _stemmed_tokens(listed, key, ["ref", "pred"], vocabulary_limit)
     forms = ["word", "stem"]
     if synonyms is not None:
-        tokens_ = tokens_.join(synonyms, "word", "left")
-        forms.append("synonym_group")
+        tokens_ = tokens_.withColumn("open_word", F.col("word"))
+    kept = ["open_word"] if synonyms is not None else []
     at = lambda s: F.when(F.col("side") == s, F.col("pos")).alias(s)
-    found = tokens_.select(*key, at("ref"), at("pred"), *forms)
-    while forms:
-        found = _match(found, key, forms)
-        forms = forms[1:]
-    pairs = found.filter("ref is not null and pred is not null")
+    found = tokens_.select(*key, at("ref"), at("pred"), *forms, *kept)
+    for i in range(len(forms)):
+        found = _match(found, key, [*forms[i:], *kept])
+    pairs = found.filter("ref is not null and pred is not null").select(*key, "ref", "pred")
+    if synonyms is not None:
+        pairs = pairs.union(_match_groups(found, key, synonyms))
     along = Window.partitionBy(*key).orderBy("pred")
     follows = lambda c: F.coalesce(F.col(c) - F.lag(c).over(along) == 1, F.lit(False))
     chained = pairs.withColumn("_new", ~(follows("pred") & follows("ref")))

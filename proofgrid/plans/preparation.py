@@ -11,7 +11,6 @@ from proofgrid.plans import inputs, sqltext
 from proofgrid.plans.inputs import table
 from proofgrid.plans.registry import query
 from proofgrid.plans.sqltext import canon, h60
-from proofgrid.session import sized
 from proofgrid.sources import files
 
 # ---- gates -----------------------------------------------------------------------
@@ -116,7 +115,7 @@ def one_sided_keys(spark, sf):
     return gates.one_sided_keys(orders, customers, "custkey")
 
 
-@query("c7_outside_unit_interval", "SELECT event_id, value / 300.0 AS confidence FROM events WHERE value / 300.0 > 1", doubles=("confidence",))
+@query("c7_outside_unit_interval", "SELECT event_id, value / 300.0 AS confidence FROM events WHERE value IS NULL OR value / 300.0 > 1", doubles=("confidence",))
 def outside_unit_interval(spark, sf):
     """Confidences outside [0, 1]."""
     rows = table(spark, sf, "events").select("event_id", (F.col("value") / 300.0).alias("confidence"))
@@ -300,27 +299,35 @@ def control_images(spark, sf):
 _RUN = 8
 
 
-def _runs(df, key, text):
-    """Hashes of all runs of eight words with their place."""
+def _runs(df, key, text, lengths):
+    """Hashes of all runs of as many words as ``lengths`` (an array column) says, with their place."""
     w = keys.words(F.col(text))
-    starts = F.when(F.size("w") >= _RUN, F.sequence(F.lit(1), F.size("w") - (_RUN - 1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, _RUN), " ")))
-    return df.select(key, w.alias("w")).select(
-        key, (F.size("w") - (_RUN - 1)).alias("runs"), F.posexplode(hashes).alias("at", "run")
-    )
+    sized_ = df.select(key, w.alias("w"), lengths(F.size(w)).alias("lengths")).select(key, "w", F.explode("lengths").alias("length"))
+    starts = F.when(F.size("w") >= F.col("length"), F.sequence(F.lit(1), F.size("w") - F.col("length") + 1))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("length")), " ")))
+    return sized_.select(key, "length", (F.size("w") - F.col("length") + 1).alias("runs"), F.posexplode(hashes).alias("at", "run"))
 
 
 def contained_passages(spark, sf):
-    """Benchmark passages (of eight words or more) that occur in a document, word for word.
+    """Benchmark passages that occur in a document, word for word.
 
-    Both sides meet on runs of eight words. A passage is contained where all its runs
-    follow each other, that is, where as many runs as it has meet at one distance.
+    Both sides meet on hashes of runs of eight words, shorter passages on runs of their own
+    length; documents make the lengths that occur (eight at most). A passage is a candidate
+    where all its runs follow each other, that is, where as many runs as it has meet at
+    one distance; then the texts are compared. A passage without a word is in no document.
     """
-    docs = _runs(inputs.documents(spark, sf), "doc_id", "text").select("doc_id", F.col("at").alias("doc_at"), "run")
-    passages = sized(_runs(table(spark, sf, "benchmark"), "item_id", "text"), 1_000_000)
-    meet = docs.join(passages, "run").groupBy("doc_id", "item_id", "runs", (F.col("doc_at") - F.col("at")).alias("distance"))
-    found = meet.agg(F.count("*").alias("met")).filter(F.col("met") == F.col("runs"))
-    return found.select("item_id", "doc_id").distinct()
+    passages, documents = table(spark, sf, "benchmark").select("item_id", "text"), inputs.documents(spark, sf)
+    own = _runs(passages, "item_id", "text", lambda n: F.filter(F.array(F.least(n, F.lit(_RUN))), lambda x: x > 0))
+    lengths = sorted(r[0] for r in own.select("length").distinct().collect())  # numbers from 1 to 8
+    if not lengths:
+        return passages.select("item_id").join(documents.select("doc_id"), F.lit(False))
+    docs = _runs(documents, "doc_id", "text", lambda n: F.array(*[F.lit(x) for x in lengths]))
+    docs = docs.select("doc_id", "length", F.col("at").alias("doc_at"), "run")
+    meet = docs.join(own, ["length", "run"]).groupBy("doc_id", "item_id", "runs", (F.col("doc_at") - F.col("at")).alias("distance"))
+    near = meet.agg(F.count("*").alias("met")).filter(F.col("met") == F.col("runs")).select("item_id", "doc_id").distinct()
+    words = lambda df, key, name: df.select(key, F.concat(F.lit(" "), F.array_join(keys.words(F.col("text")), " "), F.lit(" ")).alias(name))
+    both = near.join(words(passages, "item_id", "passage"), "item_id").join(words(documents, "doc_id", "document"), "doc_id")
+    return both.filter(F.contains("document", F.col("passage"))).select("item_id", "doc_id").distinct()
 
 
 _CONTAINED = f"""

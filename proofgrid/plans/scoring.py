@@ -260,30 +260,29 @@ def score_all(spark, sf):
     "e6_stratified_means",
     f"""WITH {sqltext.SCORED}, {_STRATA}
     SELECT condition, st.k AS stratum_kind, st.s AS stratum, count(*) AS n, avg(exact_match) AS exact_match,
-      avg(confidence) AS confidence FROM strata WHERE condition = 'constant' GROUP BY ALL""",
+      avg(confidence) AS confidence FROM strata GROUP BY ALL""",
     doubles=("exact_match", "confidence"),
 )
 def stratified_means(spark, sf):
-    """Scores of one condition overall, by complexity and by class."""
-    rows = inputs.scored_exact(spark, sf).filter("condition = 'constant'")
-    means = strata.stratified_means(rows, F.col("complexity"), F.col("classes"), ["exact_match", "confidence"])
-    return means.withColumn("condition", F.lit("constant"))
+    """Scores of every condition overall, by complexity and by class."""
+    rows = inputs.scored_exact(spark, sf)
+    return strata.stratified_means(rows, F.col("complexity"), F.col("classes"), ["exact_match", "confidence"], by=("condition",))
 
 
 @query(
     "e7_stratified_corpus_bleu",
     f"""WITH {_COUNTS_13A}, {_STRATA}, pooled AS (
-      SELECT st.k AS stratum_kind, st.s AS stratum, count(*) AS n, avg(exact_match) AS exact_match,
+      SELECT condition, st.k AS stratum_kind, st.s AS stratum, count(*) AS n, avg(exact_match) AS exact_match,
         {", ".join(f"sum(m{n}) AS m{n}, sum(p{n}) AS p{n}" for n in range(1, 5))}, sum(r1) AS r1
       FROM strata JOIN stat USING ({K}) GROUP BY ALL)
-    SELECT stratum_kind, stratum, n, exact_match, {_corpus_value_sql()} AS corpus_bleu FROM pooled""",
+    SELECT condition, stratum_kind, stratum, n, exact_match, {_corpus_value_sql()} AS corpus_bleu FROM pooled""",
     doubles=("exact_match", "corpus_bleu"),
 )
 def stratified_corpus_bleu(spark, sf):
-    """Pooled corpus BLEU of every stratum next to its mean exact match."""
+    """Pooled corpus BLEU of every stratum of each condition next to its mean exact match."""
     rows = inputs.scored_exact(spark, sf)
     counts = textscore.corpus_bleu_counts(rows, KEY, "reference", "prediction").select(*KEY, *strata.BLEU_COUNTS)
-    return strata.stratified_means(rows.join(counts, KEY), F.col("complexity"), F.col("classes"), ["exact_match"])
+    return strata.stratified_means(rows.join(counts, KEY), F.col("complexity"), F.col("classes"), ["exact_match"], by=("condition",))
 
 
 # ---- calibration -------------------------------------------------------------------

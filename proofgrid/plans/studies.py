@@ -170,19 +170,19 @@ def answer_changes(spark, sf):
 @query(
     "n10_classification_quality",
     f"""WITH {_CLASS_ROWS}, b AS (
-      SELECT class, len({words('reference')}) > 60 AS t, len({words('prediction')}) > 60 AS g FROM cls WHERE condition IN ('unadapted', 'question_only'))
-    SELECT class, count(*) AS n, count(*) FILTER (t = g) / count(*) AS accuracy,
+      SELECT condition, class, len({words('reference')}) > 60 AS t, len({words('prediction')}) > 60 AS g FROM cls)
+    SELECT condition, class, count(*) AS n, count(*) FILTER (t = g) / count(*) AS accuracy,
       coalesce(count(*) FILTER (t AND g) / nullif(count(*) FILTER (g), 0), 0) AS precision,
       coalesce(count(*) FILTER (t AND g) / nullif(count(*) FILTER (t), 0), 0) AS recall,
       coalesce(2 * count(*) FILTER (t AND g) / nullif(count(*) FILTER (t) + count(*) FILTER (g), 0), 0) AS f1
-    FROM b GROUP BY 1""",
+    FROM b GROUP BY 1, 2""",
     doubles=("accuracy", "precision", "recall", "f1"),
 )
 def classification_quality(spark, sf):
-    """How well a long answer predicts a long reference, per class."""
-    rows = _class_rows(spark, sf).filter(F.col("condition").isin("unadapted", "question_only"))
+    """How well a long answer predicts a long reference, per condition and class."""
+    rows = _class_rows(spark, sf)
     long = lambda c: keys.word_count(F.col(c)) > 60
-    return ratings.classification_quality(rows, "class", long("reference"), long("prediction"))
+    return ratings.classification_quality(rows, ["condition", "class"], long("reference"), long("prediction"))
 
 
 @query(
