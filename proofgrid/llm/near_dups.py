@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,21 @@ from proofgrid.llm.common import partitions, stored
 from proofgrid.session import durable
 
 SHINGLE = 5  # words
-LINK = 85  # per cent of the union that linked sets share, at least
-BANDS, ROWS = 24, 6  # a pair at the threshold misses every band once in 80,000 times, at 0.9 once in 80 million
-MINIMA = 384  # universal hash minima per document; the first BANDS * ROWS make the bands
-# standard error 0.018 at the threshold: a linked pair has a lower estimate once in 10^5 times
-SIGNATURE_FLOOR = 0.77
+MINIMA = 384  # universal hash minima per document; the first ``bands * rows`` make the bands
+
+
+@dataclass(frozen=True)
+class Linking:
+    """When two sets are linked, and bands and signature floor that lose no more than one such pair in 80,000 each."""
+
+    link: int  # per cent of the union that linked sets share, at least
+    bands: int
+    rows: int  # of minima in a band
+    floor: float  # estimated similarity, four standard errors below the threshold
+
+
+AT_80 = Linking(80, 30, 5, 0.71)  # a pair at the threshold misses every band once in 150,000 times
+AT_85 = Linking(85, 24, 6, 0.77)  # once in 80,000 times, at 0.9 once in 80 million
 BLOCK = 512  # documents of a bucket that are compared with as many others at once
 
 _rng = np.random.default_rng(20_240_607)
@@ -65,7 +76,7 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 _FORGET = 500_000  # words a task remembers
 
 
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pd.Series], linking: Linking) -> Iterator[pd.DataFrame]:
     known: dict[bytes, int] = {}
 
     def part(texts: pd.Series) -> list[tuple]:
@@ -80,7 +91,7 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 out.append((0, None, None, None))
                 continue
             minima = next(sig)
-            rows = minima[: BANDS * ROWS].reshape(BANDS, ROWS)
+            rows = minima[: linking.bands * linking.rows].reshape(linking.bands, linking.rows)
             bands = [xxhash.xxh3_64_intdigest(r.tobytes(), band) - (1 << 63) for band, r in enumerate(rows)]
             out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), bands, minima.astype(np.uint8).tobytes()))
         return out
@@ -91,9 +102,14 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "minima"])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, linking: Linking = AT_80) -> DataFrame:
     """Per document: size and 128-bit key of its shingle set, band hashes, and one byte of each minimum."""
-    made = F.pandas_udf(_fingerprints, "n_shingles long, set_key binary, bands array<long>, minima binary").asNondeterministic()
+
+    @F.pandas_udf("n_shingles long, set_key binary, bands array<long>, minima binary")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _fingerprints(batches, linking)
+
+    made = prints.asNondeterministic()
     return documents.select("doc_id", made("text").alias("_f")).select("doc_id", "_f.*")
 
 
@@ -103,8 +119,8 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets share at least ``LINK`` per cent of their union.
+def confirmed(pairs: DataFrame, documents: DataFrame, linking: Linking) -> DataFrame:
+    """The pairs ``(a, b)`` whose full shingle sets are linked.
 
     Only texts that stand in a pair are taken along.
     """
@@ -125,7 +141,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
             for a, b in zip(batch["text_a"], batch["text_b"]):
                 x, y = set_of("a", a), set_of("b", b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(both > 0 and 100 * both >= LINK * (len(x) + len(y) - both))
+                links.append(both > 0 and 100 * both >= linking.link * (len(x) + len(y) - both))
             yield batch.loc[links, ["a", "b"]]
 
     pairs = stored(pairs, "near-pairs")
@@ -142,7 +158,7 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     return members.join(sizes, "bucket")
 
 
-def star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+def star_pairs(members: DataFrame, classes: DataFrame, linking: Linking) -> DataFrame:
     """Each member of a bucket with its smallest, where sizes and signatures allow a link."""
     pairs = members.filter("doc_id <> p").select(F.col("doc_id").alias("a"), F.col("p").alias("b")).distinct()
     side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("minima").alias(f"minima_{c}"))
@@ -151,13 +167,13 @@ def star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 rows = lambda c: np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, MINIMA)
-                yield batch.loc[_alike(rows("minima_a"), rows("minima_b")) >= SIGNATURE_FLOOR, ["a", "b"]]
+                yield batch.loc[_alike(rows("minima_a"), rows("minima_b")) >= linking.floor, ["a", "b"]]
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= LINK * F.greatest("n_a", "n_b"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= linking.link * F.greatest("n_a", "n_b"))
     return sized.select("a", "b", "minima_a", "minima_b").mapInPandas(near, "a long, b long")
 
 
-def _open_pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(rows: dict[str, np.ndarray], linking: Linking) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one bucket and two of its blocks (or one, if they are the same) that may be links."""
     label, size, ids = rows["component"], rows["n_shingles"], rows["doc_id"]
     right = np.flatnonzero(rows["own"] == rows["j"])
@@ -167,8 +183,8 @@ def _open_pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for place, k in enumerate(left):
         others = right[place + 1 :] if within else right
         small, big = np.minimum(size[k], size[others]), np.maximum(size[k], size[others])
-        others = others[(label[others] != label[k]) & (100 * small >= LINK * big)]
-        others = others[_alike(rows["minima"][others], rows["minima"][k]) >= SIGNATURE_FLOOR] if len(others) else others
+        others = others[(label[others] != label[k]) & (100 * small >= linking.link * big)]
+        others = others[_alike(rows["minima"][others], rows["minima"][k]) >= linking.floor] if len(others) else others
         if len(others):
             common = rows["bands"][others] == rows["bands"][k]
             first = rows["bands"][k][common.argmax(axis=1)]
@@ -178,7 +194,7 @@ def _open_pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare_blocks(batches: Iterator[pd.DataFrame], linking: Linking) -> Iterator[pd.DataFrame]:
     """Runs of one bucket and pair of blocks; a run may go on in the next batch, and holds two blocks at most."""
     held: dict[str, np.ndarray] | None = None
 
@@ -186,7 +202,7 @@ def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = np.stack([rows["bucket"], rows["i"], rows["j"]])
         starts = np.concatenate([[0], np.flatnonzero((task[:, 1:] != task[:, :-1]).any(axis=0)) + 1, [task.shape[1]]])
         ends = len(starts) - 1 if last else len(starts) - 2
-        found = [_open_pairs({c: v[a:b] for c, v in rows.items()}) for a, b in zip(starts[:ends], starts[1 : ends + 1])]
+        found = [_open_pairs({c: v[a:b] for c, v in rows.items()}, linking) for a, b in zip(starts[:ends], starts[1 : ends + 1])]
         rest = {c: v[starts[ends] :] for c, v in rows.items()}
         a, b = (np.concatenate([f[side] for f in found]) if found else np.empty(0, np.int64) for side in (0, 1))
         return pd.DataFrame({"a": a, "b": b}), rest
@@ -205,7 +221,7 @@ def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield runs(held, True)[0]
 
 
-def rest_pairs(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+def rest_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, linking: Linking) -> DataFrame:
     """Pairs inside buckets that the stars left in different components and that signatures allow.
 
     The smallest member has been compared with all; buckets whose others are one component are done.
@@ -223,7 +239,8 @@ def rest_pairs(members: DataFrame, classes: DataFrame, found: DataFrame) -> Data
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other", "n")
     task = ["bucket", "i", "j"]
-    return dealt.repartition(partitions(members), *task).sortWithinPartitions(*task, "doc_id").mapInPandas(_compare_blocks, "a long, b long")
+    compare = lambda batches: _compare_blocks(batches, linking)
+    return dealt.repartition(partitions(members), *task).sortWithinPartitions(*task, "doc_id").mapInPandas(compare, "a long, b long")
 
 
 def _symmetric(edges: DataFrame) -> DataFrame:
@@ -255,12 +272,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc_id")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, linking: Linking = AT_80) -> DataFrame:
     """Per row of ``documents``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
 
     A document's set holds its distinct shingles of five words (ASCII lower case); a shorter text is one
-    shingle. Two documents are linked if their sets share at least 85 % of their union; a component is
-    named by its smallest id, and that document is kept.
+    shingle. Two documents are linked if their sets share at least ``linking.link`` per cent of their union;
+    a component is named by its smallest id, and that document is kept.
 
     1. Equal sets meet by a 128-bit key in a partial aggregate and go on as their smallest id.
     2. Signatures are cut into bands. In each bucket every member is compared with the smallest: by size
@@ -273,7 +290,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     one document and end in one component. A null id is linked with nothing: component null, kept.
     Other columns are not read; an empty table gives no rows.
     """
-    prints = durable(fingerprints(documents))
+    prints = durable(fingerprints(documents, linking))
     some = prints.filter("doc_id is not null and n_shingles > 0")
     least = F.min_by(F.struct("doc_id", "n_shingles", "bands", "minima"), "doc_id").alias("least")
     classes = durable(some.groupBy("set_key").agg(least).select("set_key", "least.*"))
@@ -281,9 +298,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text").filter("doc_id is not null")
     edge = lambda u, v: (F.coalesce(*u).alias("u"), F.coalesce(*v).alias("v"))
 
-    links = confirmed(star_pairs(members, classes), texts)
+    links = confirmed(star_pairs(members, classes, linking), texts, linking)
     found = durable(components(links.select(*edge(("a",), ("b",)))))
-    more = confirmed(rest_pairs(members, classes, found), texts)
+    more = confirmed(rest_pairs(members, classes, found, linking), texts, linking)
     label = lambda side: found.select(F.col("doc_id").alias(side), F.col("component").alias(f"c{side}"))
     more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(*edge(("ca", "a"), ("cb", "b")))
 
@@ -299,4 +316,4 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def query(documents: DataFrame) -> DataFrame:
-    return near_duplicates(documents)
+    return near_duplicates(documents, AT_85)

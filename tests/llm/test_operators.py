@@ -87,6 +87,18 @@ def test_odd_rows_near_duplicates(spark):
     assert got[25].component_id == 24 and got[26].component_id == 26
 
 
+def test_threshold_of_a_link(spark):
+    """Sets of 96 shingles: 86 of 106 in common are a link at 80 and none at 85, 85 of 107 are none."""
+    words = [f"w{i}" for i in range(100)]
+    edited = lambda *at: " ".join("edit" if i in at else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, edited(20, 70)), (3, " ".join(f"v{i}" for i in range(100))), (4, " ".join("edit" if i in (0, 20, 70) else f"v{i}" for i in range(100)))]
+    sets = word_sets(dict(rows))
+    for linking in (near_dups.AT_80, near_dups.AT_85):
+        got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(documents(spark, rows), linking).collect()}
+        assert got == brute_components(sets, linking.link)
+    assert brute_components(sets, 80)[2] == 1 and brute_components(sets, 85)[2] == 2 and brute_components(sets, 80)[4] == 4
+
+
 def test_links_that_the_stars_leave_open(spark, monkeypatch):
     """A chain in which the smallest id is linked with nobody, in blocks of two."""
     monkeypatch.setattr(near_dups, "BLOCK", 2)
@@ -170,6 +182,23 @@ def test_mixing(spark):
     assert sorted(map(str, mixing.copies(df.repartition(7)).collect())) == sorted(map(str, got))
 
 
+def test_mixing_of_one_row_repeated_many_times(spark):
+    """More copies than one portion holds; other rows that share their id stay as they are."""
+    same = [(5, "one two three", "en", "a")] * 3000
+    rows = [*same, (5, "one two", "en", "a"), *[(i, "w w", "en", "bc"[i % 2]) for i in range(10, 40)], (None, None, None, None)]
+    df = documents(spark, rows)
+    taken = {}
+    for r in mixing.copies(df).collect():
+        taken[r.doc_id, r.size] = taken.get((r.doc_id, r.size), 0) + r.copies
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    found = {}
+    for r in mixed.collect():
+        at = (r.doc_id, len((r.text or "").split()))
+        found[at] = found.get(at, 0) + 1
+    assert found == {k: n for k, n in taken.items() if n} and found[5, 3] > mixing.PORTION
+
+
 def test_url_rules(spark):
     urls = [
         "http://com/en/1", "https://A.Example.COM/en/7?x=/de/", "ftp://example.com/en/8", "x://notcom/en/", "http://www.example.net/de/8",

@@ -58,7 +58,7 @@ def word_sets(docs):
     return sets
 
 
-def brute_components(sets):
+def brute_components(sets, link=80):
     parent = {d: d for d in sets}
 
     def root(d):
@@ -70,7 +70,7 @@ def brute_components(sets):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= link * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {d: root(d) for d in ids}
@@ -78,7 +78,7 @@ def brute_components(sets):
 
 def test_near_duplicates_against_all_pairs(spark, docs):
     sets = word_sets(docs)
-    want = brute_components(sets)
+    want = brute_components(sets, 85)
     for r in queries.QUERIES["op7_near_duplicates"](spark, FOLDER).collect():
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
