@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import n_words, row_key
+from proofgrid.llm.common import n_words, partitions, row_key, stored
 from proofgrid.operators.ranking import with_position, with_running_sums
 from proofgrid.session import durable
 
 WEIGHTS = (5, 2, 1)  # by code-point order of the sources, repeating
 MOST = 3  # times a source, and so each of its documents, is taken at most
 SEED = "mix-1"
+PORTION = 1024  # copies of a repeated row that are written out at once
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -68,15 +69,21 @@ def copies(documents: DataFrame) -> DataFrame:
 def mix(documents: DataFrame) -> DataFrame:
     """The rows of ``documents``, each as often as the mix takes it, with their own columns.
 
-    Rows equal in all columns share the sum of their copies; the result has that many of them.
+    Rows equal in all columns share the sum of their copies; the result has that many of them. They
+    shrink to one row before they are written out again in portions, so that any number of them is
+    spread over all tasks.
     """
     key = ["_k1", "_k2"]
     dealt = copies(documents).groupBy(*key).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows")).filter("_sum > 0")
+    dealt = stored(dealt, "mix-copies")
     keyed = documents.select(F.struct(*documents.columns).alias("_row"), *row_key(*documents.columns))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    share = lambda n: F.floor(n * F.col("_sum") / F.col("_rows"))
-    rows = keyed.join(dealt, key).withColumn("_nth", nth).withColumn("_take", share(F.col("_nth")) - share(F.col("_nth") - 1))
-    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_take").cast("int")))).select("_row.*")
+    written = lambda rows: rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_sum").cast("int")))).select("_row.*")
+    single = keyed.join(dealt.filter("_rows = 1"), key)
+    repeated = stored(dealt.filter("_rows > 1"), "mix-repeated")  # a row per group, so that its size is measured
+    once = keyed.join(repeated, key).groupBy(*key).agg(F.first("_row").alias("_row"), F.first("_sum").alias("_sum"))
+    portions = once.select("_row", "_sum", F.explode(F.expr(f"sequence(0L, _sum - 1, {PORTION}L)")).alias("_from"))
+    portions = portions.withColumn("_sum", F.least(F.col("_sum") - F.col("_from"), F.lit(PORTION))).repartition(partitions(documents))
+    return written(single).unionByName(written(portions))
 
 
 def query(documents: DataFrame) -> DataFrame:
