@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.functions import keys
 from proofgrid.operators.ranking import first_per_group, order_statistic, with_position
-from proofgrid.session import durable
+from proofgrid.session import durable, stored
 
 
 def seeded_digest(seed: int, value: Column) -> Column:
@@ -66,13 +68,17 @@ def balanced_subset(
     dealt to ``rounds`` of equal size in hash order, and a round sees the counts of the
     earlier ones. One round is a plain hash choice; as many rounds as groups is choosing
     group after group. The result says how many rounds there were.
+
+    The pool is written by round, so a round reads its own rows only, and counts are carried on as one
+    row per stratum. Rows of a group with equal items are told apart by their content.
     """
     stratum = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("stratum"))
     strata = F.concat(
         F.array(stratum("complexity", keys.stratum_text(F.col(complexity)))),
         F.transform(keys.labels_or_default(F.col(classes)), lambda c: stratum("class", c)),
     )
-    pool = records.withColumn("_tie", seeded_digest(seed, F.col(item))).withColumn("_strata", strata)
+    content = F.sha2(F.to_json(F.struct(*records.columns)), 256)
+    pool = records.withColumn("_tie", F.concat(seeded_digest(seed, F.col(item)), content)).withColumn("_strata", strata)
     by_tie = [F.col("_tie")]
     if rounds == 1:
         return first_per_group(pool, [group], by_tie).drop("_tie", "_strata").withColumn("rounds", F.lit(1))
@@ -80,17 +86,18 @@ def balanced_subset(
     dealt = with_position(groups, "_order", out="_place")
     total = dealt.count()
     turns = dealt.select(group, F.floor(F.col("_place") * rounds / total).cast("int").alias("_turn"))
-    pool = durable(pool.join(turns, group))
-    chosen = None
+    pool = stored(pool.join(turns, group), "pool", "_turn")
+    chosen, counts = [], None
     for turn in range(rounds):
         here = pool.filter(F.col("_turn") == turn)
-        if chosen is not None:
-            counts = chosen.select(F.inline("_strata")).groupBy("kind", "stratum").agg(F.count("*").alias("n"))
+        if counts is not None:
             parts = here.select(group, "_tie", F.inline("_strata")).join(counts, ["kind", "stratum"], "left")
             mean_of = lambda kind: F.avg(F.when(F.col("kind") == kind, F.coalesce("n", F.lit(0))))
             loads = parts.groupBy(group, "_tie").agg((mean_of("complexity") + mean_of("class")).alias("load"))
             best = loads.groupBy(group).agg(F.min(F.struct("load", "_tie")).alias("best"))
             here = here.join(best.select(group, "best._tie"), [group, "_tie"], "left_semi")
-        picked = durable(first_per_group(here, [group], by_tie))
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-    return chosen.drop("_tie", "_strata", "_turn").withColumn("rounds", F.lit(rounds))
+        chosen.append(durable(first_per_group(here, [group], by_tie)))
+        seen = chosen[-1].select(F.inline("_strata")).withColumn("n", F.lit(1).cast("long"))
+        seen = seen if counts is None else seen.unionByName(counts)
+        counts = stored(seen.groupBy("kind", "stratum").agg(F.sum("n").alias("n")), "strata")
+    return reduce(DataFrame.unionByName, chosen).drop("_tie", "_strata", "_turn").withColumn("rounds", F.lit(rounds))

@@ -43,6 +43,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that Spark plans with its measured size.
+
+    ``by`` names columns whose values get folders of their own; a filter on them reads no other.
+    """
+    folder = shared_folder(df.sparkSession, name)
+    (df.write.partitionBy(*by) if by else df.write).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def together(df: DataFrame, *key: str) -> DataFrame:
     """Rows of one key in one of ``spark.sql.shuffle.partitions`` partitions.
 

@@ -146,6 +146,14 @@ def test_balanced_subset_with_one_round_per_group_is_the_sequential_choice(spark
     assert {r["item_id"] for r in got.collect()} == set(wanted)
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_balanced_subset_takes_one_row_per_group_where_items_are_equal(spark, rounds):
+    rows = [(g, "same", c, [c]) for g in "abcd" for c in "123"]
+    df = spark.createDataFrame(rows, "source string, item_id string, complexity string, classes array<string>")
+    take = lambda d: sorted(map(tuple, split.balanced_subset(d, "source", "item_id", "complexity", "classes", 42, rounds=rounds).drop("classes").collect()))
+    assert [r[0] for r in take(df)] == list("abcd") and take(df) == take(df.orderBy(F.desc("complexity")))
+
+
 def test_gates_fail_with_examples(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 1.5)], "k int, p double")
     with pytest.raises(gates.GateError, match="twice"):
