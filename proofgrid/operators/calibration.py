@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,14 +124,34 @@ def selective_risk(rows: DataFrame, score: str, label: str, target: float) -> Da
     )
 
 
-def fit_logistic(development: DataFrame, logprob: str, label: str) -> tuple[LogisticRegressionModel, int]:
-    """Logistic map from mean log probability to correctness, with unit L2 strength and free intercept."""
+def _polished(rows: DataFrame, coefficient: float, intercept: float) -> tuple[float, float]:
+    """Newton steps from close by, one aggregate each, until they no longer change the numbers."""
+    for _ in range(20):
+        p = 1.0 / (1.0 + F.exp(-(F.lit(coefficient) * F.col("x") + F.lit(intercept))))
+        w, x, miss = p * (1.0 - p), F.col("x"), p - F.col("label")
+        row = rows.agg(F.sum(miss * x).alias("ga"), F.sum(miss).alias("gb"), F.sum(w * x * x).alias("aa"), F.sum(w * x).alias("ab"), F.sum(w).alias("bb")).first()
+        ga, aa = row["ga"] + coefficient, row["aa"] + 1.0
+        det = aa * row["bb"] - row["ab"] ** 2
+        step = (row["bb"] * ga - row["ab"] * row["gb"]) / det, (aa * row["gb"] - row["ab"] * ga) / det
+        coefficient, intercept = coefficient - step[0], intercept - step[1]
+        if max(map(abs, step)) <= 1e-12 * (1 + abs(coefficient) + abs(intercept)):
+            break
+    return coefficient, intercept
+
+
+def fit_logistic(development: DataFrame, logprob: str, label: str) -> tuple[float, float, int]:
+    """Coefficient, intercept and rows of the logistic map from mean log probability to correctness.
+
+    Unit L2 strength on the coefficient, free intercept. The fit of ``pyspark.ml`` stops at its
+    tolerance; Newton steps take it to the last digits, so that any engine finds the same numbers.
+    """
     gates.enforce(gates.single_class(development, label), "a logistic map needs right and wrong answers")
     rows = development.select(F.col(logprob).cast("double").alias("x"), F.col(label).cast("double").alias("label"))
     n = rows.count()
     features = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
     learner = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=200)
-    return learner.fit(features), n
+    model = learner.fit(features)
+    return *_polished(rows, float(model.coefficients[0]), float(model.intercept)), n
 
 
 def with_probability(rows: DataFrame, logprob: str, coefficient: float, intercept: float) -> DataFrame:
@@ -146,8 +166,7 @@ def fit_and_evaluate(development: DataFrame, test: DataFrame, logprob: str, labe
     The report is one row: summary, fitted numbers, ``bins`` and ``risk_coverage`` as arrays of fixed
     size. A probability that is null or outside [0, 1] fails the job.
     """
-    model, n = fit_logistic(development, logprob, label)
-    coefficient, intercept = float(model.coefficients[0]), float(model.intercept)
+    coefficient, intercept, n = fit_logistic(development, logprob, label)
     rows = with_probability(test, logprob, coefficient, intercept)
     scored = "calibrated_correctness_probability"
     summary = checked_summary(rows, scored, label)

@@ -198,9 +198,22 @@ def vocabulary_stems(spark, sf):
     return stem.stemmed(vocabulary)
 
 
-@query("h4_rouge_l")
+#: The table of subsequence lengths, a row per token of ``r`` that ``p`` holds: where ``p`` has that token, the
+#: length before its last place so far grows by one.
+_ROUGE_L = f"""WITH {_STEMMED},
+places AS (
+  SELECT {K}, r, p, list_filter(list_transform(r, lambda t: list_filter(generate_series(1, len(p)), lambda x: p[x] = t)), lambda q: len(q) > 0) AS qs
+  FROM tok),
+lcs AS (
+  SELECT {K}, len(r) AS rl, len(p) AS pl, coalesce(list_reduce(list_prepend(list_transform(p, lambda t: 0::BIGINT), qs), lambda old, q:
+    list_transform(old, lambda v, j: greatest(v, CASE WHEN q[1] <= j THEN coalesce(old[list_filter(q, lambda x: x <= j)[-1] - 1], 0) + 1 ELSE 0 END)))[-1], 0) AS ml
+  FROM places)
+SELECT {K}, coalesce(2.0 * ml / nullif(rl + pl, 0), 0) AS rougeL FROM lcs"""
+
+
+@query("h4_rouge_l", _ROUGE_L, doubles=("rougeL",))
 def rouge_l(spark, sf):
-    """ROUGE-L on stems; the tests compare it with a plain table of subsequence lengths."""
+    """ROUGE-L on stems."""
     ready = textscore.rouge_ready(inputs.predictions(spark, sf), KEY, "reference", "prediction")
     return textscore.rouge_l(ready, KEY)
 
@@ -246,7 +259,15 @@ def corpus_bleu(spark, sf):
     return pooled.select("condition", textscore.corpus_bleu_value({c: F.col(c) for c in strata.BLEU_COUNTS}).alias("corpus_bleu"))
 
 
-@query("h7_score_all")
+_ROUGE_N = f"WITH {_STEMMED}, {_grams_sql('tok', 2)} SELECT {K}, {_F(1)} AS rouge1, {_F(2)} AS rouge2 FROM stat"
+
+
+@query(
+    "h7_score_all",
+    f"""SELECT * FROM (WITH {sqltext.SCORED} SELECT {K}, source, exact_match FROM scored) JOIN ({_SENTENCE}) USING ({K})
+    JOIN ({_ROUGE_N}) USING ({K}) JOIN ({_ROUGE_L}) USING ({K}) JOIN ({_METEOR}) USING ({K})""",
+    doubles=("exact_match", "bleu", "rouge1", "rouge2", "rougeL", "meteor"),
+)
 def score_all(spark, sf):
     """All six scores next to every input row."""
     scored = textscore.score_answers(inputs.predictions(spark, sf), KEY)
@@ -338,14 +359,35 @@ _CALIBRATED = f"""{sqltext.SCORED},
 cal AS (SELECT *, 1.0 / (1.0 + exp(-({_COEF}::DOUBLE * mean_logprob + {_INTERCEPT}::DOUBLE))) AS probability FROM scored)"""
 
 
-@query("i1_logistic_fit")
+def _newton_sql(steps: int) -> str:
+    """Newton steps from zero on ``dev(x, y)``, one after the other, with a penalty on the coefficient only."""
+    parts = ["b0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b)"]
+    for i in range(1, steps + 1):
+        parts.append(f"""
+g{i} AS (
+  SELECT any_value(a) AS a, any_value(b) AS b, sum((h - y) * x) + any_value(a) AS ga, sum(h - y) AS gb,
+    sum(h * (1 - h) * x * x) + 1 AS aa, sum(h * (1 - h) * x) AS ab, sum(h * (1 - h)) AS bb
+  FROM (SELECT x, y, a, b, 1 / (1 + exp(-(a * x + b))) AS h FROM dev, b{i - 1})),
+b{i} AS MATERIALIZED (SELECT a - (bb * ga - ab * gb) / (aa * bb - ab * ab) AS a, b - (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM g{i})""")
+    return ",".join(parts)
+
+
+_FITTED = f"""{sqltext.SCORED},
+dev AS MATERIALIZED (SELECT mean_logprob AS x, exact_match AS y FROM scored WHERE ih % 2 = 0), {_newton_sql(12)}"""
+
+
+@query(
+    "i1_logistic_fit",
+    f"WITH {_FITTED} SELECT (SELECT count(*) FROM dev) AS development_n, a AS coefficient, b AS intercept FROM b12",
+    doubles=("coefficient", "intercept"),
+)
 def logistic_fit(spark, sf):
-    """Logistic map fitted on the development half of the predictions; the tests compare it with Newton steps."""
+    """Logistic map fitted on the development half of the predictions."""
     development = inputs.scored_exact(spark, sf).filter("ih % 2 = 0")
-    model, n = calibration.fit_logistic(development, "mean_logprob", "exact_match")
-    return development.agg(F.count("*").alias("development_n")).withColumn(
-        "coefficient", F.lit(float(model.coefficients[0]))
-    ).withColumn("intercept", F.lit(float(model.intercept)))
+    coefficient, intercept, _ = calibration.fit_logistic(development, "mean_logprob", "exact_match")
+    return development.agg(F.count("*").alias("development_n")).withColumn("coefficient", F.lit(coefficient)).withColumn(
+        "intercept", F.lit(intercept)
+    )
 
 
 @query(
