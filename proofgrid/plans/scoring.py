@@ -401,12 +401,37 @@ def calibrated_probability(spark, sf):
     return rows.select(*KEY, "calibrated_correctness_probability")
 
 
-@query("i3_fit_and_evaluate")
+_REPORT_DOUBLES = ("level", "accuracy", "mean_confidence", "brier_score", "ece", "risk", "logistic_coefficient", "logistic_intercept")
+
+
+@query(
+    "i3_fit_and_evaluate",
+    f"""WITH {_FITTED},
+    conf AS MATERIALIZED (SELECT 1 / (1 + exp(-(a * mean_logprob + b))) AS confidence, exact_match AS correct FROM scored, b12 WHERE ih % 2 = 1), {_BINS},
+    report AS (
+      SELECT 'summary' AS part, NULL::DOUBLE AS level, CAST(sum(n) AS BIGINT) AS n, sum(n * accuracy) / sum(n) AS accuracy,
+        sum(n * mean_confidence) / sum(n) AS mean_confidence, sum(squares) / sum(n) AS brier_score,
+        sum(n * abs(mean_confidence - accuracy)) / sum(n) AS ece, NULL::DOUBLE AS risk FROM bins
+      UNION ALL SELECT 'bin', bin, n, accuracy, mean_confidence, NULL, NULL, NULL FROM bins
+      UNION ALL SELECT 'coverage', coverage, n, accuracy, NULL, NULL, NULL, risk FROM ({_risk_sql("cal AS (FROM conf)", "cal", "confidence", "correct")}))
+    SELECT report.*, (SELECT count(*) FROM dev) AS development_n, a AS logistic_coefficient, b AS logistic_intercept FROM report, b12""",
+    doubles=_REPORT_DOUBLES,
+)
 def fit_and_evaluate(spark, sf):
-    """Calibration summary of the test half under the map of the development half."""
+    """The calibration report of the test half under the map of the development half: a row for the summary, each bin and each coverage."""
     rows = inputs.scored_exact(spark, sf)
-    summary, _ = calibration.fit_and_evaluate(rows.filter("ih % 2 = 0"), rows.filter("ih % 2 = 1"), "mean_logprob", "exact_match")
-    return summary
+    report, _ = calibration.fit_and_evaluate(rows.filter("ih % 2 = 0"), rows.filter("ih % 2 = 1"), "mean_logprob", "exact_match")
+    figures = ("accuracy", "mean_confidence", "brier_score", "ece", "risk")
+
+    def cell(part, level, n, **known):
+        own = [known.get(f, F.lit(None)).cast("double").alias(f) for f in figures]
+        return F.struct(F.lit(part).alias("part"), level.cast("double").alias("level"), n.cast("long").alias("n"), *own)
+
+    own = cell("summary", F.lit(None), F.col("n"), **{f: F.col(f) for f in figures[:4]})
+    binned = F.transform("bins", lambda x: cell("bin", x.bin, x.n, accuracy=x.accuracy, mean_confidence=x.mean_confidence))
+    covered = F.transform("risk_coverage", lambda x: cell("coverage", x.coverage, x.n, accuracy=x.accuracy, risk=x.risk))
+    fitted = ["development_n", "logistic_coefficient", "logistic_intercept"]
+    return report.select(F.explode(F.concat(F.array(own), binned, covered)).alias("cell"), *fitted).select("cell.*", *fitted)
 
 
 _LEVELS = """
