@@ -13,13 +13,16 @@ from proofgrid.llm.common import stored
 
 ORDER = 4
 ALPHABET = 254  # the most frequent letters of the training texts; all others are one symbol
-MOST_GRAMS = 4_000_000  # (language, n-gram) rows that a model may hold: 64 MB; beyond, the order is lowered
+MOST_CELLS = 32_000_000  # numbers (256 MB) of models that go to every task; larger ones are joined, with the same rows
+HELD = 1 << 22  # n-grams of a language that a task holds before it hands them on
 CALIBRATION_ROWS = 20_000  # documents, chosen by hash, that the calibration is fitted on
 UNKNOWN = "und"
 SLICE = 1 << 18  # characters scored at once
+DIGITS = 10  # of a cross-entropy; sums in another order agree to more
 
 _GAP, _OTHER = 0, 255
-_HASH = np.uint32(2_654_435_769)  # odd, so that packed n-grams keep apart
+_BITS = 21  # of a code point
+_HASH = np.uint64(0x9E37_79B9_7F4A_7C15), np.uint64(0xC2B2_AE3D_27D4_EB4F)
 
 
 def _letters() -> np.ndarray:
@@ -52,7 +55,7 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     codes = codes[(codes != _GAP) | np.r_[False, codes[:-1] != _GAP]] if len(codes) else codes
     if len(codes) and codes[-1] == _GAP:
         codes = codes[:-1]
-    return np.concatenate([np.zeros(ORDER - 1, np.uint8), codes, np.zeros(1, np.uint8)])
+    return np.concatenate([np.zeros(ORDER - 1, codes.dtype), codes, np.zeros(1, codes.dtype)])
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -65,74 +68,90 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams as ``(context, last)``: three symbols of 21 bits each, and the symbol after them."""
+    wide = keys.astype(np.uint64)
+    context = np.zeros(len(wide), np.uint64)
+    for i in range(ORDER - 1, 0, -1):
+        context = (context << np.uint64(_BITS)) | ((wide >> np.uint64(8 * i)) & np.uint64(255))
+    return context, wide & np.uint64(255)
+
+
+def _suffix(symbols: int) -> int:
+    """Mask of a context's last symbols."""
+    return (1 << _BITS * symbols) - 1
+
+
+def _hashed(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return context * _HASH[0] + last * _HASH[1]
+
+
 class Model:
     """Probabilities of one language, from its counts of n-grams of the highest order.
 
     Lower orders use the number of distinct symbols before an n-gram. At each order the discounted
     part is interpolated with the next lower order by the context's weight; below single symbols
-    stands the uniform distribution. Keys are kept as sorted hash arrays.
+    stands the uniform distribution. N-grams are kept as sorted arrays of 64-bit hashes.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
-        self.order = order
+    def __init__(self, keys: np.ndarray | tuple, counts: np.ndarray, order: int = ORDER, symbols: int = 256):
+        self.order, self.symbols = order, symbols
         self.levels = []
+        context, last = keys if isinstance(keys, tuple) else _pairs(keys)
         for k in range(order, 0, -1):
             once, twice = int((counts == 1).sum()), int((counts == 2).sum())
             discount = once / (once + 2 * twice) if once else 0.5
-            context, where = np.unique(keys >> np.uint32(8), return_inverse=True)
+            own, where = np.unique(context, return_inverse=True)
             total = np.bincount(where, counts)
             weight = discount * np.bincount(where) / total
             part = np.maximum(counts - discount, 0) / total[where]
-            self.levels.append((*_sorted(keys, part), *_sorted(context, weight)))
-            below = np.uint32((1 << 8 * (k - 1)) - 1)
-            keys, counts = np.unique(keys & below, return_counts=True) if k > 1 else (keys, counts)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+            hashes = _hashed(context, last)
+            by = np.argsort(hashes)
+            self.levels.append((hashes[by], part[by], own, weight))
+            if k > 1:
+                context = context & np.uint64(_suffix(k - 2))
+                _, at, counts = np.unique(_hashed(context, last), return_index=True, return_counts=True)
+                context, last = context[at], last[at]
+
+    def __call__(self, keys: np.ndarray | tuple) -> np.ndarray:
         """Probability of the last symbol of each key after the others."""
-        p = np.full(len(keys), 1 / 256)
+        context, last = keys if isinstance(keys, tuple) else _pairs(keys)
+        p = np.full(len(last), 1 / self.symbols)
         for k, (hashes, part, contexts, weight) in zip(range(1, self.order + 1), reversed(self.levels)):
-            own = keys & np.uint32((1 << 8 * k) - 1)
-            p = _found(hashes, part, own, 0.0) + _found(contexts, weight, own >> np.uint32(8), 1.0) * p
+            own = context & np.uint64(_suffix(k - 1))
+            p = _found(hashes, part, _hashed(own, last), 0.0) + _found(contexts, weight, own, 1.0) * p
         return p
 
 
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes = keys.astype(np.uint32) * _HASH
-    order = np.argsort(hashes)
-    return hashes[order], values[order].astype(np.float32)
-
-
-def _found(hashes: np.ndarray, values: np.ndarray, keys: np.ndarray, missing: float) -> np.ndarray:
-    want = keys * _HASH
-    at = np.minimum(np.searchsorted(hashes, want), len(hashes) - 1)
-    return np.where(hashes[at] == want, values[at], missing)
+def _found(keys: np.ndarray, values: np.ndarray, want: np.ndarray, missing: float) -> np.ndarray:
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return np.where(keys[at] == want, values[at], missing)
 
 
 class Languages:
     """The models of all languages with the table of log-probabilities for every known n-gram."""
 
-    def __init__(self, counted: pd.DataFrame, column: str, order: int, alphabet: list[int]):
+    def __init__(self, counted: pd.DataFrame, column: str, symbols: int, alphabet: list[int]):
         counted = counted[counted[column] > 0]
         self.names = sorted(counted["lang"].unique())
-        self.order, self.alphabet = order, alphabet
+        self.alphabet = alphabet
+        pairs = lambda rows: (rows["context"].to_numpy(np.int64).astype(np.uint64), rows["last"].to_numpy(np.int64).astype(np.uint64))
         self.models = [
-            Model(rows["gram"].to_numpy(np.int64).astype(np.uint32), rows[column].to_numpy(np.float64), order)
-            for _, rows in sorted(counted.groupby("lang"), key=lambda x: x[0])
+            Model(pairs(rows), rows[column].to_numpy(np.float64), ORDER, symbols) for _, rows in sorted(counted.groupby("lang"), key=lambda x: x[0])
         ]
-        known = np.unique(counted["gram"].to_numpy(np.int64).astype(np.uint32))
-        hashes = known * _HASH
-        known = known[np.argsort(hashes)]
-        self.hashes = known * _HASH
-        self.table = np.stack([np.log(m(known)) for m in self.models], axis=1).astype(np.float32) if self.models else None
-
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys & np.uint32((1 << 8 * self.order) - 1)
-        want = keys * _HASH
+        context, last = pairs(counted)
+        self.hashes, at = np.unique(_hashed(context, last), return_index=True)
+        known = context[at], last[at]
+        self.table = np.stack([np.log(m(known)) for m in self.models], axis=1) if self.models else None
+
+    def log_probabilities(self, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        want = _hashed(*keys)
         at = np.minimum(np.searchsorted(self.hashes, want), len(self.hashes) - 1)
         out = self.table[at]
         new = np.flatnonzero(self.hashes[at] != want)
         if len(new):
-            out[new] = np.stack([np.log(m(keys[new])) for m in self.models], axis=1)
+            some = keys[0][new], keys[1][new]
+            out[new] = np.stack([np.log(m(some)) for m in self.models], axis=1)
         return out
 
     def entropies(self, texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,9 +160,10 @@ class Languages:
         owners, parts, held = [], [], 0
 
         def score() -> None:
-            lengths = [len(p) for p in parts]
+            lengths = [len(last) for _, last in parts]
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-            np.add.at(sums, owners, np.add.reduceat(self.log_probabilities(np.concatenate(parts)), starts, axis=0, dtype=np.float64))
+            keys = tuple(np.concatenate(side) for side in zip(*parts))
+            np.add.at(sums, owners, np.add.reduceat(self.log_probabilities(keys), starts, axis=0))
 
         for i, text in enumerate(texts):
             codes = symbols(text, table) if text else None
@@ -151,9 +171,9 @@ class Languages:
                 continue
             sizes[i] = len(codes) - ORDER + 1
             for a in range(0, int(sizes[i]), SLICE):
-                keys = grams(codes[a : a + SLICE + ORDER - 1])
+                keys = _pairs(grams(codes[a : a + SLICE + ORDER - 1]))
                 owners.append(i), parts.append(keys)
-                held += len(keys)
+                held += len(keys[1])
                 if held >= SLICE:
                     score()
                     owners, parts, held = [], [], 0
@@ -176,21 +196,29 @@ def _alphabet(train: DataFrame) -> list[int]:
     return [r["point"] for r in letters.orderBy(F.col("n").desc(), "point").limit(ALPHABET).collect()]
 
 
+def _tally(context: np.ndarray, last: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams with the sum of ``n`` (1 each if not given)."""
+    _, at, where = np.unique(_hashed(context, last), return_index=True, return_inverse=True)
+    return context[at], last[at], np.bincount(where, n).astype(np.int64)
+
+
 def _counts(train: DataFrame, alphabet: list[int]) -> DataFrame:
-    """``(lang, gram, n, rest)``: how often in all training texts, and in those not set aside to calibrate."""
+    """``(lang, context, last, n, rest)``: how often in all training texts, and in those not set aside to calibrate."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = symbol_table(alphabet)
-        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        waiting: dict[tuple, list[np.ndarray]] = {}
+        held: dict[tuple, tuple] = {}
+        waiting: dict[tuple, list[tuple]] = {}
         size: dict[tuple, int] = {}
 
         def settle(group: tuple) -> None:
-            keys, n = np.unique(np.concatenate(waiting.pop(group)), return_counts=True)
-            if group in held:
-                keys, where = np.unique(np.concatenate([held[group][0], keys]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([held[group][1], n])).astype(np.int64)
-            held[group], size[group] = (keys, n), 0
+            new = _tally(*(np.concatenate(side) for side in zip(*waiting.pop(group))))
+            held[group] = _tally(*(np.concatenate(side) for side in zip(held[group], new))) if group in held else new
+            size[group] = 0
+
+        def rows(group: tuple) -> pd.DataFrame:
+            context, last, n = held.pop(group)
+            return pd.DataFrame({"lang": group[0], "context": context.astype(np.int64), "last": last.astype(np.int64), "n": n, "rest": 0 if group[1] else n})
 
         for batch in batches:
             for text, lang, aside in zip(batch["text"], batch["lang"], batch["aside"]):
@@ -199,17 +227,99 @@ def _counts(train: DataFrame, alphabet: list[int]) -> DataFrame:
                     continue
                 group = (lang, bool(aside))
                 for a in range(0, len(codes) - ORDER + 1, SLICE):
-                    waiting.setdefault(group, []).append(grams(codes[a : a + SLICE + ORDER - 1]))
-                    size[group] = size.get(group, 0) + len(waiting[group][-1])
+                    waiting.setdefault(group, []).append(_pairs(grams(codes[a : a + SLICE + ORDER - 1])))
+                    size[group] = size.get(group, 0) + len(waiting[group][-1][1])
                     if size[group] >= 4 * SLICE:
                         settle(group)
+                        if len(held[group][1]) >= HELD:
+                            yield rows(group)
         for group in list(waiting):
             settle(group)
-        for (lang, aside), (keys, n) in held.items():
-            yield pd.DataFrame({"lang": lang, "gram": keys.astype(np.int64), "n": n, "rest": 0 if aside else n})
+        for group in list(held):
+            yield rows(group)
+
+    found = train.mapInPandas(count, "lang string, context long, last long, n long, rest long")
+    return found.groupBy("lang", "context", "last").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
+
+
+def _probabilities(wanted: DataFrame, counted: DataFrame, column: str, names: list[str], symbols: int) -> DataFrame:
+    """``context, last, p``: what ``Model`` gives for each wanted n-gram in each language, by joins."""
+    languages = F.array(*[F.lit(x) for x in names])
+    entries = lambda value: F.map_from_entries(F.collect_list(F.struct("lang", value)))  # one per language
+    keys, levels = counted.filter(F.col(column) > 0).select("lang", "context", "last", F.col(column).alias("c")), []
+    for k in range(ORDER, 0, -1):
+        keys = stored(keys, "language-level")
+        few = keys.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"))
+        few = few.select("lang", F.when(F.col("once") > 0, F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.5).alias("d"))
+        contexts = keys.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("types")).join(F.broadcast(few), "lang")
+        part = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
+        parts = keys.join(contexts, ["lang", "context"]).groupBy("context", "last").agg(entries(part.alias("v")).alias("parts"))
+        weights = contexts.groupBy("context").agg(entries((F.col("d") * F.col("types") / F.col("total")).alias("v")).alias("weights"))
+        levels.append((parts, weights))
+        if k > 1:
+            below = F.col("context").bitwiseAND(F.lit(_suffix(k - 2)))
+            keys = keys.groupBy("lang", below.alias("context"), "last").agg(F.count("*").alias("c"))
+    lower = None
+    for k, (parts, weights) in zip(range(1, ORDER + 1), reversed(levels)):
+        own = wanted.select(F.col("context").bitwiseAND(F.lit(_suffix(k - 1))).alias("context"), "last").distinct()
+        own = own.join(parts, ["context", "last"], "left").join(weights, "context", "left")
+        if lower is None:
+            base = lambda i: F.lit(1 / symbols)
+        else:
+            own = own.withColumn("_below", F.col("context").bitwiseAND(F.lit(_suffix(k - 2))))
+            own = own.join(lower.select(F.col("context").alias("_below"), "last", F.col("p").alias("_p")), ["_below", "last"])
+            base = lambda i: F.get("_p", i)
+        value = lambda name, i: F.coalesce(F.try_element_at("parts", name), F.lit(0.0)) + F.coalesce(F.try_element_at("weights", name), F.lit(1.0)) * base(i)
+        lower = stored(own.select("context", "last", F.transform(languages, value).alias("p")), "language-probabilities")
+    return lower
+
+
+def _joined(rows: DataFrame, counted: DataFrame, column: str, names: list[str], symbols_: int, alphabet: list[int]) -> DataFrame:
+    """What ``_measured`` gives, for models of any size: n-grams of texts meet their probabilities in a join."""
+    kept = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "language-rows")
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = symbol_table(alphabet)
+        for batch in batches:
+            for row, text in zip(batch["_row"], batch["text"]):
+                codes = symbols(text, table)
+                for a in range(0, len(codes) - ORDER + 1 if codes.any() else 0, SLICE):
+                    context, last, n = _tally(*_pairs(grams(codes[a : a + SLICE + ORDER - 1])))
+                    yield pd.DataFrame({"_row": row, "context": context.astype(np.int64), "last": last.astype(np.int64), "n": n})
+
+    found = kept.filter("text is not null").select("_row", "text").mapInPandas(taken, "_row long, context long, last long, n long")
+    found = stored(found, "language-grams")
+    p = _probabilities(found.select("context", "last").distinct(), counted, column, names, symbols_)
+    sums = [F.sum(-F.col("n") * F.log(F.get("p", F.lit(i)))) for i in range(len(names))]
+    size = F.sum("n")
+    scored = found.join(p, ["context", "last"]).groupBy("_row").agg(F.array(*[s / size for s in sums]).alias("_e"), size.alias("_n"))
+    none = F.array(*[F.lit(0.0)] * len(names))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return kept.join(scored, "_row", "left").select(*own, F.coalesce("_e", none).alias("_e"), F.coalesce("_n", F.lit(0)).alias("_n"))
+
+
+def _measured(rows: DataFrame, counted: DataFrame, column: str, symbols_: int, alphabet: list[int]) -> tuple[DataFrame, list[str]]:
+    """``rows`` with ``_e``, nats per symbol of ``text`` in each language, and ``_n``, its symbols; and the languages.
 
-    rows = train.mapInPandas(count, "lang string, gram long, n long, rest long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
+    Models of up to ``MOST_CELLS`` numbers go to every task, larger ones are joined: the same rows.
+    """
+    per = counted.filter(F.col(column) > 0).groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
+    names = sorted(r["lang"] for r in per)
+    if not names:
+        return rows.withColumns({"_e": F.array().cast("array<double>"), "_n": F.lit(0).cast("long")}), names
+    # an n-gram has a hash and a value at each of four orders, as much for contexts, and a row of the table of all languages
+    if sum(r["n"] for r in per) * (4 * ORDER + len(names)) > MOST_CELLS:
+        return _joined(rows, counted, column, names, symbols_, alphabet), names
+    models = rows.sparkSession.sparkContext.broadcast(Languages(counted.toArrow().to_pandas(), column, symbols_, alphabet))
+
+    @F.pandas_udf("_e array<double>, _n long")
+    def entropies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = symbol_table(models.value.alphabet)
+        for texts in batches:
+            e, n = models.value.entropies(texts.to_list(), table)
+            yield pd.DataFrame({"_e": list(e), "_n": n})
+
+    return rows.withColumn("_m", entropies.asNondeterministic()("text")).select(*[F.col(f"`{c}`") for c in rows.columns], "_m.*"), names
 
 
 def _platt(features: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -233,6 +343,11 @@ def _features(entropies: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.column_stack([ahead, np.log1p(ahead * sizes), ordered[:, 0]])
 
 
+def _stacked(entropies: pd.Series, languages: int) -> np.ndarray:
+    """A row per text; ties and rows do not depend on the order in which a sum was taken."""
+    return np.round(np.array(entropies.to_list(), float).reshape(-1, languages), DIGITS)
+
+
 def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[str, ...] = ()) -> DataFrame:
     """Per row: ``others``, ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected``.
 
@@ -244,66 +359,55 @@ def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[s
     them; ``rejected`` marks texts whose cross-entropy is above all but one in a thousand of those of
     their language.
 
-    The models go to every task as one broadcast of at most ``MOST_GRAMS`` rows: with more, the order
-    is lowered until they fit. Null text or one without a letter gives ``und``, 0, null and false, and so
-    does every text if nothing can be learned. Rows may repeat; an empty table gives no rows.
+    The order is the same for any number of n-grams: small models go to every task as one broadcast, larger
+    ones meet the n-grams of the texts in a join (``_measured``). Null text or one without a letter gives
+    ``und``, 0, null and false, and so does every text if nothing can be learned. Rows may repeat; an
+    empty table gives no rows.
     """
-    spark = documents.sparkSession
     train = documents.filter(learn).filter("lang is not null and text is not null").select("text", "lang", F.coalesce(aside, F.lit(False)).alias("aside"))
     alphabet = _alphabet(train)
-    counted, order = stored(_counts(train, alphabet), "language-counts"), ORDER
-    while counted.count() > MOST_GRAMS:
-        # n-grams of the next lower order are the first symbols of the longer ones
-        if order == 1:
-            raise ValueError("more languages than the models may hold")
-        counted = counted.groupBy("lang", F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
-        counted, order = stored(counted, "language-counts"), order - 1
-    rows = counted.toArrow().to_pandas()
-    final = spark.sparkContext.broadcast(Languages(rows, "n", order, alphabet))
+    counted = stored(_counts(train, alphabet), "language-counts")
+    n_symbols = 256
 
     weights, limits = None, {}
-    first = Languages(rows, "rest", order, alphabet)
-    if len(first.names):
-        half = spark.sparkContext.broadcast(first)
-
-        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            models = half.value
-            table = symbol_table(models.alphabet)
-            for batch in batches:
-                e, n = models.entropies(batch["text"].to_list(), table)
-                f = _features(e, n)
-                best = np.array(models.names, dtype=object)[e.argmin(axis=1)] if len(e) else []
-                yield pd.DataFrame({"lang": batch["lang"], "best": best, "a": f[:, 0], "b": f[:, 1], "c": f[:, 2], "n": n})[n > 0]
-
-        tried = stored(train.filter("aside").select("text", "lang").mapInPandas(measure, "lang string, best string, a double, b double, c double, n long"), "language-trial")
+    trial, half = _measured(train.filter("aside").select("text", "lang"), counted, "rest", n_symbols, alphabet)
+    if half:
+
+        @F.pandas_udf("best string, a double, b double, c double")
+        def measure(entropies: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+            e, n = _stacked(entropies, len(half)), sizes.to_numpy()
+            f = _features(e, n)
+            best = np.array(half, dtype=object)[e.argmin(axis=1)]
+            return pd.DataFrame({"best": best, "a": f[:, 0], "b": f[:, 1], "c": f[:, 2]})
+
+        pick = F.xxhash64("text", "lang").alias("pick")
+        tried = trial.filter("_n > 0").select("lang", pick, measure("_e", "_n").alias("_m"), F.col("_n").alias("n")).select("lang", "pick", "_m.*", "n")
+        tried = stored(tried, "language-trial")
         right = tried.filter("best = lang")
         limits = {r["lang"]: r["q"] for r in right.groupBy("lang").agg(F.percentile_approx("c", 0.999).alias("q")).collect()}
         share = min(1.0, CALIBRATION_ROWS / max(1, tried.count()))
-        some = tried.filter(F.pmod(F.xxhash64("lang", "best", "a", "c", "n"), F.lit(1 << 20)) < int(share * (1 << 20))).toArrow().to_pandas()
+        some = tried.filter(F.pmod("pick", F.lit(1 << 20)) < int(share * (1 << 20))).toArrow().to_pandas()
         if len(some):
             some = some.sort_values(["a", "b", "c", "n", "lang"])
             weights = _platt(some[["a", "b", "c"]].to_numpy(), (some["best"] == some["lang"]).to_numpy())
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        models = final.value
-        table = symbol_table(models.alphabet)
-        names = np.array([*models.names, UNKNOWN], dtype=object)
-        for texts in batches:
-            if not models.names or not len(texts):
-                yield pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "cross_entropy": None, "rejected": False})
-                continue
-            e, n = models.entropies(texts.to_list(), table)
-            known, f = n > 0, _features(e, n)
-            p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(f)), f]) @ weights, -30, 30))) if weights is not None else 0.5
-            best = names[np.where(known, e.argmin(axis=1), len(models.names))]
-            limit = np.array([limits.get(x, np.inf) for x in best])
-            fit = pd.Series(f[:, 2]).astype(object).where(known, None)
-            yield pd.DataFrame({"lang_pred": best, "score": np.where(known, p, 0.0), "cross_entropy": fit, "rejected": known & (f[:, 2] > limit)})
-
     own = [c for c in others if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
-    found = documents.select(*own, predicted.asNondeterministic()("text").alias("_found"))
-    return found.select(*own, "_found.*")
+    found, final = _measured(documents.select(*own, "text"), counted, "n", n_symbols, alphabet)
+
+    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def predicted(entropies: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        if not final or not len(sizes):
+            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(sizes), "score": 0.0, "cross_entropy": None, "rejected": False})
+        names = np.array([*final, UNKNOWN], dtype=object)
+        e, n = _stacked(entropies, len(final)), sizes.to_numpy()
+        known, f = n > 0, _features(e, n)
+        p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(f)), f]) @ weights, -30, 30))) if weights is not None else 0.5
+        best = names[np.where(known, e.argmin(axis=1), len(final))]
+        limit = np.array([limits.get(x, np.inf) for x in best])
+        fit = pd.Series(f[:, 2]).astype(object).where(known, None)
+        return pd.DataFrame({"lang_pred": best, "score": np.where(known, p, 0.0), "cross_entropy": fit, "rejected": known & (f[:, 2] > limit)})
+
+    return found.select(*own, predicted("_e", "_n").alias("_found")).select(*own, "_found.*")
 
 
 FOLDS = 5

@@ -234,6 +234,17 @@ def test_kneser_ney_sums_to_one():
         assert model(following).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_language_models_of_any_size_give_the_same_rows(spark, monkeypatch):
+    words = {"en": "the cat and the dog went home again this evening", "de": "der hund und die katze gehen heute abend nach hause"}
+    rows = [(i, " ".join(words[lang].split()[i % 5 :: 1 + i % 3]), lang) for i in range(120) for lang in [("en", "de")[i % 2]]]
+    df = documents(spark, [*rows, *[(200 + (r[0] or 0), *r[1:]) for r in ODD], rows[4], rows[4]])
+    key = lambda r: (r.doc_id, r.held_out, r.lang_pred, round(r.score, 6), r.cross_entropy and round(r.cross_entropy, 9), r.rejected)
+    broadcast = sorted(map(str, map(key, language_id.query(df).collect())))
+    monkeypatch.setattr(language_id, "MOST_CELLS", 0, raising=False)
+    monkeypatch.setattr(language_id, "MOST_GRAMS", 100, raising=False)  # the bound that once lowered the order
+    assert sorted(map(str, map(key, language_id.query(df).collect()))) == broadcast
+
+
 def test_quality_without_labels_and_with_odd_rows(spark):
     df = documents(spark, ODD)
     model = cotraining.fit(df, df.select("doc_id", F.lit(None).cast("int").alias("quality")))
