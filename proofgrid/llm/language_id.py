@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from proofgrid.llm.common import stored
 
 ORDER = 4
-ALPHABET = 254  # the most frequent letters of the training texts; all others are one symbol
 MOST_CELLS = 32_000_000  # numbers (256 MB) of models that go to every task; larger ones are joined, with the same rows
 HELD = 1 << 22  # n-grams of a language that a task holds before it hands them on
 CALIBRATION_ROWS = 20_000  # documents, chosen by hash, that the calibration is fitted on
@@ -43,7 +42,10 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def symbol_table(alphabet: list[int]) -> np.ndarray:
+def symbol_table(alphabet: list[int] | None = None) -> np.ndarray:
+    """The symbol of each code point: a letter stands for itself, or for a byte if a small alphabet is given."""
+    if alphabet is None:
+        return np.where(letter_table(), np.arange(0x110000), _GAP).astype(np.uint32)
     table = np.where(letter_table(), _OTHER, _GAP).astype(np.uint8)
     table[np.array(alphabet, np.int64)] = np.arange(1, len(alphabet) + 1)
     return table
@@ -58,18 +60,27 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(ORDER - 1, codes.dtype), codes, np.zeros(1, codes.dtype)])
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """Each symbol with the ones before it, packed into 32 bits."""
-    wide = codes.astype(np.uint32)
-    n = len(wide) - ORDER + 1
-    out = np.zeros(max(n, 0), np.uint32)
-    for i in range(ORDER):
-        out = (out << np.uint32(8)) | wide[i : i + n]
-    return out
+def grams(codes: np.ndarray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Each symbol with the ones before it: bytes packed into 32 bits, code points as ``(context, last)``.
 
+    A context is three code points of 21 bits each.
+    """
+    n = max(len(codes) - ORDER + 1, 0)
+    if codes.dtype == np.uint8:
+        wide, out = codes.astype(np.uint32), np.zeros(n, np.uint32)
+        for i in range(ORDER):
+            out = (out << np.uint32(8)) | wide[i : i + n]
+        return out
+    wide, context = codes.astype(np.uint64), np.zeros(n, np.uint64)
+    for i in range(ORDER - 1):
+        context = (context << np.uint64(_BITS)) | wide[i : i + n]
+    return context, wide[ORDER - 1 : ORDER - 1 + n]
 
-def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams as ``(context, last)``: three symbols of 21 bits each, and the symbol after them."""
+
+def _pairs(keys: np.ndarray | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of either kind as ``(context, last)``."""
+    if isinstance(keys, tuple):
+        return keys
     wide = keys.astype(np.uint64)
     context = np.zeros(len(wide), np.uint64)
     for i in range(ORDER - 1, 0, -1):
@@ -97,7 +108,7 @@ class Model:
     def __init__(self, keys: np.ndarray | tuple, counts: np.ndarray, order: int = ORDER, symbols: int = 256):
         self.order, self.symbols = order, symbols
         self.levels = []
-        context, last = keys if isinstance(keys, tuple) else _pairs(keys)
+        context, last = _pairs(keys)
         for k in range(order, 0, -1):
             once, twice = int((counts == 1).sum()), int((counts == 2).sum())
             discount = once / (once + 2 * twice) if once else 0.5
@@ -115,7 +126,7 @@ class Model:
 
     def __call__(self, keys: np.ndarray | tuple) -> np.ndarray:
         """Probability of the last symbol of each key after the others."""
-        context, last = keys if isinstance(keys, tuple) else _pairs(keys)
+        context, last = _pairs(keys)
         p = np.full(len(last), 1 / self.symbols)
         for k, (hashes, part, contexts, weight) in zip(range(1, self.order + 1), reversed(self.levels)):
             own = context & np.uint64(_suffix(k - 1))
@@ -131,10 +142,9 @@ def _found(keys: np.ndarray, values: np.ndarray, want: np.ndarray, missing: floa
 class Languages:
     """The models of all languages with the table of log-probabilities for every known n-gram."""
 
-    def __init__(self, counted: pd.DataFrame, column: str, symbols: int, alphabet: list[int]):
+    def __init__(self, counted: pd.DataFrame, column: str, symbols: int):
         counted = counted[counted[column] > 0]
         self.names = sorted(counted["lang"].unique())
-        self.alphabet = alphabet
         pairs = lambda rows: (rows["context"].to_numpy(np.int64).astype(np.uint64), rows["last"].to_numpy(np.int64).astype(np.uint64))
         self.models = [
             Model(pairs(rows), rows[column].to_numpy(np.float64), ORDER, symbols) for _, rows in sorted(counted.groupby("lang"), key=lambda x: x[0])
@@ -171,7 +181,7 @@ class Languages:
                 continue
             sizes[i] = len(codes) - ORDER + 1
             for a in range(0, int(sizes[i]), SLICE):
-                keys = _pairs(grams(codes[a : a + SLICE + ORDER - 1]))
+                keys = grams(codes[a : a + SLICE + ORDER - 1])
                 owners.append(i), parts.append(keys)
                 held += len(keys[1])
                 if held >= SLICE:
@@ -182,31 +192,17 @@ class Languages:
         return -sums / np.maximum(sizes, 1)[:, None], sizes
 
 
-def _alphabet(train: DataFrame) -> list[int]:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                points, n = np.unique(_points(text), return_counts=True)
-                total[points] += n
-        at = np.flatnonzero((total > 0) & letter_table())
-        yield pd.DataFrame({"point": at, "n": total[at]})
-
-    letters = train.select("text").mapInPandas(count, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r["point"] for r in letters.orderBy(F.col("n").desc(), "point").limit(ALPHABET).collect()]
-
-
 def _tally(context: np.ndarray, last: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams with the sum of ``n`` (1 each if not given)."""
     _, at, where = np.unique(_hashed(context, last), return_index=True, return_inverse=True)
     return context[at], last[at], np.bincount(where, n).astype(np.int64)
 
 
-def _counts(train: DataFrame, alphabet: list[int]) -> DataFrame:
+def _counts(train: DataFrame) -> DataFrame:
     """``(lang, context, last, n, rest)``: how often in all training texts, and in those not set aside to calibrate."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = symbol_table(alphabet)
+        table = symbol_table()
         held: dict[tuple, tuple] = {}
         waiting: dict[tuple, list[tuple]] = {}
         size: dict[tuple, int] = {}
@@ -227,7 +223,7 @@ def _counts(train: DataFrame, alphabet: list[int]) -> DataFrame:
                     continue
                 group = (lang, bool(aside))
                 for a in range(0, len(codes) - ORDER + 1, SLICE):
-                    waiting.setdefault(group, []).append(_pairs(grams(codes[a : a + SLICE + ORDER - 1])))
+                    waiting.setdefault(group, []).append(grams(codes[a : a + SLICE + ORDER - 1]))
                     size[group] = size.get(group, 0) + len(waiting[group][-1][1])
                     if size[group] >= 4 * SLICE:
                         settle(group)
@@ -274,17 +270,17 @@ def _probabilities(wanted: DataFrame, counted: DataFrame, column: str, names: li
     return lower
 
 
-def _joined(rows: DataFrame, counted: DataFrame, column: str, names: list[str], symbols_: int, alphabet: list[int]) -> DataFrame:
+def _joined(rows: DataFrame, counted: DataFrame, column: str, names: list[str], symbols_: int) -> DataFrame:
     """What ``_measured`` gives, for models of any size: n-grams of texts meet their probabilities in a join."""
     kept = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "language-rows")
 
     def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = symbol_table(alphabet)
+        table = symbol_table()
         for batch in batches:
             for row, text in zip(batch["_row"], batch["text"]):
                 codes = symbols(text, table)
                 for a in range(0, len(codes) - ORDER + 1 if codes.any() else 0, SLICE):
-                    context, last, n = _tally(*_pairs(grams(codes[a : a + SLICE + ORDER - 1])))
+                    context, last, n = _tally(*grams(codes[a : a + SLICE + ORDER - 1]))
                     yield pd.DataFrame({"_row": row, "context": context.astype(np.int64), "last": last.astype(np.int64), "n": n})
 
     found = kept.filter("text is not null").select("_row", "text").mapInPandas(taken, "_row long, context long, last long, n long")
@@ -298,7 +294,7 @@ def _joined(rows: DataFrame, counted: DataFrame, column: str, names: list[str],
     return kept.join(scored, "_row", "left").select(*own, F.coalesce("_e", none).alias("_e"), F.coalesce("_n", F.lit(0)).alias("_n"))
 
 
-def _measured(rows: DataFrame, counted: DataFrame, column: str, symbols_: int, alphabet: list[int]) -> tuple[DataFrame, list[str]]:
+def _measured(rows: DataFrame, counted: DataFrame, column: str, symbols_: int) -> tuple[DataFrame, list[str]]:
     """``rows`` with ``_e``, nats per symbol of ``text`` in each language, and ``_n``, its symbols; and the languages.
 
     Models of up to ``MOST_CELLS`` numbers go to every task, larger ones are joined: the same rows.
@@ -309,12 +305,12 @@ def _measured(rows: DataFrame, counted: DataFrame, column: str, symbols_: int, a
         return rows.withColumns({"_e": F.array().cast("array<double>"), "_n": F.lit(0).cast("long")}), names
     # an n-gram has a hash and a value at each of four orders, as much for contexts, and a row of the table of all languages
     if sum(r["n"] for r in per) * (4 * ORDER + len(names)) > MOST_CELLS:
-        return _joined(rows, counted, column, names, symbols_, alphabet), names
-    models = rows.sparkSession.sparkContext.broadcast(Languages(counted.toArrow().to_pandas(), column, symbols_, alphabet))
+        return _joined(rows, counted, column, names, symbols_), names
+    models = rows.sparkSession.sparkContext.broadcast(Languages(counted.toArrow().to_pandas(), column, symbols_))
 
     @F.pandas_udf("_e array<double>, _n long")
     def entropies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = symbol_table(models.value.alphabet)
+        table = symbol_table()
         for texts in batches:
             e, n = models.value.entropies(texts.to_list(), table)
             yield pd.DataFrame({"_e": list(e), "_n": n})
@@ -352,7 +348,8 @@ def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[s
     """Per row: ``others``, ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected``.
 
     Models learn from the rows for which ``learn`` holds and whose language is known; the language is
-    not read anywhere else. Characters are letters in lower case, with one gap for all between. Counts
+    not read anywhere else. Characters are letters in lower case, each its own
+    symbol in every script, with one gap for all between. Counts
     cover all training texts: tasks count whole n-grams, Spark adds them. The language of least cross-entropy
     per character wins; ties go to the first by name. ``score`` is the calibrated chance that it is
     right. Calibration uses the training rows for which ``aside`` holds, scored by models without
@@ -365,12 +362,11 @@ def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[s
     empty table gives no rows.
     """
     train = documents.filter(learn).filter("lang is not null and text is not null").select("text", "lang", F.coalesce(aside, F.lit(False)).alias("aside"))
-    alphabet = _alphabet(train)
-    counted = stored(_counts(train, alphabet), "language-counts")
-    n_symbols = 256
+    counted = stored(_counts(train), "language-counts")
+    n_symbols = counted.select("last").distinct().count() + 1  # one for all that were never seen
 
     weights, limits = None, {}
-    trial, half = _measured(train.filter("aside").select("text", "lang"), counted, "rest", n_symbols, alphabet)
+    trial, half = _measured(train.filter("aside").select("text", "lang"), counted, "rest", n_symbols)
     if half:
 
         @F.pandas_udf("best string, a double, b double, c double")
@@ -392,7 +388,7 @@ def identify(documents: DataFrame, learn: Column, aside: Column, others: tuple[s
             weights = _platt(some[["a", "b", "c"]].to_numpy(), (some["best"] == some["lang"]).to_numpy())
 
     own = [c for c in others if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
-    found, final = _measured(documents.select(*own, "text"), counted, "n", n_symbols, alphabet)
+    found, final = _measured(documents.select(*own, "text"), counted, "n", n_symbols)
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def predicted(entropies: pd.Series, sizes: pd.Series) -> pd.DataFrame:

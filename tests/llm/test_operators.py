@@ -245,6 +245,18 @@ def test_language_models_of_any_size_give_the_same_rows(spark, monkeypatch):
     assert sorted(map(str, map(key, language_id.query(df).collect()))) == broadcast
 
 
+def test_languages_in_rare_scripts_beside_one_of_many_letters(spark):
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    scripts = {"el": range(0x3B1, 0x3C9), "ka": range(0x10D0, 0x10F0), "he": range(0x5D0, 0x5EA)}
+    word = lambda letters, i: "".join(letters[(i * 7 + j * j * 3 + i * j) % len(letters)] for j in range(5))
+    text = lambda letters, i: " ".join(word(letters, i + 11 * j) for j in range(6))
+    rows = [(i, text(signs, i) * 40, "zh") for i in range(240)]
+    for at, (lang, points) in enumerate(scripts.items(), 1):
+        rows += [(1000 * at + i, text([chr(c) for c in points], i), lang) for i in range(40)]
+    got = {r.doc_id: r.lang_pred for r in language_id.query(documents(spark, rows)).collect()}
+    assert {r[0]: r[2] for r in rows} == got
+
+
 def test_quality_without_labels_and_with_odd_rows(spark):
     df = documents(spark, ODD)
     model = cotraining.fit(df, df.select("doc_id", F.lit(None).cast("int").alias("quality")))
