@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,11 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofgrid.llm.common import stored
+
 MOST_LABELLED = 20_000  # labelled documents, chosen by hash of the id, that the views are fitted on
-MOST_POOL = 10_000  # documents without a label, chosen likewise, that get pseudo-labels
 ROUNDS = 4
 CONFIDENT = 0.95  # a view offers a document if it is this sure
-PER_ROUND = 500  # and at most so many, split by the shares of the classes
+SHARE = 0.1  # of all documents without a label that a view offers in a round, split by the shares of the classes
+BIN = 0.01  # of log-odds; a view offers whole bins, so documents that are alike go together
 PSEUDO_WEIGHT = 0.5
 FOLDS = 5
 RIDGE = 1.0
@@ -81,12 +83,8 @@ class View:
     scale: np.ndarray
     weights: np.ndarray
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> View:
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale = np.where(scale > 1e-9, scale, 1.0)
-        z = np.column_stack([np.ones(len(x)), np.clip((x - mean) / scale, -8, 8)])
-        return cls(mean, scale, _logistic(z, y, w, RIDGE))
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(x)), np.clip((x - self.mean) / self.scale, -8, 8)])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.weights[0] + np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[1:]
@@ -98,19 +96,27 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _logistic(z: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
     """Newton steps; the constant is not penalised."""
-    penalty = np.full(z.shape[1], ridge)
-    penalty[0] = 1e-6
     b = np.zeros(z.shape[1])
     for _ in range(30):
-        p = _sigmoid(z @ b)
-        slope = z.T @ (w * (p - y)) + penalty * b
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), slope)
-        b = b - np.clip(step, -5, 5)
+        step = _step(b, _slopes(z, y, w, b), ridge)
+        b = b - step
         if np.abs(step).max() < 1e-8:
             break
     return b
 
 
+def _slopes(z: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of rows, in one column after the other; they add up over rows."""
+    p = _sigmoid(z @ b)
+    return np.column_stack([z.T @ (w * (p - y)), (z * (w * p * (1 - p))[:, None]).T @ z])
+
+
+def _step(b: np.ndarray, slopes: np.ndarray, ridge: float) -> np.ndarray:
+    penalty = np.full(len(b), ridge)
+    penalty[0] = 1e-6
+    return np.clip(np.linalg.solve(slopes[:, 1:] + np.diag(penalty + 1e-9), slopes[:, 0] + penalty * b), -5, 5)
+
+
 @dataclass
 class CoTrained:
     """Both views and how their log-odds combine; without a fit every document gets ``prior``."""
@@ -129,39 +135,129 @@ class CoTrained:
         return _sigmoid(own[0]), _sigmoid(own[1]), _sigmoid(both[0] + both[1] * own[0] + both[2] * own[1])
 
 
-def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> CoTrained:
-    """Fit two views on labelled rows ``x, y``, with rounds over the rows of ``pool``.
+Rows = tuple[np.ndarray, np.ndarray]  # both views of some documents
+Sums = Callable[[Callable[[Rows], np.ndarray]], np.ndarray]  # adds up what a function gives for all parts of the rows
+_LEAST = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+_BINS = int((40 - _LEAST) / BIN) + 2
+
+
+def _bins(logit: np.ndarray) -> np.ndarray:
+    """The bin of log-odds from ``CONFIDENT`` on; negative below."""
+    return np.floor((np.minimum(logit, 40) - _LEAST) / BIN).astype(np.int64)
+
+
+@dataclass
+class Round:
+    """Two views and the bins from which each offered its rows, as good and as bad ones."""
+
+    views: tuple[View, View]
+    cuts: list[list[int]]
+
+
+def _told(rounds: list[Round], x: Rows) -> list[np.ndarray]:
+    """What each view has been told of the rows, by the rounds so far; -1 for nothing."""
+    given = [np.full(len(x[0]), -1.0) for _ in range(2)]
+    for turn in rounds:
+        for view in (0, 1):
+            logit = turn.views[view].logit(x[view])
+            for label, sign, cut in ((1.0, 1, turn.cuts[view][0]), (0.0, -1, turn.cuts[view][1])):
+                given[1 - view][(given[1 - view] < 0) & (_bins(sign * logit) >= cut)] = label
+    return given
+
+
+def _fitted(jobs: list[tuple[int, np.ndarray]], x: Rows, y: np.ndarray, rounds: list[Round], sums: Sums) -> list[View]:
+    """A view for each ``(view, labelled rows)``, by Newton steps whose gradient and curvature cover all told rows."""
+    shift = [v.mean(axis=0) for v in x]
+
+    def moments(part: Rows) -> np.ndarray:
+        out = []
+        for given, v, m in zip(_told(rounds, part), part, shift):
+            d = v[given >= 0] - m
+            out += [[len(d)], d.sum(axis=0), (d * d).sum(axis=0)]
+        return np.concatenate(out)
+
+    all_ = sums(moments) if rounds else np.zeros(2 + 2 * sum(v.shape[1] for v in x))
+    views, at = [], 0
+    ends = []
+    for v in x:
+        size = v.shape[1]
+        ends.append((all_[at], all_[at + 1 : at + 1 + size], all_[at + 1 + size : at + 1 + 2 * size]))
+        at += 1 + 2 * size
+    for view, rows in jobs:
+        d = x[view][rows] - shift[view]
+        n, one, two = len(d) + ends[view][0], d.sum(axis=0) + ends[view][1], (d * d).sum(axis=0) + ends[view][2]
+        scale = np.sqrt(np.maximum(two / n - (one / n) ** 2, 0))
+        new = View(shift[view] + one / n, np.where(scale > 1e-9, scale, 1.0), np.zeros(0))
+        new.weights = _logistic(new.columns(x[view][rows]), y[rows], np.ones(len(rows)), RIDGE)
+        views.append(new)
+    offered = ends[0][0] + ends[1][0]
+    for _ in range(30 if offered else 0):
+
+        def slopes(part: Rows) -> np.ndarray:
+            given = _told(rounds, part)
+            some = [(v[g >= 0], g[g >= 0]) for v, g in zip(part, given)]
+            out = []
+            for (view, _), model in zip(jobs, views):
+                v, target = some[view]
+                out.append(_slopes(model.columns(v), target, np.full(len(v), PSEUDO_WEIGHT), model.weights).ravel())
+            return np.concatenate(out)
+
+        total, at, most = sums(slopes), 0, 0.0
+        for (view, rows), model in zip(jobs, views):
+            k = len(model.weights)
+            own = _slopes(model.columns(x[view][rows]), y[rows], np.ones(len(rows)), model.weights)
+            step = _step(model.weights, own + total[at : at + k * (k + 1)].reshape(k, k + 1), RIDGE)
+            model.weights, at, most = model.weights - step, at + k * (k + 1), max(most, float(np.abs(step).max()))
+        if most < 1e-6:
+            break
+    return views
 
-    In each round each view offers the pool rows that it is surest of, by class shares, as pseudo-labels
-    to the other one; a row keeps the first label that it was given. Calibration uses out-of-fold
+
+def co_train(x: Rows, y: np.ndarray, pool: Rows | Sums) -> CoTrained:
+    """Fit two views on labelled rows ``x, y``, with rounds over all rows without a label.
+
+    ``pool`` holds those rows, or adds up a function over all parts of them (Spark does so). In each round
+    each view offers the rows that it is surest of, a share of all by class shares, as pseudo-labels to
+    the other one; a row keeps the first label that it was given. Rows are not marked: what a view was
+    told follows from the rounds, so a pass needs the rows' views only. Calibration uses out-of-fold
     log-odds of labelled rows only.
     """
     prior = float(y.mean()) if len(y) else 0.5
     if min(int(y.sum()), int(len(y) - y.sum())) < FOLDS:
         return CoTrained(None, None, prior if len(y) else 1.0, (0, 0))
-    given = [np.full(len(pool[0]), -1.0) for _ in range(2)]  # what each view has been told
-
-    def fitted(view: int, rows: np.ndarray) -> View:
-        told = given[view] >= 0
-        z = np.concatenate([x[view][rows], pool[view][told]])
-        target = np.concatenate([y[rows], given[view][told]])
-        return View.fit(z, target, np.concatenate([np.ones(len(rows)), np.full(int(told.sum()), PSEUDO_WEIGHT)]))
-
+    sums = pool if callable(pool) else lambda f: f(pool)
+    rounds: list[Round] = []
     everything = np.arange(len(y))
-    for _ in range(ROUNDS if len(pool[0]) else 0):
-        sure = [_sigmoid(fitted(view, everything).logit(pool[view])) for view in (0, 1)]
+    n_pool = int(sums(lambda part: np.array([float(len(part[0]))]))[0])
+    for _ in range(ROUNDS if n_pool else 0):
+        pair = tuple(_fitted([(0, everything), (1, everything)], x, y, rounds, sums))
+
+        def sure(part: Rows) -> np.ndarray:
+            given, out = _told(rounds, part), []
+            for view in (0, 1):
+                logit = pair[view].logit(part[view])[given[1 - view] < 0]
+                for sign in (1, -1):
+                    bins = _bins(sign * logit)
+                    out.append(np.bincount(bins[bins >= 0], minlength=_BINS))
+            return np.concatenate(out).astype(float)
+
+        counts, cuts = sums(sure).reshape(2, 2, _BINS), []
         for view in (0, 1):
-            other = given[1 - view]
-            for label, p in ((1.0, sure[view]), (0.0, 1 - sure[view])):
-                most = max(1, round(PER_ROUND * (prior if label else 1 - prior)))
-                new = np.flatnonzero((other < 0) & (p >= CONFIDENT))
-                other[new[np.argsort(-p[new], kind="stable")[:most]]] = label
-    views = tuple(fitted(view, everything) for view in (0, 1))
+            cuts.append([])
+            for label in (0, 1):
+                most = max(1.0, SHARE * n_pool * (1 - prior if label else prior))
+                above = np.cumsum(counts[view, label][::-1])[::-1]  # rows from a bin on
+                reached = np.flatnonzero(above >= most)
+                cuts[view].append(int(reached[-1]) if len(reached) else 0)
+        rounds.append(Round(pair, cuts))
+    offered = sums(lambda part: np.array([float((g >= 0).sum()) for g in _told(rounds, part)])) if rounds else np.zeros(2)
     fold = np.arange(len(y)) % FOLDS
     out = np.zeros((len(y), 2))
-    for f in range(FOLDS):
-        for view in (0, 1):
-            out[fold == f, view] = fitted(view, np.flatnonzero(fold != f)).logit(x[view][fold == f])
+    jobs = [(f, view) for f in range(FOLDS) for view in (0, 1)]
+    folds = [(view, np.flatnonzero(fold != f)) for f, view in jobs]
+    first, second, *others = _fitted([(0, everything), (1, everything), *folds], x, y, rounds, sums)
+    for (f, view), model in zip(jobs, others):
+        out[fold == f, view] = model.logit(x[view][fold == f])
     even = np.ones(len(y))
     smooth = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     own = [_logistic(np.column_stack([even, out[:, v]]), smooth, even, 1e-3) for v in (0, 1)]
@@ -173,7 +269,7 @@ def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.nda
         if (weights[1:] >= 0).all():
             break
         used.remove(1 + int(weights[1:].argmin()))
-    return CoTrained(views, (*own, weights), prior, tuple(int((g >= 0).sum()) for g in given))
+    return CoTrained((first, second), (*own, weights), prior, tuple(int(n) for n in offered))
 
 
 def _views(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -192,29 +288,45 @@ def _share(id_: str, rows: int, most: int):
 def fit(documents: DataFrame, labels: DataFrame) -> CoTrained:
     """The classifier from ``labels`` (``doc_id, quality``) and the documents.
 
-    It is fitted on the driver on the views of about ``MOST_LABELLED`` labelled documents and
-    ``MOST_POOL`` others, both chosen by a hash of the id; views are made by Spark. Several labels of
-    a document count as their mean, and 0.5 as none. Null ids or labels are left out.
+    Labelled rows are about ``MOST_LABELLED`` documents, chosen by a hash of the id; all documents without
+    a label take part in the rounds. Views are made by Spark once and stored; each Newton step and each choice of
+    confident documents is one pass over them, of which the driver gets sums. Several labels of
+    a document count as their mean, and 0.5 as none. Null ids have no label; null labels are left out.
     """
-    known = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality")
-    known = known.filter(_share("doc_id", known.count(), MOST_LABELLED))
-    known = known.groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q <> 0.5").select("doc_id", (F.col("q") > 0.5).cast("double").alias("label"))
-    rows = documents.filter("doc_id is not null").select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
-    labelled = rows.filter(_share("doc_id", labels.count(), MOST_LABELLED)).join(F.broadcast(known), "doc_id")  # bounded above
-    pool = rows.filter(_share("doc_id", rows.count(), MOST_POOL)).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q <> 0.5")
+    known = stored(known.select("doc_id", (F.col("q") > 0.5).cast("double").alias("label")), "quality-labels")
+    some = known.filter(_share("doc_id", known.count(), MOST_LABELLED))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             a, b = _views(batch)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "a": [r.tobytes() for r in a], "b": [r.tobytes() for r in b]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "a": [r.tobytes() for r in a], "b": [r.tobytes() for r in b]})
 
-    both = labelled.unionByName(pool.withColumn("label", F.lit(-1.0)))
-    found = both.mapInPandas(measure, "doc_id long, label double, a binary, b binary").toArrow().to_pandas()
-    found = found.sort_values(["doc_id", "a", "b", "label"])
+    rows = documents.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+    views = stored(rows.mapInPandas(measure, "doc_id long, a binary, b binary"), "quality-views")
     stack = lambda part, c, n: np.frombuffer(b"".join(part[c])).reshape(-1, n)
-    views = lambda part: (stack(part, "a", TEXT_VIEW), stack(part, "b", METADATA_VIEW))
-    has = found["label"] >= 0
-    return co_train(views(found[has]), found.loc[has, "label"].to_numpy(float), views(found[~has]))
+    both = lambda part: (stack(part, "a", TEXT_VIEW), stack(part, "b", METADATA_VIEW))
+    found = views.join(F.broadcast(some), "doc_id").toArrow().to_pandas().sort_values(["doc_id", "a", "b", "label"])  # bounded above
+    pool: list[DataFrame] = []
+
+    def sums(function: Callable[[Rows], np.ndarray]) -> np.ndarray:
+        if not pool:
+            pool.append(stored(views.join(known.select("doc_id"), "doc_id", "left_anti").select("a", "b"), "quality-pool"))
+
+        def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for batch in batches:
+                part = function(both(batch))
+                total = part if total is None else total + part
+            if total is not None:
+                yield pd.DataFrame({"sum": [total.tobytes()]})
+
+        total = function((np.zeros((0, TEXT_VIEW)), np.zeros((0, METADATA_VIEW))))
+        for row in pool[0].mapInPandas(added, "sum binary").collect():  # one row of sums per task
+            total = total + np.frombuffer(row["sum"])
+        return total
+
+    return co_train(both(found), found["label"].to_numpy(float), sums)
 
 
 def scored(documents: DataFrame, model: CoTrained) -> DataFrame:

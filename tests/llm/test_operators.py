@@ -275,6 +275,19 @@ def test_views_teach_each_other():
     assert np.mean((model.scores((view(test), view(test)))[2] > 0.5) == test) > 0.95
 
 
+def test_all_unlabelled_documents_take_part(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "MOST_POOL", 50, raising=False)  # the bound that once sampled them
+    good = lambda i: " ".join(f"Sentence {chr(97 + (i + j) % 26)} speaks of calm rivers and old towns." for j in range(8))
+    bad = lambda i: " ".join(f"#{j} || BUY {(i * 7 + j) % 100} $$ now!!" for j in range(8))
+    rows = [(i, bad(i) if i % 2 else good(i), "en", "b" if i % 2 else "a", 300) for i in range(2000)]
+    df = documents(spark, [*rows, *[(None, *r[1:]) for r in rows[:40]]])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    model = cotraining.fit(df, labels)
+    assert min(model.offered) > 150  # of 2,000; a sample of 50 could not offer them
+    got = cotraining.scored(df, model).filter("doc_id is not null").collect()
+    assert all(r.kept == (r.doc_id % 2 == 0) for r in got)
+
+
 def test_odd_rows_secrets(spark):
     key = hashlib.sha1(b"x").hexdigest()
     rows = [*ODD, (30, f'token = "{key}" and 4929123412341234 end'), (31, "mail abcdefghijk.1234567890123456@mail.example.com."), (32, None)]
