@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from proofgrid.llm.common import ascii_lower, stored
 
 VALUE = r"[A-Za-z0-9+/_=-]{16,}"
-CANDIDATE = rf"(?=[A-Za-z+/_=-]*[0-9]){VALUE}"
+CANDIDATE = rf"(?=[A-Za-z0-9+/_=-]*[A-Za-z0-9]){VALUE}"  # a rule of marks only is none
 KEYWORD = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api|auth|bearer|credential|access|private|key)"
 ASSIGNED = r"^[\"'`(\[<{]*(?:=|:|:=|=>|->)[\"'`(\[<{]*$"
+OPENING, CLOSING = r"[\"'`(\[<{]*", r"[\"'`)\]>},;.]*"
+NAMED = KEYWORD + rf"[A-Za-z0-9_-]*[\"'`)\]]*(?:=>|:=|->|=|:){OPENING}"  # a credential word, up to its value
+WHOLE = rf"({VALUE}(?=[^A-Za-z0-9]*$)|[^\s\"'`]+?){CLOSING}(?:[\"'`].*|[^A-Za-z0-9]*)$"  # a value up to its quote; marks after a long run are not its own
+VALUE_IN_WORD, VALUE_AFTER = NAMED + WHOLE, "^" + OPENING + WHOLE
+VALUE_IN_URL = r"://[^\s/:@]*:([^\s/]+)@"  # what stands for the user in an address
 MIN_DOCUMENTS = 3  # that a dictionary word stands in
 MOST_LABELLED = 20_000  # labelled findings, chosen by hash, that the forest is fitted on
 TREES, DEPTH, SEED = 20, 6, 11
@@ -28,25 +33,38 @@ FEATURES = [
 def candidates(texts: DataFrame, *others: str) -> DataFrame:
     """Rows of ``others, word_at, word, before, before2, after, value``: words that hold a candidate value.
 
-    A value has 16 or more of letters, digits and ``+/_=-``, one of them a digit. Words are split at
-    white space; ``word_at`` counts them from 0. Several values of a word are several rows. Only texts
-    that match at all are split; a text is worked on in its row.
+    A value has 16 or more of letters, digits and ``+/_=-``; or it has any length and marks and is assigned
+    to a credential word, in its word or by the words before, or stands in the user part of an address.
+    Words are split at white space; ``word_at`` counts them from 0. Several values of a word are several
+    rows, equal ones and those that are part of another are one. Only texts that match at all are split; a text is worked on in
+    its row.
     """
     words = F.col("_words")
     near = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    named = lambda i: near(i - 1).rlike(NAMED + "$") | (near(i - 1).rlike(ASSIGNED) & near(i - 2).rlike(KEYWORD))
     held = F.filter(
         F.transform(
             words,
             lambda w, i: F.when(
-                w.rlike(CANDIDATE),
+                w.rlike(CANDIDATE) | w.rlike(VALUE_IN_WORD) | w.rlike(VALUE_IN_URL) | named(i),
                 F.struct(i.alias("word_at"), w.alias("word"), near(i - 1).alias("before"), near(i - 2).alias("before2"), near(i + 1).alias("after")),
             ),
         ),
         lambda s: s.isNotNull(),
     )
-    some = texts.filter(F.col("text").rlike(CANDIDATE)).select(*others, F.split("text", r"\s+").alias("_words"))
+    some = texts.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(KEYWORD) | F.col("text").rlike(VALUE_IN_URL)).select(*others, F.split("text", r"\s+").alias("_words"))
     rows = some.select(*others, F.explode(held).alias("_c")).select(*others, "_c.*")
-    return rows.withColumn("value", F.explode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"))))
+    after_name = F.col("before").rlike(NAMED + "$") | (F.col("before").rlike(ASSIGNED) & F.col("before2").rlike(KEYWORD))
+    bare = F.regexp_extract("word", VALUE_AFTER, 1)
+    special = F.array(
+        F.regexp_extract("word", VALUE_IN_URL, 1), F.when(~F.col("word").contains("://"), F.regexp_extract("word", VALUE_IN_WORD, 1)),
+        F.when(after_name & ~F.col("word").rlike(VALUE_IN_WORD), bare),
+    )
+    special = F.array_distinct(F.filter(special, lambda v: v.isNotNull() & v.rlike("[A-Za-z0-9]")))
+    runs = F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"))
+    rows = rows.withColumn("_special", special)
+    whole = F.filter(runs, lambda v: ~F.exists("_special", lambda s: s.contains(v)))
+    return rows.withColumn("value", F.explode(F.concat("_special", whole))).drop("_special")
 
 
 def dictionary(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -91,7 +109,7 @@ def with_features(found: DataFrame, texts: DataFrame) -> DataFrame:
         "f_path": flag(v.contains("/") | left.endswith("/") | right.startswith("/")),
         "f_address": flag(left.contains("@") | right.startswith("@") | right.rlike(r"^\.[a-z]{2,}") | left.contains("://")),
         "f_keyword": flag(F.concat_ws(" ", "before2", "before", left).rlike(KEYWORD)),
-        "f_assigned": flag(F.col("before").rlike(ASSIGNED) | left.rlike(r"[=:][\"'`(\[<{]*$")),
+        "f_assigned": flag(F.col("before").rlike(ASSIGNED) | F.col("before").rlike(NAMED + "$") | left.rlike(r"[=:][\"'`(\[<{]*$")),
         "f_quoted": flag(left.rlike(r"[\"'`]$") & right.rlike(r"^[\"'`]")),
         "f_word_before": flag(F.col("before").rlike(r"^\p{L}+[.,;:!?]?$")),
         "f_word_after": flag(F.col("after").rlike(r"^\p{L}+[.,;:!?]?$")),

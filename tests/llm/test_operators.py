@@ -300,6 +300,26 @@ def test_odd_rows_secrets(spark):
     assert all(r.is_secret for r in secrets.scan(documents(spark, rows), labels).collect())  # one class teaches nothing
 
 
+def test_short_punctuated_and_digit_free_secrets(spark):
+    planted = {
+        200: ("password = hunter2 ok", "hunter2"),
+        201: ("pwd: Sup3rS3cret ok", "Sup3rS3cret"),
+        202: ('password="Passw0rd!2024#x" ok', "Passw0rd!2024#x"),
+        203: ("see https://user:q7!xZ.w2@example.com/a ok", "q7!xZ.w2"),
+        204: ("found qWzRtPxKvBnMLsDfGhJk here", "qWzRtPxKvBnMLsDfGhJk"),
+        205: ("token: eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl ok", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl"),
+    }
+    rows = [(i, text) for i, (text, _) in planted.items()]
+    rows += [(40 + i, f'my secret = "{hashlib.sha1(bytes([i])).hexdigest()}" ok') for i in range(30)]
+    rows += [(80 + i, f"call {4000111122220000 + i * 7919} now, the key: river") for i in range(30)]
+    got = secrets.scan(documents(spark, rows)).collect()
+    for i, (_, value) in planted.items():
+        assert [r.value for r in got if r.doc_id == i] == [value]
+    judged = {r.doc_id: r.is_secret for r in got if r.doc_id >= 200}
+    assert judged[200] and judged[201] and judged[202]
+    assert not any(r.is_secret for r in got if 80 <= r.doc_id < 200)
+
+
 def lpc_frame(samples, order=2):
     """One 8-bit mono frame with a linear predictor of 2x - y (coefficients 4, -2, shift 1) and two Rice partitions."""
     bits = ""
