@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import cotraining, flac, language_id, line_rules, line_spread, mixing, near_dups, packing, secrets, url_rules
+from proofgrid.llm import (
+    cotraining, flac, language_id, line_rules, line_spread, merkle, mixing, near_dups, packing, periodic_runs, secrets, toxicity,
+    url_rules,
+)
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +55,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.query(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.query(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.query(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_line_rules": op2_line_rules,
@@ -63,10 +78,14 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_flac": op9_flac,
     "op10_url_rules": op10_url_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle": op12_merkle,
+    "op13_toxicity": op13_toxicity,
 }
 SQL: dict[str, str] = {
     "op2_line_rules": line_rules.SQL,
     "op6_line_spread": line_spread.SQL,
     "op8_mixing": mixing.SQL,
     "op10_url_rules": url_rules.SQL,
+    "op12_merkle": merkle.SQL,
 }
