@@ -614,6 +614,31 @@ def balanced_subset_rounds(spark, sf):
     return chosen.select("source", "item_id", "rounds")
 
 
+@query(
+    "f7_balanced_subset_in_order",
+    f"""WITH RECURSIVE {sqltext.QA},
+    pool AS (
+      SELECT source, item_id, sha256('42|' || item_id) AS tie, complexity::VARCHAR AS cx, coalesce(classes, ['unlabelled']) AS cl,
+        dense_rank() OVER (ORDER BY sha256('42|' || source), source) AS turn
+      FROM qa),
+    walk AS (
+      SELECT 0::BIGINT AS turn, NULL::VARCHAR AS source, NULL::VARCHAR AS item_id, []::VARCHAR[] AS seen_cx, []::VARCHAR[] AS seen_cl
+      UNION ALL
+      SELECT b.turn, b.source, b.best.item_id, list_append(b.seen_cx, b.best.cx), list_concat(b.seen_cl, b.best.cl)
+      FROM (
+        SELECT p.turn, p.source, w.seen_cx, w.seen_cl, min(struct_pack(
+          load := len(list_filter(w.seen_cx, lambda x: x = p.cx))
+            + list_avg(list_transform(p.cl, lambda c: len(list_filter(w.seen_cl, lambda x: x = c)))),
+          tie := p.tie, item_id := p.item_id, cx := p.cx, cl := p.cl)) AS best
+        FROM walk w JOIN pool p ON p.turn = w.turn + 1 GROUP BY ALL) b)
+    SELECT source, item_id, TRUE AS settled FROM walk WHERE turn > 0""",
+)
+def balanced_subset_in_order(spark, sf):
+    """One record per source, chosen source after source; blocks of sources choose at the same time until all agree."""
+    chosen = split.balanced_sequence(inputs.qa(spark, sf), "source", "item_id", "complexity", "classes", 42)
+    return chosen.select("source", "item_id", (F.col("passes") <= F.col("blocks") + 1).alias("settled"))
+
+
 @query(
     "f8_hash_sample",
     f"SELECT doc_id, lang FROM documents ORDER BY {h60("'42|' || doc_id")}, doc_id LIMIT 200",

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -198,3 +199,49 @@ def test_predictions_are_gated_before_the_join(spark):
         pairing.with_predictions(subset, saved.filter("item_id = 'i'"))
     with pytest.raises(gates.GateError):
         pairing.with_predictions(subset, saved.union(saved))
+
+
+def sequence_in_python(rows, seed):
+    """The choice group after group, as the reference makes it."""
+    digest = lambda v: hashlib.sha256(f"{seed}|{v}".encode()).hexdigest()
+    groups = {}
+    for source, item, cx, classes in rows:
+        groups.setdefault(source, []).append((item, "None" if cx is None else str(cx), classes or ["unlabelled"]))
+    by_cx, by_class, chosen = Counter(), Counter(), {}
+    for source in sorted(groups, key=digest):
+        load = lambda r: by_cx[r[1]] + sum(by_class[c] for c in r[2]) / len(r[2])
+        item, cx, classes = min(groups[source], key=lambda r: (load(r), digest(r[0])))
+        by_cx[cx] += 1
+        by_class.update(classes)
+        chosen[source] = item
+    return chosen
+
+
+@pytest.mark.parametrize("blocks, least", [(1, 4096), (12, 50)])
+def test_balanced_sequence_is_the_sequential_choice(spark, blocks, least):
+    rnd = random.Random(blocks)
+    rows = []
+    for g in range(2000):
+        for i in range(rnd.randrange(1, 6)):
+            classes = rnd.sample("abcdefg", rnd.randrange(0, 4)) or None
+            rows.append((f"s{g}", f"s{g}-{i}", rnd.choice([None, 1, 2, 3]), classes))
+    df = spark.createDataFrame(rows, "source string, item string, cx int, classes array<string>")
+    found = split.balanced_sequence(df, "source", "item", "cx", "classes", 42, blocks=blocks, least_groups=least).collect()
+    assert {r.source: r.item for r in found} == sequence_in_python(rows, 42) and len(found) == 2000
+    assert {r.blocks for r in found} == {blocks} and all(r.passes <= blocks + 1 for r in found)
+
+
+def test_long_blocks_that_forget_their_start_settle_at_once(spark):
+    rows = [(f"s{g}", f"s{g}-{i}", i, ["a"]) for g in range(3000) for i in range(3)]
+    df = spark.createDataFrame(rows, "source string, item string, cx int, classes array<string>")
+    found = split.balanced_sequence(df, "source", "item", "cx", "classes", 42, blocks=8, least_groups=1).collect()
+    assert {r.source: r.item for r in found} == sequence_in_python(rows, 42)
+    assert {r.blocks for r in found} == {8} and all(r.passes <= 4 for r in found)
+
+
+def test_balanced_sequence_of_odd_rows(spark):
+    schema = "source string, item string, cx int, classes array<string>"
+    assert split.balanced_sequence(spark.createDataFrame([], schema), "source", "item", "cx", "classes", 42).count() == 0
+    rows = [(None, None, None, None), (None, None, None, None), ("a", "x", 1, []), ("a", "x", 1, [None])]
+    found = split.balanced_sequence(spark.createDataFrame(rows, schema), "source", "item", "cx", "classes", 42).collect()
+    assert sorted(str(r.source) for r in found) == ["None", "a"]
