@@ -152,6 +152,89 @@ def shrunken_reliability(spark, sf):
     return ratings.shrunken_reliability(_class_rows(spark, sf), "class", "condition", "exact_match", 4.0)
 
 
+def _series(terms: dict[int, float], y: str) -> str:
+    return " + ".join(f"({c!r}::DOUBLE) / pow({y}, {p})" for p, c in terms.items())
+
+
+def _digamma(x: str) -> str:
+    return f"(ln({x} + {ratings.SHIFT}) + {_series(ratings.DIGAMMA, f'({x} + {ratings.SHIFT})')} - {' - '.join(f'1 / ({x} + {i})' for i in range(ratings.SHIFT))})"
+
+
+def _trigamma(x: str) -> str:
+    return f"({_series(ratings.TRIGAMMA, f'({x} + {ratings.SHIFT})')} + {' + '.join(f'1 / (({x} + {i}) * ({x} + {i}))' for i in range(ratings.SHIFT))})"
+
+
+def _beta_sql(units: str, steps: int = 40) -> str:
+    """``beta(class, units, kind, class_mean, strength)`` from ``units(class, n, k)``."""
+    psi = lambda x, more: f"sum(w * ({_digamma(f'({x} + {more})')} - {_digamma(x)}))"
+    tri = lambda x, more: f"sum(w * ({_trigamma(f'({x} + {more})')} - {_trigamma(x)}))"
+    return f"""hist AS MATERIALIZED (SELECT class, n::DOUBLE AS n, k::DOUBLE AS k, count(*)::DOUBLE AS w FROM {units} WHERE n > 0 GROUP BY ALL),
+    pool AS (SELECT class, sum(w) AS units, sum(w * k) / sum(w * n) AS m, sum(w * n) AS trials, bool_and(k = 0 OR k = n) AS split,
+      sum(w) FILTER (WHERE k > 0) / sum(w) AS share FROM hist GROUP BY 1),
+    slope AS (SELECT class, sum(w * (k * (k - 1) / m + (n - k) * (n - k - 1) / (1 - m) - n * (n - 1))) AS spread
+      FROM hist JOIN pool USING (class) WHERE m > 0 AND m < 1 GROUP BY 1),
+    known AS MATERIALIZED (SELECT pool.*, CASE WHEN m <= 0 OR m >= 1 THEN 'constant' WHEN spread <= 1e-9 * trials THEN 'pooled' WHEN split THEN 'separate' ELSE 'fitted' END AS kind
+      FROM pool LEFT JOIN slope USING (class)),
+    walk AS (
+      SELECT 0 AS step, class, 2 * m AS a, 2 * (1 - m) AS b FROM known WHERE kind = 'fitted'
+      UNION ALL
+      SELECT step + 1, class, a * exp(greatest(-1, least(1, CASE WHEN ca < 0 AND ca * cb > cab * cab THEN (cab * sb - cb * sa) / (ca * cb - cab * cab) ELSE ln(ga / g) END))),
+        b * exp(greatest(-1, least(1, CASE WHEN ca < 0 AND ca * cb > cab * cab THEN (cab * sa - ca * sb) / (ca * cb - cab * cab) ELSE ln(gb / g) END)))
+      FROM (
+        SELECT *, a * a * (qa + z) + sa AS ca, b * b * (qb + z) + sb AS cb, a * b * z AS cab
+        FROM (
+          SELECT *, a * (ga - g) AS sa, b * (gb - g) AS sb
+          FROM (
+            SELECT step, class, a, b, {psi('a', 'k')} AS ga, {psi('b', 'n - k')} AS gb, {psi('(a + b)', 'n')} AS g,
+              {tri('a', 'k')} AS qa, {tri('b', 'n - k')} AS qb, -{tri('(a + b)', 'n')} AS z
+            FROM walk JOIN hist USING (class) WHERE step < {steps} GROUP BY step, class, a, b)))),
+    beta AS (
+      SELECT class, units::BIGINT AS units, kind, CASE kind WHEN 'fitted' THEN a / (a + b) WHEN 'separate' THEN share ELSE m END AS class_mean,
+        CASE kind WHEN 'fitted' THEN a + b WHEN 'separate' THEN 0 END AS strength
+      FROM known LEFT JOIN (SELECT * FROM walk WHERE step = {steps}) USING (class))"""
+
+
+_COARSE = ("class_mean", "strength", "reliability")  # a flat likelihood leaves the last digits open
+
+
+def _coarse(df):
+    return df.withColumns({c: F.round(c, 5) for c in _COARSE if c in df.columns})
+
+
+@query(
+    "n3_fitted_reliability",
+    f"""WITH RECURSIVE {_CLASS_ROWS}, p AS (SELECT class, condition, count(*) AS n, sum(exact_match) AS k FROM cls GROUP BY ALL), {_beta_sql("p")}
+    SELECT class, condition, n, kind, round(class_mean, 5) AS class_mean, round(strength, 5) AS strength,
+      round(CASE WHEN strength IS NULL THEN class_mean ELSE (k + strength * class_mean) / (n + strength) END, 5) AS reliability
+    FROM p JOIN beta USING (class)""",
+)
+def fitted_reliability(spark, sf):
+    """Reliability per class and condition, drawn towards the class as far as the data say."""
+    return _coarse(ratings.fitted_reliability(_class_rows(spark, sf), "class", "condition", "exact_match"))
+
+
+_BOUGHT = "CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END"
+
+
+@query(
+    "n3_fitted_strength",
+    f"""WITH RECURSIVE e AS (SELECT CAST(user_id % 4 AS INT) AS class, user_id, event_type,
+        CASE CAST(user_id % 4 AS INT) WHEN 0 THEN {_BOUGHT} WHEN 1 THEN CAST(user_id % 3 = 0 AS INT) WHEN 2 THEN 1 ELSE CAST(value < user_id * 4 AS INT) END AS correct FROM events),
+    p AS (SELECT class, user_id, count(*) AS n, sum(correct) AS k FROM e GROUP BY ALL), {_beta_sql("p")}
+    SELECT class, units, kind, round(class_mean, 5) AS class_mean, round(strength, 5) AS strength FROM beta""",
+)
+def fitted_strength(spark, sf):
+    """What users of four classes say about the spread of reliabilities: chance, all or nothing, constant, and fitted."""
+    kind = (F.col("user_id") % 4).cast("int")
+    correct = (
+        F.when(kind == 0, F.expr(_BOUGHT)).when(kind == 1, (F.col("user_id") % 3 == 0).cast("int")).when(kind == 2, 1)
+        .otherwise((F.col("value") < F.col("user_id") * 4).cast("int"))
+    )
+    rows = table(spark, sf, "events").select(kind.alias("class"), "user_id", correct.alias("correct"))
+    units = rows.groupBy("class", "user_id").agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
+    return _coarse(ratings.beta_binomial(units, "class"))
+
+
 @query(
     "n6_answer_changes",
     f"""WITH {sqltext.SCORED}

@@ -153,3 +153,47 @@ def test_reliability_of_folds_and_shrinkage(spark):
     assert folds == {("c", 0): 1.0, ("c", 1): 0.5, ("d", 1): None}
     shrunk = {(r["c"], r["a"]): r["reliability"] for r in ratings.shrunken_reliability(rows, "c", "a", "y", 3.0).collect()}
     assert shrunk[("c", "x")] == pytest.approx((2 + 3 * 2 / 3) / 5) and shrunk[("c", "y")] == pytest.approx(2 / 4)
+
+
+def log_likelihood(units, a, b):
+    rising = lambda x, n: math.lgamma(x + n) - math.lgamma(x)
+    return sum(rising(a, k) + rising(b, n - k) - rising(a + b, n) for n, k in units)
+
+
+def test_beta_binomial_stands_at_the_peak(spark):
+    rnd = random.Random(4)
+    rows, by = [], {}
+    for c, strength in (("tight", 60.0), ("loose", 2.0), ("skew", 8.0)):
+        for i in range(400):
+            p, n = rnd.betavariate(strength * 0.3, strength * 0.7), rnd.randrange(1, 40)
+            k = sum(rnd.random() < p for _ in range(n))
+            rows.append((c, n, k))
+            by.setdefault(c, []).append((n, k))
+    found = ratings.beta_binomial(spark.createDataFrame(rows, "c string, n long, k long"), "c").collect()
+    assert {r.kind for r in found} == {"fitted"}
+    for r in found:
+        a, b = r.strength * r.class_mean, r.strength * (1 - r.class_mean)
+        top = log_likelihood(by[r.c], a, b)
+        for fa in (0.99, 1.0, 1.01):
+            for fb in (0.99, 1.0, 1.01):
+                assert log_likelihood(by[r.c], a * fa, b * fb) <= top + 1e-9
+        assert r.class_mean == pytest.approx(0.3, abs=0.06)
+    strengths = {r.c: r.strength for r in found}
+    assert strengths["loose"] < strengths["skew"] < strengths["tight"]
+
+
+def test_classes_without_a_peak(spark):
+    rows = [("wrong", "a", 0)] * 5 + [("wrong", "b", 0)] * 2 + [("right", "a", 1)] * 3
+    rows += [("split", a, int(a < "c")) for a in "abcd" for _ in range(6)]
+    rows += [("even", a, i % 2) for a in "abcd" for i in range(6)] + [("single", a, int(a > "b")) for a in "abcd"]
+    rows += [(None, a, int(i < n)) for a, n in (("a", 1), ("b", 5), ("c", 3)) for i in range(6)] + [("none", "a", None), ("right", "z", None)]
+    df = spark.createDataFrame(rows, "c string, a string, y int")
+    found = {(r.c, r.a): r for r in ratings.fitted_reliability(df, "c", "a", "y").collect()}
+    kinds = {c: r.kind for (c, _), r in found.items()}
+    assert kinds == {"wrong": "constant", "right": "constant", "split": "separate", "even": "pooled", "single": "pooled", None: "fitted"}
+    assert [found["split", a].reliability for a in "abcd"] == [1, 1, 0, 0] and found["split", "a"].class_mean == 0.5
+    assert found["wrong", "b"].reliability == 0 and found["even", "a"].reliability == 0.5 and found["even", "a"].strength is None
+    assert found["right", "z"].reliability == 1 and found["right", "z"].n == 0
+    low, high = found[None, "a"].reliability, found[None, "b"].reliability
+    assert 1 / 6 < low < 0.5 < high < 5 / 6
+    assert ratings.fitted_reliability(df.limit(0), "c", "a", "y").count() == 0
