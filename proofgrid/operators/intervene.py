@@ -29,6 +29,8 @@ class Design:
     random_repeats: int = 5
     insertion: bool = True
     seed: int = 42
+    blur_sigma: float = 1.0  # in patches
+    blur_radius: int = 1
 
     def __post_init__(self) -> None:
         if not all(0 < f <= 1 for f in self.levels):
@@ -85,19 +87,38 @@ def pending(wanted: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def smoothed(values: Column, width: int, sigma: float = 1.0, radius: int = 1) -> Column:
-    """Gaussian mean over the neighbouring patches of the grid; weights outside it are left out."""
-
-    def around(i: Column) -> Column:
-        weighted, weights = F.lit(0.0), F.lit(0.0)
-        for dr in range(-radius, radius + 1):
-            for dc in range(-radius, radius + 1):
-                weight = math.exp(-(dr * dr + dc * dc) / (2 * sigma * sigma))
-                row, col = F.floor(i / width) + dr, i % width + dc
-                inside = (row >= 0) & (row * width < F.size(values)) & (col >= 0) & (col < width)
-                at = F.get(values, (i + dr * width + dc).cast("int")).cast("double")
-                weighted = weighted + F.when(inside, weight * at).otherwise(0.0)
-                weights = weights + F.when(inside, F.lit(weight)).otherwise(0.0)
-        return weighted / weights
+    """Gaussian mean over the patches up to ``radius`` away in both directions; weights outside the grid are left out.
+
+    The kernel is a product, and so is the part of it inside the grid: one pass along the rows, then one along the
+    columns of what that gave. Both read their weights from one short table, so the expression is
+    the same for every radius, and a patch costs 2 (2 radius + 1) products.
+    """
+    kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(radius + 1)]
+    weights = F.array(*[F.lit(w) for w in kernel])
+    inside = F.array(*[F.lit(sum(kernel[abs(d)] for d in range(-radius, radius + 1) if 0 <= c + d < width)) for c in range(width)])
+    offsets = lambda place, size: F.sequence(F.greatest(F.lit(-radius), -place), F.least(F.lit(radius), size - 1 - place))
+    weight = lambda d: F.get(weights, F.abs(d))
+    total = lambda place, size, what: F.aggregate(offsets(place, size), F.lit(0.0), lambda sum_, d: sum_ + weight(d) * what(d))
+    cells = lambda v: F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1)).otherwise(F.array().cast("array<int>"))
+    height = lambda v: (F.size(v) / width).cast("int")
+
+    def along(v: Column) -> Column:
+        at = lambda i: total(i % width, F.lit(width), lambda d: F.get(v, i + d).cast("double")) / F.get(inside, i % width)
+        return F.transform(cells(v), at)
+
+    def down(v: Column) -> Column:
+        row = lambda i: F.floor(i / width).cast("int")
+        rows = F.transform(F.sequence(F.lit(0), F.greatest(height(v), F.lit(1)) - 1), lambda r: total(r, height(v), lambda d: F.lit(1.0)))
+        at = lambda norm: lambda i: total(row(i), height(v), lambda d: F.get(v, i + d * width)) / F.get(norm, row(i))
+        return _bound(rows, lambda norm: F.transform(cells(v), at(norm)))
+
+    return F.when(values.isNotNull(), _bound(values, lambda v: _bound(along(v), down)))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in the lambdas inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
     return F.transform(values, lambda v, i: around(i))
 
@@ -167,7 +188,7 @@ def run(
     if stored is not None:
         done = stored.groupBy("item_id").agg(F.collect_list("intervention_id").alias("_done"))
         ready = ready.join(done, "item_id", "left")
-    ready = ready.withColumn("_smooth", smoothed(F.col("values"), width)).withColumn(
+    ready = ready.withColumn("_smooth", smoothed(F.col("values"), width, design.blur_sigma, design.blur_radius)).withColumn(
         "original_fixed_answer_mean_logprob", scorer(F.col("values"))
     )
     cells = _with_ids(mask_table(ready, design).select("*", F.inline("uses")).drop("uses"))

@@ -51,21 +51,20 @@ masks AS MATERIALIZED (
     AND r.repeat = CASE WHEN p.method = 'random_map' THEN p.repeat ELSE -1 END)"""
 
 
-def _smooth_sql() -> str:
-    weighted, weights = [], []
-    for dr in (-1, 0, 1):
-        for dc in (-1, 0, 1):
-            w = f"{math.exp(-(dr * dr + dc * dc) / 2)!r}::DOUBLE"
-            inside = f"(i // 8 + {dr}) BETWEEN 0 AND 7 AND (i % 8 + {dc}) BETWEEN 0 AND 7"
-            weighted.append(f"CASE WHEN {inside} THEN {w} * vals[CAST(i + {dr * 8 + dc} + 1 AS INT)] ELSE 0 END")
-            weights.append(f"CASE WHEN {inside} THEN {w} ELSE 0 END")
-    return f"list_transform(range(0, {CELLS}), lambda i: ({' + '.join(weighted)}) / ({' + '.join(weights)}))"
+def _smooth_sql(values: str, along_rows: bool) -> str:
+    """One pass of the smoothing over the patches of a row, or of a column."""
+    place, step = ("i % 8", 1) if along_rows else ("i // 8", 8)
+    weight = {d: f"{math.exp(-d * d / 2)!r}::DOUBLE" for d in (-1, 0, 1)}
+    term = lambda d, what: f"CASE WHEN ({place} + {d}) BETWEEN 0 AND 7 THEN {weight[d]}{what} ELSE 0 END"
+    weighted = " + ".join(term(d, f" * {values}[CAST(i + {d * step} + 1 AS INT)]") for d in (-1, 0, 1))
+    return f"list_transform(range(0, {CELLS}), lambda i: ({weighted}) / ({' + '.join(term(d, '') for d in (-1, 0, 1))}))"
 
 
 _score_sql = lambda x: f"list_sum(list_transform({x}, lambda v, i: v * ((i - 1) % 5 - 2) / 8.0::DOUBLE))"
 
 _GRID = f"""{_MASKS},
-smooth AS MATERIALIZED (SELECT item_id, {_smooth_sql()} AS sm FROM items),
+rowwise AS MATERIALIZED (SELECT item_id, {_smooth_sql("vals", True)} AS rv FROM items),
+smooth AS MATERIALIZED (SELECT item_id, {_smooth_sql("rv", False)} AS sm FROM rowwise),
 uses AS (
   SELECT m.*, u.intervention, u.treatment FROM masks m,
     (VALUES ('deletion', 'gray'), ('deletion', 'blur'), ('insertion', 'blur_baseline')) u(intervention, treatment)
@@ -215,6 +214,31 @@ def scored_interventions(spark, sf):
     return _scored(interventions(spark, sf))
 
 
+_WIDE, _WIDE_RADIUS, _WIDE_SIGMA, _PROBES = 32, 12, 6.0, (0, 31, 300, 528, 700, 992, 1023)
+
+
+@query(
+    "k1_wide_smoothing",
+    f"""WITH {_ITEMS}, probe(cell) AS (VALUES {", ".join(f"({c})" for c in _PROBES)}),
+    step(d, w) AS (SELECT d, exp(-d * d / {2 * _WIDE_SIGMA * _WIDE_SIGMA}::DOUBLE) FROM range(-{_WIDE_RADIUS}, {_WIDE_RADIUS + 1}) t(d)),
+    near AS (
+      SELECT cell, (cell // {_WIDE} + a.d) AS r, (cell % {_WIDE} + b.d) AS c, a.w * b.w AS w FROM probe, step a, step b
+      WHERE cell // {_WIDE} + a.d BETWEEN 0 AND {_WIDE - 1} AND cell % {_WIDE} + b.d BETWEEN 0 AND {_WIDE - 1})
+    SELECT item_id, CAST(cell AS INT) AS cell, sum(w * (vals[CAST((r // 4) * 8 + c // 4 + 1 AS INT)] + r - c)) / sum(w) AS smooth
+    FROM items, near GROUP BY ALL""",
+    doubles=("smooth",),
+)
+def wide_smoothing(spark, sf):
+    """Smoothing over twelve patches in each direction on grids of 32 x 32, at some of their patches."""
+    items = inputs.map_items(spark, sf)
+    row, column = lambda i: F.floor(i / _WIDE).cast("int"), lambda i: i % _WIDE
+    value = lambda i: F.get("values", F.floor(row(i) / 4).cast("int") * 8 + F.floor(column(i) / 4).cast("int")).cast("double") + row(i) - column(i)
+    grids = items.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(_WIDE * _WIDE - 1)), value).alias("grid"))
+    smooth = grids.select("item_id", intervene.smoothed(F.col("grid"), _WIDE, _WIDE_SIGMA, _WIDE_RADIUS).alias("smooth"))
+    cells = F.transform(F.array(*[F.lit(c) for c in _PROBES]), lambda c: F.struct(c.alias("cell"), F.get("smooth", c).alias("smooth")))
+    return smooth.select("item_id", F.inline(cells))
+
+
 @query(
     "d9_pending_interventions",
     f"""WITH {_GRID} SELECT intervention_id FROM grid WHERE repeat >= 2""",
@@ -287,6 +311,21 @@ def streamed_level_effects(spark, sf):
     return intervene.level_effects(ingest.stored_results(spark, store))
 
 
+@query("k7_incremental_effects", _LEVEL_SQL, doubles=_LEVEL_DOUBLES)
+def incremental_effects(spark, sf):
+    """Effects handed on level by level while results arrive as files, some of them twice."""
+    rows = interventions(spark, sf)
+    arriving, store = shared_folder(spark, "arriving"), shared_folder(spark, "effects")
+    rows = durable(rows.select(*[c for c in shapes.INTERVENTION.fieldNames() if c in rows.columns]))
+    parts = F.conv(F.substring("intervention_id", 1, 4), 16, 10).cast("int") % 3
+    files.write_json_lines(rows.filter((parts <= 1) & (F.col("mode") == "random") | (parts == 0)), arriving)
+    files.write_json_lines(rows.filter("mode = 'targeted'"), arriving, mode="append")
+    files.write_json_lines(rows.filter(parts >= 1), arriving, mode="append")
+    effects = ingest.effect_stream(ingest.arrivals(spark, arriving, shapes.INTERVENTION), DESIGN.random_repeats, "1 day")
+    ingest.ingest(effects, store, shared_folder(spark, "stream")).awaitTermination()
+    return ingest.stored_results(spark, store).filter("state = 'complete'").drop("state")
+
+
 @query(
     "n5_insertion_auc",
     f"""WITH {_GRID}, pt AS (

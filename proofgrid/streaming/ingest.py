@@ -2,15 +2,103 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from proofgrid.operators.intervene import RANDOM_MAP
+
 
-def result_stream(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
-    """JSON-lines results, each intervention once; ids seen so far are streaming state."""
+def arrivals(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
+    """JSON-lines results as they come, with ``arrived``, the time their file was written."""
     reader = spark.readStream.schema(schema).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(folder).dropDuplicates(["intervention_id"])
+    return reader.json(folder).select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+
+
+def result_stream(
+    spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 1000, wait: str | None = None
+) -> DataFrame:
+    """JSON-lines results, each intervention once; ids seen so far are streaming state.
+
+    With ``wait`` (such as ``"2 hours"``) an id leaves the state that long after its file was written, as the newest
+    file tells the time, so the state holds one period's ids. A repeat that comes later is then stored again;
+    ``intervene.level_effects`` would refuse it, ``effect_stream`` reports it as expired.
+    """
+    rows = arrivals(spark, folder, schema, files_per_trigger)
+    if wait is None:
+        return rows.drop("arrived").dropDuplicates(["intervention_id"])
+    return rows.withWatermark("arrived", wait).dropDuplicatesWithinWatermark(["intervention_id"]).drop("arrived")
+
+
+_LEVEL = "method string, treatment string, fraction double"
+EFFECT = (
+    f"item_id string, source_img_id string, {_LEVEL}, state string, targeted_fixed_answer_mean_logprob double, "
+    "random_fixed_answer_mean_logprob double, targeted_deletion_effect double"
+)
+
+
+def effect_stream(results: DataFrame, random_repeats: int, wait: str) -> DataFrame:
+    """Level effects of ``arrivals``, each handed on when its last result comes.
+
+    State is kept per item: for an open level the ids and scores that came (one targeted and ``random_repeats`` random
+    ones at most), for a finished one its name. A repeated id of an open level and any result of a finished one
+    are left out. So nothing is stored twice and no stored result is read again.
+
+    An item's state goes when nothing of it came for ``wait``, as the newest file tells the time. Levels that are open
+    then are handed on with the state ``expired`` and no effect; finished ones have ``complete``. A repeat after that
+    opens its level anew and expires; only the repeat of a whole level would give its effect again. Files
+    older than the newest by more than ``wait`` are left out.
+    """
+    kept = results.withWatermark("arrived", wait).filter(
+        (F.col("intervention") == "deletion") & (F.col("method") != RANDOM_MAP) & F.col("mode").isin("targeted", "random")
+    )
+    quiet = int(pd.Timedelta(wait).total_seconds() * 1000)
+
+    def row(key: tuple, level: str, scores: dict | None) -> tuple:
+        method, treatment, fraction = json.loads(level)
+        if scores is None:
+            return (*key, method, treatment, fraction, "expired", None, None, None)
+        targeted = [x for mode, x in scores.values() if mode == "targeted"][0]
+        random = math.fsum(x for mode, x in scores.values() if mode == "random") / random_repeats
+        return (*key, method, treatment, fraction, "complete", targeted, random, random - targeted)
+
+    def reduce(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_levels, done = json.loads(state.get[0]) if state.exists else ({}, [])
+        out = []
+        if state.hasTimedOut:
+            out = [row(key, level, None) for level in open_levels]
+            state.remove()
+        else:
+            finished, newest = set(done), state.getCurrentWatermarkMs() + 1
+            for frame in frames:
+                newest = max(newest, int(frame["arrived"].max().timestamp() * 1000) + quiet)
+                cells = ("method", "treatment", "fraction", "intervention_id", "mode", "fixed_answer_mean_logprob")
+                for method, treatment, fraction, one, mode, score in zip(*[frame[c].tolist() for c in cells]):
+                    level = json.dumps([method, treatment, fraction])
+                    if level in finished:
+                        continue
+                    scores = open_levels.setdefault(level, {})
+                    scores.setdefault(one, (mode, score))
+                    modes = [m for m, _ in scores.values()]
+                    if modes.count("targeted") > 1 or modes.count("random") > random_repeats:
+                        raise ValueError(f"an effect needs exactly one targeted and {random_repeats} random scores: {key} {level}")
+                    if len(modes) == 1 + random_repeats:
+                        out.append(row(key, level, open_levels.pop(level)))
+                        finished.add(level)
+            state.update((json.dumps((open_levels, sorted(finished))),))
+            state.setTimeoutTimestamp(newest)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EFFECT.split(", ")])
+
+    keyed = kept.groupBy("item_id", "source_img_id")
+    return keyed.applyInPandasWithState(reduce, EFFECT, "levels string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest(results: DataFrame, store: str, checkpoint: str) -> StreamingQuery:

@@ -1,4 +1,6 @@
+import glob
 import math
+import os
 
 import numpy as np
 import pytest
@@ -83,6 +85,25 @@ def test_smoothing_is_a_weighted_mean_of_neighbours(spark):
             assert got[r * 4 + c] == pytest.approx(sum(v * w for v, w in near) / sum(w for _, w in near))
 
 
+def test_wide_smoothing_equals_the_direct_sum(spark):
+    rng, size, radius, sigma = np.random.default_rng(7), 32, 12, 6.0
+    grid = rng.random((size, size)) * 255
+    df = spark.createDataFrame([([float(v) for v in grid.ravel()],), (None,), ([],)], "v array<double>")
+    got, none, empty = (r[0] for r in df.select(intervene.smoothed(F.col("v"), size, sigma, radius)).collect())
+    assert none is None and empty == []
+    for i in [*range(0, size * size, 37), size * size - 1]:
+        r, c = divmod(i, size)
+        y, x = np.mgrid[max(r - radius, 0) : min(r + radius + 1, size), max(c - radius, 0) : min(c + radius + 1, size)]
+        w = np.exp(-((y - r) ** 2 + (x - c) ** 2) / (2 * sigma**2))
+        assert got[i] == pytest.approx(float((grid[y, x] * w).sum() / w.sum()), rel=1e-12)
+
+
+def test_the_smoothing_plan_does_not_grow_with_the_radius(spark):
+    df = spark.createDataFrame([([1.0] * 64,)], "v array<double>")
+    plans = [df.select(intervene.smoothed(F.col("v"), 8, 2.0, r))._jdf.queryExecution().analyzed().toString() for r in (1, 12)]
+    assert plans[0].count("get(") == plans[1].count("get(") and plans[0].count("lambda") == plans[1].count("lambda")
+
+
 def test_deletion_and_insertion_are_complements(spark):
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
     values, base, mask = lit([1.0, 2.0, 3.0]), lit([9.0, 8.0, 7.0]), lit([1])
@@ -146,6 +167,75 @@ def test_stream_stores_each_result_once_and_equals_the_batch(spark, tmp_path):
     assert {tuple(r) for r in batch.collect()} == {tuple(r) for r in stream.collect()}
 
 
+def arriving_rows(spark):
+    rows = intervene.run(items(spark, 3), SCORER, 4, DESIGN).withColumn("attribution_sha256", F.lit(None).cast("string"))
+    return rows.select(*shapes.INTERVENTION.fieldNames()).persist()
+
+
+def put(rows, folder, hours):
+    """One file in the folder, written so many hours after the first."""
+    before = set(glob.glob(f"{folder}/*.json"))
+    files.write_json_lines(rows.coalesce(1), folder, mode="append")
+    for path in set(glob.glob(f"{folder}/*.json")) - before:
+        os.utime(path, (1_700_000_000 + 3600 * hours,) * 2)
+
+
+def take_effects(spark, folder, store, mark, wait="2 hours"):
+    stream = ingest.effect_stream(ingest.arrivals(spark, folder, shapes.INTERVENTION, 1), DESIGN.random_repeats, wait)
+    query = ingest.ingest(stream, store, mark)
+    query.awaitTermination()
+    return query
+
+
+def test_effects_are_handed_on_while_results_arrive(spark, tmp_path):
+    rows = arriving_rows(spark)
+    folder, store, mark = (str(tmp_path / d) for d in ("arriving", "store", "mark"))
+    early = F.col("fraction") <= 0.1
+    put(rows.filter(early & (F.col("mode") != "targeted")), folder, 0)
+    take_effects(spark, folder, store, mark)
+    assert ingest.stored_results(spark, store).count() == 0
+    put(rows.filter(early), folder, 1)  # the random ones again, and the targeted ones
+    take_effects(spark, folder, store, mark)
+    want = {tuple(r) for r in intervene.level_effects(rows).collect()}
+    done = lambda: {tuple(r) for r in ingest.stored_results(spark, store).filter("state = 'complete'").drop("state").select(*intervene.level_effects(rows).columns).collect()}
+    assert done() == {r for r in want if r[4] <= 0.1}
+    put(rows, folder, 2)
+    take_effects(spark, folder, store, mark)
+    assert done() == want and ingest.stored_results(spark, store).count() == len(want)
+
+
+def test_state_of_effects_is_bounded_and_late_repeats_expire(spark, tmp_path):
+    rows = arriving_rows(spark)
+    folder, store, mark = (str(tmp_path / d) for d in ("arriving", "store", "mark"))
+    ids = sorted(r[0] for r in rows.select("item_id").distinct().collect())
+    for day, one in enumerate(ids):  # an item a day: the state holds one item, not all
+        put(rows.filter(F.col("item_id") == one), folder, 24 * day)
+    put(rows.filter((F.col("item_id") == ids[0]) & (F.col("mode") == "targeted")), folder, 24 * 5)  # long after its levels were finished
+    query = take_effects(spark, folder, store, mark)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 2
+    put(rows.filter(F.col("item_id") == ids[-1]), folder, 24 * 9)
+    take_effects(spark, folder, store, mark)
+    stored = ingest.stored_results(spark, store)
+    levels = rows.filter((F.col("item_id") == ids[0]) & (F.col("mode") == "targeted") & (F.col("intervention") == "deletion") & (F.col("method") != intervene.RANDOM_MAP))
+    assert stored.filter("state = 'expired'").count() == levels.count() > 0
+    assert stored.filter((F.col("state") == "complete") & (F.col("item_id") == ids[0])).count() == levels.count()
+
+
+def test_repeats_within_the_wait_are_dropped_and_ids_leave_the_state(spark, tmp_path):
+    rows = arriving_rows(spark)
+    folder, store, mark = (str(tmp_path / d) for d in ("arriving", "store", "mark"))
+    ids = sorted(r[0] for r in rows.select("item_id").distinct().collect())
+    for day, one in enumerate(ids):
+        put(rows.filter(F.col("item_id") == one), folder, 24 * day)
+        put(rows.filter((F.col("item_id") == one) & (F.col("mode") == "targeted")), folder, 24 * day + 1)
+    query = ingest.ingest(ingest.result_stream(spark, folder, shapes.INTERVENTION, 1, wait="2 hours"), store, mark)
+    query.awaitTermination()
+    assert ingest.stored_results(spark, store).count() == rows.count()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 2 * rows.count() / len(ids) < rows.count()
+
+
 def test_insertion_area(spark):
     rows = spark.createDataFrame(
         [("i", "m", "targeted", 0.1, 1.0), ("i", "m", "targeted", 0.3, 2.0), ("i", "m", "random", 0.1, 1.0), ("i", "m", "random", 0.1, 3.0)],
