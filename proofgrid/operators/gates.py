@@ -53,6 +53,36 @@ def unknown_ids(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return ids.select(key).distinct().join(known.select(key), key, "left_anti")
 
 
+def split_membership(partitions: dict[str, DataFrame], known: DataFrame, key: str) -> DataFrame:
+    """Where each id stands: ``<key>``, a flag per partition, and ``known``.
+
+    All tables are read as ids with one bit each; one shuffle ors the bits, so copies of an id shrink before it.
+    """
+    sides = {**partitions, "known": known}
+    bits = [df.select(F.col(key), F.lit(1 << i).alias("_bit")) for i, df in enumerate(sides.values())]
+    masks = reduce(DataFrame.unionByName, bits).groupBy(key).agg(F.bit_or("_bit").alias("_mask"))
+    return masks.select(key, *[(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(sides)])
+
+
+def split_audit(partitions: dict[str, DataFrame], known: DataFrame, key: str) -> DataFrame:
+    """One row: ids per partition, ids that two partitions share, ids unknown to ``known``, known ids lost from all partitions."""
+    names = list(partitions)
+    places = split_membership(partitions, known, key)
+    anywhere = reduce(lambda a, b: a | b, [F.col(n) for n in names])
+    cells = [F.count_if(F.col(n)).alias(f"{n}_ids") for n in names]
+    cells += [F.count_if(F.col(a) & F.col(b)).alias(f"shared_{a}_{b}") for i, a in enumerate(names) for b in names[i + 1 :]]
+    return places.agg(*cells, F.count_if(anywhere & ~F.col("known")).alias("unknown_ids"), F.count_if(F.col("known") & ~anywhere).alias("lost_ids"))
+
+
+def enforce_split(report: DataFrame) -> dict:
+    """The row of ``split_audit``; fails if partitions share ids or hold unknown ones. Lost ids are reported only."""
+    row = report.first().asDict()
+    wrong = {k: v for k, v in row.items() if v and (k.startswith("shared_") or k == "unknown_ids")}
+    if wrong:
+        raise GateError(f"the split leaks or holds unknown ids: {wrong}")
+    return row
+
+
 def repeated_keys(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1")
 
@@ -107,6 +137,17 @@ def changed_provenance(current: DataFrame, stored: DataFrame, key: list[str], fi
     return current.join(old, key).filter(~same)
 
 
+def compared_hashes(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """Every recorded or present file with ``state``: ``same``, ``changed``, ``gone`` or ``new``."""
+    now = current.select("path", F.col("sha256").alias("current_sha256"))
+    both = recorded.select("path", "sha256").join(now, "path", "full_outer")
+    state = (
+        F.when(F.col("sha256").isNull(), "new").when(F.col("current_sha256").isNull(), "gone")
+        .when(F.col("sha256") != F.col("current_sha256"), "changed").otherwise("same")
+    )
+    return both.withColumn("state", state)
+
+
 def changed_hashes(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Files that are gone or whose sha256 is not the recorded one."""
     now = current.select("path", F.col("sha256").alias("current_sha256"))

@@ -7,13 +7,13 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions import keys
 from proofgrid.operators import gates, saliency
 from proofgrid.session import together
+from proofgrid.sources.files import stored_table
 
 RANDOM_MAP = "random_map"
 GREY = 127.0  # fixed value of the grey replacement
@@ -205,16 +205,6 @@ def run(
     return scored.drop("_perturbed", "_smooth", "values", "mask")
 
 
-def stored_rows(spark: SparkSession, store: str) -> DataFrame | None:
-    """The rows of a parquet folder, or None before the first run."""
-    try:
-        return spark.read.parquet(store)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 PROVENANCE = ["target_text", "model_revision", "adapter_revision", "attribution_sha256"]
 
 
@@ -227,7 +217,7 @@ def run_and_append(
     items: DataFrame, scorer: Callable[[Column], Column], width: int, store: str, design: Design = Design()
 ) -> DataFrame:
     """Append what is missing in the parquet folder ``store``; return all of it."""
-    stored = stored_rows(items.sparkSession, store)
+    stored = stored_table(items.sparkSession, store)
     if stored is not None:
         gates.enforce(gates.repeated_keys(stored, "intervention_id"), "the store holds an intervention twice")
         now = with_map_hash(items).select("item_id", *PROVENANCE)

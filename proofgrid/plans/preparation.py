@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from proofgrid.functions import keys
@@ -11,6 +13,7 @@ from proofgrid.plans import inputs, sqltext
 from proofgrid.plans.inputs import table
 from proofgrid.plans.registry import query
 from proofgrid.plans.sqltext import canon, h60
+from proofgrid.session import durable, shared_folder
 from proofgrid.sources import files
 
 # ---- gates -----------------------------------------------------------------------
@@ -411,6 +414,39 @@ def qa_audit(spark, sf):
     return audit.dataset_audit(inputs.qa(spark, sf))
 
 
+@query(
+    "e1_sketched_audit",
+    f"""WITH {sqltext.REPEATED}
+    SELECT 6 AS files, count(*) AS total, count(DISTINCT source) AS unique_source_images,
+      count(*) - count(DISTINCT (source, question_key, answer_key)) AS repeated_exact_qa_pairs, avg(1.0) AS mean_answer_words, TRUE AS within, TRUE AS overlap_within
+    FROM rep""",
+    doubles=("mean_answer_words",),
+)
+def sketched_audit(spark, sf):
+    """The audits from sketches kept per file, grown by new files only, next to the exact counts and the stated bound."""
+    rows = inputs.repeated_rows(spark, sf)
+    folder, store = shared_folder(spark, "annotations"), shared_folder(spark, "sketches")
+    part = F.pmod(F.xxhash64("source", "question_key", "answer_key"), F.lit(3))
+    written = rows.withColumn("part", F.concat_ws("-", "origin", part.cast("string")))
+    written.write.partitionBy("part").parquet(folder)
+    exact = audit.dataset_audit(rows).crossJoin(audit.overlap_audit(rows, F.col("origin") == "train", F.col("origin") == "test"))  # one row each
+    parts = [f"{o}-{k}" for o in ("test", "train") for k in range(3)]
+    read = lambda names: spark.read.parquet(folder).filter(F.col("part").isin(names))
+    for known in (parts[:4], parts):
+        sketches = audit.sketch_new_files(spark, read, known, "part", store)
+    train = F.col("part").startswith("train")
+    rough = audit.sketched_audit(sketches).select(F.col("unique_source_images").alias("s"), F.col("repeated_exact_qa_pairs").alias("r"))
+    shared = audit.sketched_overlap(sketches, train, ~train).select(*[F.col(c).alias(f"_{c}") for c in _SHARED])
+    met = exact.crossJoin(rough).crossJoin(shared).withColumn("files", F.lit(sketches.count()).cast("int"))
+    near = lambda a, b, of: F.abs(F.col(a) - F.col(b)) <= audit.SKETCH_ERROR * F.col(of)
+    within = near("s", "unique_source_images", "unique_source_images") & near("r", "repeated_exact_qa_pairs", "total")
+    overlap = reduce(lambda a, c: a & near(f"_{c}", c, "total"), _SHARED, F.lit(True))
+    return met.select("files", "total", "unique_source_images", "repeated_exact_qa_pairs", "mean_answer_words", within.alias("within"), overlap.alias("overlap_within"))
+
+
+_SHARED = ["overlapping_source_images", "overlapping_image_question_pairs", "overlapping_image_question_answer_triples"]
+
+
 @query("e2_value_counts", f"WITH {sqltext.QA} SELECT complexity AS value, count(*) AS rows FROM qa GROUP BY 1")
 def value_counts(spark, sf):
     """Rows per complexity."""
@@ -744,3 +780,48 @@ def first_per_group(spark, sf):
     return ranking.first_per_group(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select(
         "o_custkey", "o_orderkey"
     )
+
+
+# ---- gates on the splits above ------------------------------------------------------
+
+_KNOWN = "known AS (SELECT DISTINCT l_orderkey AS g FROM lineitem)"
+
+
+@query(
+    "c3_three_way_split",
+    f"""WITH {_PARTITION_SQL}, {_KNOWN},
+    kept AS (SELECT * FROM assigned WHERE CAST(g AS BIGINT) % 11 <> 0),
+    test_ids AS (SELECT g FROM kept WHERE partition = 'test' UNION SELECT g FROM kept WHERE partition = 'train' AND CAST(g AS BIGINT) % 97 = 0),
+    dev_ids AS (SELECT g FROM kept WHERE partition = 'development'), train_ids AS (SELECT g FROM kept WHERE partition = 'train'),
+    everyone AS (FROM test_ids UNION FROM dev_ids UNION FROM train_ids)
+    SELECT (SELECT count(*) FROM train_ids) AS train_ids, (SELECT count(*) FROM dev_ids) AS development_ids, (SELECT count(*) FROM test_ids) AS test_ids,
+      (SELECT count(*) FROM (FROM train_ids INTERSECT FROM dev_ids)) AS shared_train_development,
+      (SELECT count(*) FROM (FROM train_ids INTERSECT FROM test_ids)) AS shared_train_test,
+      (SELECT count(*) FROM (FROM dev_ids INTERSECT FROM test_ids)) AS shared_development_test,
+      (SELECT count(*) FROM (FROM everyone EXCEPT FROM known)) AS unknown_ids, (SELECT count(*) FROM (FROM known EXCEPT FROM everyone)) AS lost_ids""",
+)
+def three_way_split(spark, sf):
+    """The grouped split of the orders, with some orders excluded and some test orders leaked into train, audited in one pass."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("g"))
+    kept = split.grouped_split(orders, "g", 42, 0.15, 0.1).filter("g % 11 <> 0")
+    part = lambda name: kept.filter(F.col("partition") == name).select("g")
+    leaked = part("train").filter("g % 97 = 0")
+    sides = {"train": part("train"), "development": part("development"), "test": part("test").unionByName(leaked)}
+    known = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"))
+    return gates.split_audit(sides, known, "g")
+
+
+@query(
+    "c2_pinned_split_counts",
+    f"""WITH report AS ({_overlap_sql(sqltext.REPEATED, "rep", "origin")}), long AS (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM report) ON COLUMNS(*) INTO NAME field VALUE value),
+    pinned AS (
+      SELECT field, CASE field WHEN 'overlapping_source_images' THEN value + 1 WHEN 'test_rows' THEN value - 1 ELSE value END AS expected FROM long)
+    SELECT field, value, expected FROM pinned JOIN long USING (field) WHERE value <> expected""",
+    doubles=("value", "expected"),
+)
+def pinned_split_counts(spark, sf):
+    """The seven counts of the split audit against pinned ones, two of which are off by one."""
+    rows = inputs.repeated_rows(spark, sf)
+    report = gates.long_report(audit.overlap_audit(rows, F.col("origin") == "train", F.col("origin") == "test"))
+    off = F.when(F.col("field") == "overlapping_source_images", 1).when(F.col("field") == "test_rows", -1).otherwise(0)
+    return gates.pinned_mismatch(report, durable(report).withColumn("value", F.col("value") + off)).select("field", "value", "expected")

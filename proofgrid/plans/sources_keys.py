@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofgrid.functions import answers, keys
-from proofgrid.operators import intervals
+from proofgrid.operators import gates, intervals
 from proofgrid.plans import inputs, sqltext
 from proofgrid.plans.inputs import table
 from proofgrid.plans.registry import query
@@ -95,6 +95,47 @@ def file_manifest(spark, sf):
     return files.manifest(page_files(spark, sf), "r1")
 
 
+_BUCKETS = 8
+_LISTED = f"""
+lines AS (SELECT page_id, CAST(page_id % {_BUCKETS} AS INT) AS bucket, page_id || ' ' || md5(html) AS line FROM pages),
+old AS (SELECT bucket, sha256(string_agg(line, chr(10) ORDER BY page_id) || chr(10)) AS sha256 FROM lines GROUP BY 1),
+new AS (
+  SELECT bucket, sha256(string_agg(line, chr(10) ORDER BY page_id) || chr(10)) AS sha256, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes
+  FROM lines WHERE bucket NOT IN (2, 3) AND NOT (bucket = 1 AND page_id % 3 = 0) GROUP BY 1
+  UNION ALL SELECT 3, sha256(''), 0)"""
+
+
+@query(
+    "a5_c13_files_on_storage",
+    f"""WITH {_LISTED}
+    SELECT bucket, coalesce(new.bytes, -1) AS bytes, new.sha256,
+      CASE WHEN new.sha256 IS NULL THEN 'gone' WHEN new.sha256 <> old.sha256 THEN 'changed' ELSE 'same' END AS state
+    FROM old LEFT JOIN new USING (bucket)""",
+)
+def files_on_storage(spark, sf):
+    """Files written, listed and hashed; then written again with one changed, one gone and one empty, and compared."""
+    lines = table(spark, sf, "pages").select(
+        "page_id", (F.col("page_id") % _BUCKETS).cast("int").alias("bucket"), F.concat(F.col("page_id").cast("string"), F.lit(" "), F.md5("html")).alias("line")
+    )
+
+    def written(rows, name):
+        folder = shared_folder(spark, name)
+        dealt = rows.repartition(_BUCKETS, "bucket").sortWithinPartitions("bucket", "page_id")
+        dealt.select("bucket", F.col("line").alias("value")).write.partitionBy("bucket").text(folder)
+        return folder
+
+    def manifest(folder):
+        found = files.file_manifest(spark, folder, "*.txt", large=4096)  # most of these files are hashed piece by piece
+        return found.withColumn("path", F.regexp_extract("path", "bucket=([0-9]+)", 1))
+
+    then = written(lines, "files-then")
+    now = written(lines.filter("bucket not in (2, 3) and not (bucket = 1 and page_id % 3 = 0)"), "files-now")
+    lines.filter("false").coalesce(1).select("line").write.text(f"{now}/bucket=3")
+    current = manifest(now)
+    compared = gates.compared_hashes(manifest(then), current).join(current.select("path", "bytes"), "path", "left")
+    return compared.select(F.col("path").cast("int").alias("bucket"), F.coalesce("bytes", F.lit(-1)).alias("bytes"), F.col("current_sha256").alias("sha256"), "state")
+
+
 @query(
     "a7_csv_round_trip",
     f"WITH {sqltext.TASKS} SELECT task, CAST(start AS VARCHAR) AS start, CAST(finish AS VARCHAR) AS finish, category, status FROM tasks",
@@ -122,6 +163,23 @@ def outputs_per_condition(spark, sf):
     return kept.select("condition", "item_id", F.md5("prediction").alias("prediction_md5"))
 
 
+@query(
+    "a8_a9_files_by_name",
+    f"""WITH {sqltext.PRED}
+    SELECT kind, condition, count(*) AS rows, sum(CASE kind WHEN 'scored' THEN CAST({canon('prediction')} = {canon('reference')} AS INT) END)::BIGINT AS matches
+    FROM pred, (VALUES ('predictions'), ('scored')) k(kind) WHERE split = 'train' GROUP BY ALL""",
+)
+def files_by_name(spark, sf):
+    """Prediction files named by split and condition, scored files beside them, and both read back by name."""
+    folder = shared_folder(spark, "predictions")
+    files.write_named(inputs.predictions(spark, sf).select("split", "condition", "item_id", "prediction", "reference"), folder)
+    read = lambda derived: files.read_predictions(spark, folder, "train", "item_id string, prediction string, reference string, matches int", derived)
+    exact = (keys.canonical(F.col("prediction")) == keys.canonical(F.col("reference"))).cast("int")
+    files.write_named(read(None).withColumns({"split": F.lit("train"), "matches": exact}), folder, "scored")
+    kinds = read(None).withColumn("kind", F.lit("predictions")).unionByName(read("scored").withColumn("kind", F.lit("scored")))
+    return kinds.groupBy("kind", "condition").agg(F.count("*").alias("rows"), F.sum("matches").cast("bigint").alias("matches"))
+
+
 @query("a10_needed_columns_only", "SELECT vec_id, CAST(label AS VARCHAR) AS label FROM embeddings WHERE label = 3")
 def needed_columns_only(spark, sf):
     """Projection and filter reach the scan; the vectors are not read."""

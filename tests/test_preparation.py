@@ -245,3 +245,47 @@ def test_balanced_sequence_of_odd_rows(spark):
     rows = [(None, None, None, None), (None, None, None, None), ("a", "x", 1, []), ("a", "x", 1, [None])]
     found = split.balanced_sequence(spark.createDataFrame(rows, schema), "source", "item", "cx", "classes", 42).collect()
     assert sorted(str(r.source) for r in found) == ["None", "a"]
+
+
+def test_split_audit_counts_every_kind(spark):
+    ids = lambda *values: spark.createDataFrame([(v,) for v in values], "id long")
+    sides = {"train": ids(1, 1, 2, 3, 9), "development": ids(4, 2), "test": ids(5, 3)}
+    report = gates.split_audit(sides, ids(1, 2, 3, 4, 5, 6, 7, 7), "id")
+    assert report.first().asDict() == {
+        "train_ids": 4, "development_ids": 2, "test_ids": 2, "shared_train_development": 1, "shared_train_test": 1,
+        "shared_development_test": 0, "unknown_ids": 1, "lost_ids": 2,
+    }
+    with pytest.raises(gates.GateError):
+        gates.enforce_split(report)
+    clean = gates.split_audit({"train": ids(1, 1), "test": ids(2)}, ids(1, 2, 3), "id")
+    assert gates.enforce_split(clean)["lost_ids"] == 1
+    nothing = gates.split_audit({"train": ids(), "test": ids()}, ids(), "id").first()
+    assert set(nothing.asDict().values()) == {0}
+
+
+def test_sketches_grow_by_new_files_and_stay_near(spark, tmp_path):
+    rnd, read_files = random.Random(8), []
+    rows = [(f"s{rnd.randrange(20_000)}", f"q{rnd.randrange(3)}", "a", f"f{i % 5}", "two words") for i in range(60_000)]
+    df = spark.createDataFrame(rows, "source string, question_key string, answer_key string, file string, answer string").persist()
+
+    def read(paths):
+        read_files.append(list(paths))
+        return df.filter(F.col("file").isin(paths))
+
+    store = str(tmp_path / "sketches")
+    audit.sketch_new_files(spark, read, ["f0", "f1", "f2"], "file", store)
+    sketches = audit.sketch_new_files(spark, read, [f"f{i}" for i in range(5)], "file", store)
+    assert read_files == [["f0", "f1", "f2"], ["f3", "f4"]] and sketches.count() == 5
+    rough, exact = audit.sketched_audit(sketches).first(), audit.dataset_audit(df).first()
+    assert (rough.total, rough.mean_answer_words) == (exact.total, exact.mean_answer_words)
+    assert rough.unique_source_images == pytest.approx(exact.unique_source_images, rel=audit.SKETCH_ERROR)
+    assert abs(rough.repeated_exact_qa_pairs - exact.repeated_exact_qa_pairs) <= audit.SKETCH_ERROR * exact.total
+    train, test = F.col("file") < "f3", F.col("file") >= "f3"
+    shared, true = audit.sketched_overlap(sketches, train, test).first(), audit.overlap_audit(df, train, test).first()
+    assert (shared.train_rows, shared.test_rows) == (true.train_rows, true.test_rows)
+    for c in ("overlapping_source_images", "overlapping_image_question_pairs", "overlapping_image_question_answer_triples"):
+        assert abs(shared[c] - true[c]) <= audit.SKETCH_ERROR * 60_000
+    small = audit.file_sketches(df.limit(500), "file")
+    assert audit.sketched_audit(small).first().unique_source_images == df.limit(500).select("source").distinct().count()
+    empty = audit.file_sketches(df.limit(0), "file")
+    assert audit.sketched_audit(empty).first().total == 0 and audit.sketched_overlap(empty, train, test).first().overlapping_source_images == 0

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,40 @@ def test_one_image_per_id(spark):
     required = spark.createDataFrame([("a",), ("c",), ("a",)], "img_id string")
     assert [tuple(r) for r in records.one_image_per_id(images, required, "img_id", [F.col("n")]).collect()] == [("a", 1, "y")]
     assert [r[0] for r in records.missing_images(images, required, "img_id").collect()] == ["c"]
+
+
+def test_manifest_of_files_on_storage(spark, tmp_path):
+    contents = {"a.bin": b"abc", "deep/b c+%20.bin": b"x" * 5000, "deep/empty.bin": b"", "edge.bin": b"y" * 100, "skip.txt": b"no"}
+    for name, data in contents.items():
+        path = tmp_path / "files" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    folder = str(tmp_path / "files")
+    for large in (100, files.LARGE):  # read piece by piece, and as rows
+        found = {r.path.split("/files/")[1]: (r.bytes, r.sha256, r.revision) for r in files.file_manifest(spark, folder, "*.bin", "r1", large).collect()}
+        assert found == {n: (len(d), hashlib.sha256(d).hexdigest(), "r1") for n, d in contents.items() if n.endswith(".bin")}
+    old = files.file_manifest(spark, folder)
+    old = spark.createDataFrame(old.collect(), old.schema)
+    (tmp_path / "files" / "a.bin").write_bytes(b"abd")
+    (tmp_path / "files" / "edge.bin").unlink()
+    (tmp_path / "files" / "fresh.bin").write_bytes(b"")
+    state = {r.path.rsplit("/", 1)[1]: r.state for r in gates.compared_hashes(old, files.file_manifest(spark, folder)).collect()}
+    assert state == {"a.bin": "changed", "edge.bin": "gone", "fresh.bin": "new", "b c+%20.bin": "same", "empty.bin": "same", "skip.txt": "same"}
+
+
+def test_named_outputs_stand_beside_their_inputs(spark, tmp_path):
+    folder = str(tmp_path / "predictions")
+    rows = [(s, c, f"{s}{c}{i}") for s in ("development", "test") for c in ("tuned", "base é") for i in range(40)]
+    df = spark.createDataFrame(rows, "split string, condition string, item_id string").repartition(3)
+    names = files.write_named(df, folder)
+    assert {n.split(".")[0] for n in names} == {f"{s}__{c}" for s in ("development", "test") for c in ("tuned", "base é")}
+    assert len(names) > 4 and not [n for n in os.listdir(folder) if n.startswith("_")]  # several tasks wrote parts
+    read = lambda derived=None: files.read_predictions(spark, folder, "test", "item_id string, score int", derived)
+    scored = read().withColumns({"split": F.lit("test"), "score": F.length("item_id")})
+    files.write_named(scored, folder, "scored")
+    files.write_named(scored.limit(1), folder, "metrics")
+    want = {(c, i) for s, c, i in rows if s == "test"}
+    assert {(r.condition, r.item_id) for r in read().collect()} == {(r.condition, r.item_id) for r in read("scored").collect()} == want
+    assert read().count() == read("scored").count() == 80 and read("metrics").count() == 1
+    assert read("scored").filter("score is null").count() == 0
+    assert "_metadata.file_name" in read()._jdf.queryExecution().optimizedPlan().toString() or read().inputFiles()
