@@ -51,6 +51,27 @@ def cluster_bootstrap(spark, sf):
     return stats.cluster_bootstrap(inputs.confident(spark, sf), "user_id", ["correct", "confidence"], N_BOOT)
 
 
+@query(
+    "l1_split_bootstrap",
+    f"""WITH {sqltext.CONFIDENT}, t AS (SELECT count(*) AS n, count(DISTINCT user_id) AS c, sum(correct) / count(*) AS a, sum(confidence) / count(*) AS b FROM conf)
+    SELECT measure, estimate, n AS n_rows, c AS n_clusters, {N_BOOT} AS n_boot, TRUE AS covers, TRUE AS near
+    FROM (SELECT 'correct' AS measure, a AS estimate, n, c FROM t UNION ALL SELECT 'confidence', b, n, c FROM t)""",
+    doubles=("estimate",),
+)
+def split_bootstrap(spark, sf):
+    """The same intervals with numbers of draws cut down a tree; they are as wide as the linear approximation says."""
+    rows, values = inputs.confident(spark, sf), ["correct", "confidence"]
+    found = stats.cluster_bootstrap(rows, "user_id", values, N_BOOT, draws="split")
+    sums = rows.groupBy("user_id").agg(F.count("*").alias("n"), *[F.sum(F.col(v).cast("double")).alias(v) for v in values])
+    mean = lambda v: (F.sum(v) / F.sum("n")).alias(f"mean_{v}")
+    spread = sums.crossJoin(sums.agg(*[mean(v) for v in values]))  # one row
+    error = lambda v: F.sqrt(F.sum(F.pow(F.col(v) - F.col(f"mean_{v}") * F.col("n"), F.lit(2)))) / F.sum("n")
+    errors = spread.agg(F.array(*[F.struct(F.lit(v).alias("measure"), error(v).alias("error")) for v in values]).alias("e")).select(F.inline("e"))
+    near = F.abs((F.col("high") - F.col("low")) / (2 * 1.959964 * F.col("error")) - 1) < 0.2
+    covers = (F.col("low") <= F.col("estimate")) & (F.col("estimate") <= F.col("high"))
+    return found.join(errors, "measure").select("measure", "estimate", "n_rows", "n_clusters", "n_boot", covers.alias("covers"), near.alias("near"))
+
+
 _DIFFERENCES = f"""{sqltext.SCORED},
 diff AS (
   SELECT a.source, a.exact_match - b.exact_match AS exact_match_difference, a.confidence - b.confidence AS confidence_difference

@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,52 @@ def test_classes_without_a_peak(spark):
     low, high = found[None, "a"].reliability, found[None, "b"].reliability
     assert 1 / 6 < low < 0.5 < high < 5 / 6
     assert ratings.fitted_reliability(df.limit(0), "c", "a", "y").count() == 0
+
+
+@pytest.mark.parametrize("clusters", [1, 7, 5000, 20_000])
+def test_split_draws_have_the_moments_of_resampling(clusters):
+    n_boot = 400
+    blocks = range(-(-clusters // stats.BLOCK))
+    times = np.concatenate([np.concatenate([t for _, t in stats.multiplicities(clusters, b, n_boot, 5)]) for b in blocks], axis=1)
+    assert times.shape == (n_boot, clusters) and (times.sum(axis=1) == clusters).all()
+    again = np.concatenate([t for _, t in stats.multiplicities(clusters, 0, n_boot, 5)])
+    assert (again == times[:, : again.shape[1]]).all()
+    if clusters > 1:
+        share = 1 / clusters
+        assert times.mean() == pytest.approx(1) and times.var() == pytest.approx(1 - share, rel=0.05)
+        pairs = times[:, :-1] * times[:, 1:]  # neighbours are drawn a little less often together
+        assert pairs.mean() == pytest.approx(1 - share, rel=0.05)
+        if len(blocks) > 1:
+            first = times[:, : stats.BLOCK].sum(axis=1)
+            p = stats.BLOCK / clusters
+            assert first.mean() == pytest.approx(clusters * p, rel=0.02) and first.var() == pytest.approx(clusters * p * (1 - p), rel=0.35)
+
+
+def test_split_bootstrap_equals_its_own_draws_and_makes_no_row_per_draw(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(rnd.randrange(900), rnd.choice("ab"), rnd.random()) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "c int, g string, v double")
+    order = sorted({str(c) for c, _, _ in rows})
+    place = {c: i for i, c in enumerate(order)}
+    times = np.concatenate([t for _, t in stats.multiplicities(len(order), 0, 300, 42)])
+    sums, counts, by_group = np.zeros(len(order)), np.zeros(len(order)), {g: np.zeros(len(order)) for g in "ab"}
+    for c, g, v in rows:
+        sums[place[str(c)]] += v
+        counts[place[str(c)]] += 1
+        by_group[g][place[str(c)]] += v
+    low, high = stats.interval_positions(300, 0.95)
+    monkeypatch.setattr(stats, "_draws", None)
+    got = stats.cluster_bootstrap(df, "c", ["v"], n_boot=300, draws="split").first()
+    means = np.sort(times @ sums / (times @ counts))
+    assert (got.low, got.high) == (pytest.approx(means[low]), pytest.approx(means[high])) and got.n_clusters == len(order)
+
+    def largest(sums):
+        return sums.groupBy("replicate").agg(F.max("v").alias("estimate"))
+
+    got = stats.cluster_bootstrap_statistic(df, "c", ["g"], ["v"], largest, n_boot=300, draws="split").first()
+    tops = np.sort(np.maximum(times @ by_group["a"], times @ by_group["b"]))
+    assert (got.low, got.high) == (pytest.approx(tops[low]), pytest.approx(tops[high]))
+    nothing = stats.cluster_bootstrap(df.limit(0), "c", ["v"], n_boot=10, draws="split").first()
+    assert (nothing.estimate, nothing.n_clusters) == (None, 0)
+    with pytest.raises(ValueError):
+        stats.cluster_bootstrap(df, "c", ["v"], draws="other")
