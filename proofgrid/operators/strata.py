@@ -23,17 +23,26 @@ def strata(complexity: Column, classes: Column) -> Column:
 def stratified_means(
     scored: DataFrame, complexity: Column, classes: Column, metrics: list[str], by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``stratum_kind, stratum, n`` and the mean of each metric, from one scan and one shuffle.
+    """``stratum_kind, stratum, n`` and the mean of each metric, from one scan.
 
     Rows with several classes count in each of them. If the rows carry corpus BLEU counts,
     the result also has ``corpus_bleu``, pooled per stratum and not a mean of row scores.
     ``by`` keeps sets of predictions apart. Without it, no input gives one overall row with ``n`` 0.
+
+    All strata follow from complexity and class list, so rows are first summed per pair of these, inside
+    each task; only those sums are multiplied by their strata.
     """
     pooled = [c for c in BLEU_COUNTS if c in scored.columns]
-    spread = scored.select(*by, F.inline(strata(complexity, classes)), *metrics, *pooled)
-    grouped = spread.groupBy(*by, "stratum_kind", "stratum").agg(
+    finest = scored.groupBy(*by, keys.stratum_text(complexity).alias("_complexity"), keys.labels_or_default(classes).alias("_classes")).agg(
         F.count("*").alias("n"),
-        *[F.avg(m).alias(m) for m in metrics],
+        *[F.sum(F.col(m).cast("double")).alias(m) for m in metrics],
+        *[F.count(m).alias(f"_n_{m}") for m in metrics],
+        *[F.sum(c).alias(c) for c in pooled],
+    )
+    spread = finest.withColumn("_strata", strata(F.col("_complexity"), F.col("_classes"))).select(*by, F.inline("_strata"), "n", *metrics, *[f"_n_{m}" for m in metrics], *pooled)
+    grouped = spread.groupBy(*by, "stratum_kind", "stratum").agg(
+        F.sum("n").alias("n"),
+        *[F.try_divide(F.sum(m), F.sum(f"_n_{m}")).alias(m) for m in metrics],
         *[F.sum(c).alias(c) for c in pooled],
     )
     if pooled:
