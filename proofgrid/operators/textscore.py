@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType
 
 from proofgrid.functions import answers, tokens
 from proofgrid.functions.stem import stemmed
-from proofgrid.session import together
+from proofgrid.session import stored, together
 
 # Fixed values of the published metrics.
 BLEU_ORDER = 4
@@ -274,9 +274,9 @@ def score_answers(
     predictions: DataFrame, key: list[str], reference: str = "reference", prediction: str = "prediction",
     synonyms: DataFrame | None = None,
 ) -> DataFrame:
-    """All input columns plus a ``metrics`` struct of the six scores."""
+    """All input columns plus a ``metrics`` struct of the six scores; the stems, which two of them need, are made once."""
     exact = answers.exact_match(answers.normalised(F.col(reference)), answers.normalised(F.col(prediction)))
-    ready = rouge_ready(predictions, key, reference, prediction)
+    ready = stored(rouge_ready(predictions, key, reference, prediction), "stems")
     scored = predictions.withColumn("exact_match", exact)
     for part in (
         sentence_bleu(predictions, key, reference, prediction),
