@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from proofgrid.llm.common import ascii_lower, stored
 
-VALUE = r"[A-Za-z0-9+/_=-]{16,}"
-CANDIDATE = rf"(?=[A-Za-z0-9+/_=-]*[A-Za-z0-9]){VALUE}"  # a rule of marks only is none
+VALUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"  # whole runs only, so that a search never goes back
+HELD = "[A-Za-z0-9]"  # what a value has at least one of; a rule of marks is none
 KEYWORD = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api|auth|bearer|credential|access|private|key)"
 ASSIGNED = r"^[\"'`(\[<{]*(?:=|:|:=|=>|->)[\"'`(\[<{]*$"
-OPENING, CLOSING = r"[\"'`(\[<{]*", r"[\"'`)\]>},;.]*"
-NAMED = KEYWORD + rf"[A-Za-z0-9_-]*[\"'`)\]]*(?:=>|:=|->|=|:){OPENING}"  # a credential word, up to its value
-WHOLE = rf"({VALUE}(?=[^A-Za-z0-9]*$)|[^\s\"'`]+?){CLOSING}(?:[\"'`].*|[^A-Za-z0-9]*)$"  # a value up to its quote; marks after a long run are not its own
-VALUE_IN_WORD, VALUE_AFTER = NAMED + WHOLE, "^" + OPENING + WHOLE
+OPENING = r"[\"'`(\[<{]*"
+NAME = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?" + KEYWORD + r")[A-Za-z0-9_-]++"  # a whole name with a credential word in it
+NAMED = NAME + rf"(?:(?<=-)>|[\"'`)\]]*+(?:=>|:=|->|=|:)){OPENING}"  # such a name, up to its value
+NAMED_VALUE = NAMED + r"[^\s\"'`]"
 VALUE_IN_URL = r"://[^\s/:@]*:([^\s/]+)@"  # what stands for the user in an address
 MIN_DOCUMENTS = 3  # that a dictionary word stands in
 MOST_LABELLED = 20_000  # labelled findings, chosen by hash, that the forest is fitted on
@@ -30,6 +30,21 @@ FEATURES = [
 ]
 
 
+def _assigned(rest: Column) -> Column:
+    """The value that ``rest``, the word after an assignment and opening marks, starts with.
+
+    A long run that only marks follow is the value with all its own marks. Else the value goes up to the first quote,
+    without closing marks, and without any marks if no letter or digit comes later. Each step reads the rest once.
+    """
+    run = F.regexp_extract(rest, r"^[A-Za-z0-9+/_=-]{16,}+", 0)
+    after_run = F.substring(rest, F.length(run) + 1, F.length(rest))
+    head = F.regexp_extract(rest, r"^[^\s\"'`]++", 0)
+    tail = F.substring(rest, F.length(head) + 1, F.length(rest))
+    last = F.regexp_replace(head, r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
+    unclosed = F.regexp_replace(head, r"(?<![)\]>},;.])[)\]>},;.]++$", "")
+    return F.when((run != "") & ~after_run.rlike(HELD), run).when(tail.rlike(HELD), unclosed).otherwise(last)
+
+
 def candidates(texts: DataFrame, *others: str) -> DataFrame:
     """Rows of ``others, word_at, word, before, before2, after, value``: words that hold a candidate value.
 
@@ -46,22 +61,23 @@ def candidates(texts: DataFrame, *others: str) -> DataFrame:
         F.transform(
             words,
             lambda w, i: F.when(
-                w.rlike(CANDIDATE) | w.rlike(VALUE_IN_WORD) | w.rlike(VALUE_IN_URL) | named(i),
+                w.rlike(VALUE) | w.rlike(NAMED_VALUE) | w.rlike(VALUE_IN_URL) | named(i),
                 F.struct(i.alias("word_at"), w.alias("word"), near(i - 1).alias("before"), near(i - 2).alias("before2"), near(i + 1).alias("after")),
             ),
         ),
         lambda s: s.isNotNull(),
     )
-    some = texts.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(KEYWORD) | F.col("text").rlike(VALUE_IN_URL)).select(*others, F.split("text", r"\s+").alias("_words"))
+    some = texts.filter(F.col("text").rlike(VALUE) | F.col("text").rlike(KEYWORD) | F.col("text").rlike(VALUE_IN_URL)).select(*others, F.split("text", r"\s+").alias("_words"))
     rows = some.select(*others, F.explode(held).alias("_c")).select(*others, "_c.*")
     after_name = F.col("before").rlike(NAMED + "$") | (F.col("before").rlike(ASSIGNED) & F.col("before2").rlike(KEYWORD))
-    bare = F.regexp_extract("word", VALUE_AFTER, 1)
+    bare = _assigned(F.regexp_extract("word", f"(?s)^{OPENING}+(.*)$", 1))
+    in_word = _assigned(F.regexp_extract("word", f"(?s){NAMED}+(.*)$", 1))
     special = F.array(
-        F.regexp_extract("word", VALUE_IN_URL, 1), F.when(~F.col("word").contains("://"), F.regexp_extract("word", VALUE_IN_WORD, 1)),
-        F.when(after_name & ~F.col("word").rlike(VALUE_IN_WORD), bare),
+        F.regexp_extract("word", VALUE_IN_URL, 1), F.when(~F.col("word").contains("://"), in_word),
+        F.when(after_name & ~F.col("word").rlike(NAMED_VALUE), bare),
     )
-    special = F.array_distinct(F.filter(special, lambda v: v.isNotNull() & v.rlike("[A-Za-z0-9]")))
-    runs = F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"))
+    special = F.array_distinct(F.filter(special, lambda v: v.isNotNull() & v.rlike(HELD)))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({VALUE})")), lambda v: v.rlike(HELD))
     rows = rows.withColumn("_special", special)
     whole = F.filter(runs, lambda v: ~F.exists("_special", lambda s: s.contains(v)))
     return rows.withColumn("value", F.explode(F.concat("_special", whole))).drop("_special")
@@ -155,11 +171,13 @@ def scan(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     ``labels`` may hold checked findings as ``value, label``; else the plain ones of the scan itself
     teach the forest (``decisive``). Null texts have no findings, empty ones neither; null ids are kept,
-    repeated rows give repeated findings. Extra columns are not read.
+    repeated rows give repeated findings, and equal values tie: each is judged by its own place. Texts of any length
+    are searched in time that grows with their length, also long rules of marks. Extra columns are not read.
     """
     texts = documents.select("doc_id", "text")
-    # stored: the forest, the labels and the result read the same findings
-    featured = stored(with_features(candidates(texts, "doc_id"), texts), "findings")
+    # stored: values, dictionary runs and features read the same candidates; the forest, the labels and the result the same findings
+    found = stored(candidates(texts, "doc_id"), "candidates")
+    featured = stored(with_features(found, texts), "findings")
     if labels is None:
         labelled = featured.withColumn("label", decisive(featured))
     else:
