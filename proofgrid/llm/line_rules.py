@@ -3,20 +3,44 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = " \t\n\x0b\x0c\r"
-_ENDINGS = ".!?…\"'”’»)"
+
+
+def _endings() -> str:
+    """What a sentence can end with, as the inside of a character class.
+
+    Sentence ends of all scripts as Unicode lists them, quotation marks of either side (they close in one language or
+    another), closing brackets beyond ASCII, and the letters of Thai and Lao, which end sentences without a mark.
+    """
+    closes = lambda c: unicodedata.category(c) in ("Pi", "Pf") or (unicodedata.category(c) == "Pe" and c > "\x7f")
+    marks = [c for c in map(chr, range(sys.maxunicode + 1)) if closes(c) or regex.match(r"\p{Sentence_Terminal}", c)]
+    return "".join(rf"\U{ord(c):08x}" for c in [*"\"')…", *marks]) + r"\U00000e01-\U00000edf"
+
+
+_ENDINGS = _endings()
+_ENDED = re.compile(f"[{_ENDINGS}]")
 _MARKED = re.compile(r"[!-/:-@\[-`{-~]{2}(?=[ \t-\r]|\Z)")  # a word that ends with two marks
 _SEPARATOR = re.compile(r"(?:(?<=[ \t-\r])|\A)[|>»›·](?=[ \t-\r]|\Z)")
-_BOILERPLATE = re.compile(
-    r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies"
-    r"|enable javascript|subscribe to our newsletter|lorem ipsum|\(c\) copyright|under the [a-z0-9.]+ license"
-)
+#: Boilerplate phrases per language, as regular expressions without look-around or apostrophes.
+PHRASES = {
+    "en": (
+        "all rights reserved", "terms of (?:use|service)", "privacy policy", "cookie policy", "accept cookies", "enable javascript",
+        "subscribe to our newsletter", "lorem ipsum", r"\(c\) copyright", "under the [a-z0-9.]+ license",
+    ),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "newsletter abonnieren"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies"),
+    "es": ("todos los derechos reservados", "política de privacidad", "aviso legal", "aceptar (?:las )?cookies"),
+}
 _SYMBOLS = "#*$%&|<>"
 
 MARKED_SHARE = 30  # per cent of a line's words
@@ -32,14 +56,22 @@ SCHEMA = (
 )
 
 
-def failing(line: str, words: int) -> int:
+def boilerplate(phrases: Mapping[str, tuple[str, ...]] = PHRASES) -> str:
+    """One pattern for the phrases of all languages; no phrase, no match."""
+    return "(?i)" + ("|".join(p for some in phrases.values() for p in some) or r"\A\b\B")
+
+
+_BOILERPLATE = re.compile(boilerplate())
+
+
+def failing(line: str, words: int, phrases: re.Pattern = _BOILERPLATE) -> int:
     """0 for a line that stays, else 1 punctuation, 2 navigation, 3 boilerplate (the first that holds)."""
     last = line.rstrip(_SPACE)[-1]
-    if last not in _ENDINGS or 100 * len(_MARKED.findall(line)) >= MARKED_SHARE * words:
+    if not _ENDED.match(last) or 100 * len(_MARKED.findall(line)) >= MARKED_SHARE * words:
         return 1
     if 100 * len(_SEPARATOR.findall(line)) >= SEPARATOR_SHARE * words:
         return 2
-    return 3 if _BOILERPLATE.search(line) else 0
+    return 3 if phrases.search(line) else 0
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -61,7 +93,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def measure(text: str | None) -> tuple:
+def measure(text: str | None, phrases: re.Pattern = _BOILERPLATE) -> tuple:
     """All figures of one text, its verdict and what stays of it."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -81,7 +113,7 @@ def measure(text: str | None) -> tuple:
         lines += 1
         dup += line in seen
         seen.add(line)
-        rule = failing(line, size)
+        rule = failing(line, size, phrases)
         failed[rule] += 1
         if rule:
             lost += size
@@ -92,12 +124,13 @@ def measure(text: str | None) -> tuple:
     return n, word_chars, symbols, dup, repeats, base_failed, kept, lines, *failed[1:], lost, "\n".join(stays)
 
 
-def clean(documents: DataFrame) -> DataFrame:
+def clean(documents: DataFrame, phrases: Mapping[str, tuple[str, ...]] = PHRASES) -> DataFrame:
     """One row per document: figures, ``base_failed``, ``kept`` and ``clean_text`` (its lines that pass).
 
     Lines are split at ``\\n``; those without a word are neither judged nor counted and stay.
     A line fails by its marks (no closing punctuation at its end, or many words that end in two
-    marks), as navigation (many lone separators) or as boilerplate (fixed phrases). A document that
+    marks), as navigation (many lone separators) or as boilerplate (``phrases`` per language). A sentence may end as in any script
+    (``_endings``). A document that
     loses more than 30 % of its words is not kept, nor is one that fails the base rules.
     Texts are worked on where they are read, whole, without a shuffle: any group of copies or hot
     source is spread as the input is.
@@ -107,10 +140,11 @@ def clean(documents: DataFrame) -> DataFrame:
     """
 
     names = [c.split()[0] for c in SCHEMA.split(",")]
+    pattern = re.compile(boilerplate(phrases))
 
     @F.pandas_udf(SCHEMA)
     def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=names)
+        return pd.DataFrame([measure(t, pattern) for t in texts], columns=names)
 
     # nondeterministic, so that a filter on the result does not make Spark run it twice
     return documents.select("doc_id", measured.asNondeterministic()("text").alias("_m")).select("doc_id", "_m.*")
@@ -120,6 +154,7 @@ def query(documents: DataFrame) -> DataFrame:
     return clean(documents).drop("clean_text")
 
 
+_SQL_ENDINGS = re.sub(r"\\U([0-9a-f]{8})", r"\\x{\1}", _ENDINGS)
 _W = r"[^\x20\x09-\x0D]+"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -131,7 +166,7 @@ l0 AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 l AS (SELECT r, line, regexp_extract_all(line, '{_W}') AS words FROM l0 WHERE regexp_matches(line, '{_W}')),
 judged AS (
   SELECT r, line, len(words) AS size,
-    CASE WHEN NOT regexp_matches(words[-1], '[.!?\x{{2026}}"''\x{{201D}}\x{{2019}}\x{{00BB}})]$')
+    CASE WHEN NOT regexp_matches(words[-1], '[{_SQL_ENDINGS}]$')
            OR 100 * len(list_filter(words, lambda x: regexp_matches(x, '[!-/:-@\[-`{{-~][!-/:-@\[-`{{-~]$'))) >= {MARKED_SHARE} * len(words) THEN 1
          WHEN 100 * len(list_filter(words, lambda x: regexp_matches(x, '^[|>\x{{00BB}}\x{{203A}}\x{{00B7}}]$'))) >= {SEPARATOR_SHARE} * len(words) THEN 2
          WHEN regexp_matches(line, '{_BOILERPLATE.pattern}') THEN 3 ELSE 0 END AS rule
