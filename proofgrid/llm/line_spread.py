@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import row_key, stored
+from proofgrid.llm.common import WORD, n_words, row_key, stored
 
-MIN_SITES = 10
+MIN_SITES = 10  # for a short line, which sites may also come to have in common by themselves
+LONG_LINE = 20  # words; texts of this length do not agree by chance
+LONG_MIN_SITES = 4  # for a long line: copies of one document lie on two or three sites
 SKETCH_BITS = 12  # 4096 registers: a standard error of 1.6 per cent
 MARGIN = 0.1  # estimates this near the threshold, six standard errors, are counted exactly
 _BLANK = " \t\r\f\u000b"
@@ -19,14 +21,18 @@ def _lines(text: str = "text") -> Column:
 
 def _exploded(documents: DataFrame, key: list[str]) -> DataFrame:
     """A row per line with a word: document key, site, place, and 128 bits that stand for the line."""
-    kept = documents.select(*row_key(*key), "doc_id", F.coalesce("source", F.lit("\u0001")).alias("site"), F.posexplode(_lines()).alias("at", "raw"))
+    # keys come first: beside the explosion they would be made of the whole text again for each line
+    whole = documents.select(*row_key(*key), "doc_id", F.coalesce("source", F.lit("\u0001")).alias("site"), "text")
+    kept = whole.select("_k1", "_k2", "doc_id", "site", F.posexplode(_lines()).alias("at", "raw"))
     line = F.trim(F.col("raw"), F.lit(_BLANK))
     hashed = kept.withColumn("line", line).filter("line <> ''")
-    return hashed.select("_k1", "_k2", "doc_id", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    return hashed.select("_k1", "_k2", "doc_id", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), n_words(F.col("line")).alias("size"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Lines (``h1, h2``) on at least ``min_sites`` sites, with the place of their first occurrence.
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, long_min_sites: int = LONG_MIN_SITES, long_line: int = LONG_LINE) -> DataFrame:
+    """Lines (``h1, h2``) on enough sites, with the place of their first occurrence.
+
+    A line of ``long_line`` words or more needs ``long_min_sites``, any other ``min_sites``.
 
     A sketch of sites per line is built inside each task and merged by the aggregation, so a line
     that is everywhere moves as one sketch per task. Lines whose estimate is within ``MARGIN`` of the
@@ -34,21 +40,24 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "at")
     spread = lines.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"), F.min(place).alias("first")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"), F.min(place).alias("first"), F.max("size").alias("size")
     )
-    low, high = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
-    wide = stored(spread.filter(F.col("sites") >= F.floor(F.lit(low))), "line-spread")
-    near = wide.filter(F.col("sites") <= F.ceil(F.lit(high))).select("h1", "h2")
+    needed = F.when(F.col("size") >= long_line, long_min_sites).otherwise(min_sites)
+    wide = stored(spread.filter(F.col("sites") >= F.floor(needed * (1 - MARGIN))), "line-spread")
+    near = wide.filter(F.col("sites") <= F.ceil(needed * (1 + MARGIN))).select("h1", "h2")
     pairs = lines.select("h1", "h2", "site").join(near, ["h1", "h2"], "left_semi")
     exact = pairs.distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     judged = wide.join(exact, ["h1", "h2"], "left")
-    return stored(judged.filter(F.coalesce("exact", "sites") >= min_sites).select("h1", "h2", "first"), "boilerplate")
+    return stored(judged.filter(F.coalesce("exact", "sites") >= needed).select("h1", "h2", "first"), "boilerplate")
 
 
-def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def without_boilerplate(
+    documents: DataFrame, min_sites: int = MIN_SITES, long_min_sites: int = LONG_MIN_SITES, long_line: int = LONG_LINE
+) -> DataFrame:
     """``documents`` with ``clean_text``, ``n_lines`` (lines with a word) and ``n_removed``.
 
-    A site is a source; null is a site of its own. Lines are compared without white space at their
+    A site is a source; null is a site of its own. A line is boilerplate from ``min_sites`` sites on, and from
+    ``long_min_sites`` if it has ``long_line`` words or more. Lines are compared without white space at their
     ends. Each boilerplate line stays once, where it comes first by document id (null last), and place;
     all its other occurrences go. Blank lines are no lines here and stay.
 
@@ -62,7 +71,7 @@ def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> Dat
     """
     key = ["doc_id", "source", "text"]
     lines = _exploded(documents, key)
-    found = boilerplate(lines, min_sites)
+    found = boilerplate(lines, min_sites, long_min_sites, long_line)
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "at")
     marked = lines.join(found, ["h1", "h2"]).filter(~first.eqNullSafe(F.col("first")))
     gone = marked.groupBy("_k1", "_k2").agg(F.collect_set("at").alias("_gone"))
@@ -70,9 +79,10 @@ def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> Dat
     own = documents.drop("clean_text", "n_lines", "n_removed")
     key1, key2 = row_key(*key, names=("_d1", "_d2"))
     joined = own.withColumns({"_d1": key1, "_d2": key2}).join(gone, (F.col("_d1") == F.col("_g1")) & (F.col("_d2") == F.col("_g2")), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(_lines(), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    )
+    # the text is split once, and places are taken out as a set: the work grows with the lines
+    stays = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    cut = F.transform(F.array(_lines()), lambda lines: F.array_join(F.transform(stays(lines), lambda i: F.get(lines, i)), "\n"))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.get(cut, 0))
     n_lines = F.size(F.filter(_lines(), lambda line: F.trim(line, F.lit(_BLANK)) != ""))
     return joined.select(
         *own.columns,
@@ -92,7 +102,8 @@ WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FRO
 l0 AS (SELECT doc_id, coalesce(source, chr(1)) AS site, lines, unnest(generate_series(1, len(lines))) AS pos FROM d),
 l AS (SELECT doc_id, site, pos, trim(lines[pos], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l0),
 n AS (SELECT doc_id, pos, line FROM l WHERE line <> ''),
-b AS (SELECT line, min(struct_pack(d := doc_id, a := pos)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+b AS (SELECT line, min(struct_pack(d := doc_id, a := pos)) AS first FROM l WHERE line <> '' GROUP BY line 
+  HAVING count(DISTINCT site) >= CASE WHEN len(regexp_extract_all(line, '{WORD}')) >= {LONG_LINE} THEN {LONG_MIN_SITES} ELSE {MIN_SITES} END),
 gone AS (SELECT doc_id, list(pos) AS pos FROM n JOIN b USING (line) WHERE struct_pack(d := doc_id, a := pos) <> first GROUP BY doc_id),
 c AS (SELECT doc_id, count(*) AS n FROM n GROUP BY doc_id)
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines, coalesce(len(gone.pos), 0)::BIGINT AS n_removed,
