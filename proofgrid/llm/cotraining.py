@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ PSEUDO_WEIGHT = 0.5
 FOLDS = 5
 RIDGE = 1.0
 KEEP_FROM = 0.5
+MOST_SUMS = 32  # rows of sums that a pass sends to the driver
 SOURCES, LANGUAGES = 32, 8  # slots that names are hashed into
 
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@]")
@@ -285,13 +287,46 @@ def _share(id_: str, rows: int, most: int):
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(id_)), F.lit(parts)) < int(min(1.0, most / max(1, rows)) * parts)
 
 
+def added(rows: DataFrame, zero: np.ndarray, function: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+    """The sum of ``function`` over all parts of ``rows``.
+
+    A task sends one row of sums. More tasks than ``MOST_SUMS`` are added up on executors first, in ``MOST_SUMS`` groups
+    and in the order of the tasks, so the driver gets that many rows at most, whatever the number of tasks.
+    """
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            part = function(batch)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "sum": [total.tobytes()]})
+
+    def together(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values("task")
+        total = np.frombuffer(ordered["sum"].iloc[0]).copy()
+        for one in ordered["sum"].iloc[1:]:
+            total += np.frombuffer(one)
+        return pd.DataFrame({"task": [ordered["task"].iloc[0]], "sum": [total.tobytes()]})
+
+    sums = rows.mapInPandas(own, "task long, sum binary")
+    if rows.rdd.getNumPartitions() > MOST_SUMS:
+        sums = sums.groupBy(F.col("task") % MOST_SUMS).applyInPandas(together, "task long, sum binary")
+    total = zero
+    for row in sorted(sums.collect(), key=lambda r: r["task"]):
+        total = total + np.frombuffer(row["sum"])
+    return total
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> CoTrained:
     """The classifier from ``labels`` (``doc_id, quality``) and the documents.
 
     Labelled rows are about ``MOST_LABELLED`` documents, chosen by a hash of the id; all documents without
     a label take part in the rounds. Views are made by Spark once and stored; each Newton step and each choice of
     confident documents is one pass over them, of which the driver gets sums. Several labels of
-    a document count as their mean, and 0.5 as none. Null ids have no label; null labels are left out.
+    a document count as their mean, and 0.5 as none. Null ids have no label; null labels are left out. Rows that repeat a
+    labelled id count as one, with the least of their views (as bytes), whatever their number. Texts of any length are
+    read whole, once.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q <> 0.5")
     known = stored(known.select("doc_id", (F.col("q") > 0.5).cast("double").alias("label")), "quality-labels")
@@ -306,25 +341,16 @@ def fit(documents: DataFrame, labels: DataFrame) -> CoTrained:
     views = stored(rows.mapInPandas(measure, "doc_id long, a binary, b binary"), "quality-views")
     stack = lambda part, c, n: np.frombuffer(b"".join(part[c])).reshape(-1, n)
     both = lambda part: (stack(part, "a", TEXT_VIEW), stack(part, "b", METADATA_VIEW))
-    found = views.join(F.broadcast(some), "doc_id").toArrow().to_pandas().sort_values(["doc_id", "a", "b", "label"])  # bounded above
+    single = views.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct("a", "b", "label")).alias("v"))
+    found = single.select("doc_id", "v.*").toArrow().to_pandas().sort_values("doc_id")  # a row per id, bounded above
     pool: list[DataFrame] = []
 
     def sums(function: Callable[[Rows], np.ndarray]) -> np.ndarray:
         if not pool:
             pool.append(stored(views.join(known.select("doc_id"), "doc_id", "left_anti").select("a", "b"), "quality-pool"))
 
-        def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for batch in batches:
-                part = function(both(batch))
-                total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"sum": [total.tobytes()]})
-
-        total = function((np.zeros((0, TEXT_VIEW)), np.zeros((0, METADATA_VIEW))))
-        for row in pool[0].mapInPandas(added, "sum binary").collect():  # one row of sums per task
-            total = total + np.frombuffer(row["sum"])
-        return total
+        zero = function((np.zeros((0, TEXT_VIEW)), np.zeros((0, METADATA_VIEW))))
+        return added(pool[0], zero, lambda batch: function(both(batch)))
 
     return co_train(both(found), found["label"].to_numpy(float), sums)
 
