@@ -27,9 +27,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id; null ids stay."""
-    gone = near_dups.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(stored(gone, "near-gone"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: of the document with the smallest id, the least row where rows share that id.
+
+    Rows without an id are compared like all others, under a number from 2 ** 62 on, made of their cells, so they
+    stay only where no document with a smaller id is linked with them.
+    """
+    cells = F.xxhash64(F.lit("row"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0001")) for c in docs.columns])
+    own = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(cells, F.lit(1 << 62)))
+    rows = docs.withColumn("_own", own)
+    found = near_dups.near_duplicates(rows.select(F.col("_own").alias("doc_id"), "text"))
+    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("_own")).distinct(), "near-gone")
+    left = rows.join(gone, "_own", "left_anti")
+    ids = rows.select("_own").join(gone, "_own", "left_anti")
+    repeated = stored(ids.groupBy("_own").count().filter("count > 1").select("_own"), "near-repeated")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    single = left.join(repeated, "_own", "left_anti").select(*docs.columns)
+    least = left.join(repeated, "_own").groupBy("_own").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return single.union(least.select("_row.*"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
