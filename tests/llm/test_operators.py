@@ -1,11 +1,13 @@
 """Cases that the tables lack: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from proofgrid.llm import cotraining, flac, language_id, line_rules, line_spread, mixing, near_dups, packing, secrets, url_rules
 from tests.llm.test_queries import brute_components, check_pieces, word_sets
 
@@ -164,6 +166,55 @@ def test_line_spread(spark):
     assert set(got[0].asDict()) >= {"kept", "score"}
 
 
+def test_long_passages_on_few_sites(spark):
+    passage = lambda p, n: " ".join(f"p{p}w{(p * 31 + j * j) % 997}" for j in range(n)) + "."
+    rows, planted = [], {}
+    for p in range(30):
+        sites = 4 + p % 6
+        for s in range(sites):
+            at = 1000 * p + s
+            planted[at] = s > 0
+            rows.append((at, f"Clean line {at} of its own.\n{passage(p, 55 if p % 2 else 20)}\nShort one {p}.", "en", f"s{s}"))
+    for p in range(30, 40):  # on three sites only, or one word short
+        rows += [(1000 * p + s, passage(p, 55 if s < 3 and p % 2 else 19) + f"\nown {p} {s}", "en", f"s{s}") for s in range(3 if p % 2 else 9)]
+    got = line_spread.without_boilerplate(documents(spark, rows)).collect()
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        lines = text[r.doc_id].split("\n")
+        if planted.get(r.doc_id):
+            assert r.clean_text == "\n".join([lines[0], lines[2]]) and r.n_removed == 1
+        else:
+            assert r.clean_text == text[r.doc_id] and r.n_removed == 0
+
+
+def test_many_removed_lines(spark):
+    lines = [f"line {i}" for i in range(40_000)]
+    rows = [(i, "\n".join([*lines, f"own {i}"]), "en", f"s{i}") for i in range(10)]
+    started = time.monotonic()
+    got = line_spread.without_boilerplate(documents(spark, rows)).collect()
+    assert time.monotonic() - started < 60  # the ten texts took minutes when each line was looked up in a list
+    assert all((r.clean_text, r.n_removed) == ((rows[0][1], 0) if r.doc_id == 0 else (f"own {r.doc_id}", 40_000)) for r in got)
+
+
+@pytest.mark.parametrize(
+    "sentence",
+    ["यह एक साफ़ वाक्य है।", "这 是 一个 很 好 的 句子。", "これは 良い 文 です。」", "هل هذا سؤال جيد؟", "นี่ คือ ประโยค ที่ ดี", "Մենք լավ ենք։", "„Das ist ein guter Satz.“"],
+)
+def test_sentences_end_in_all_scripts(spark, sentence):
+    text = "\n".join(f"{sentence[:-1]} {sentence}" for i in range(20))
+    text = "\n".join(f"{chr(0x915 + i)}{i} {line}" for i, line in enumerate(text.split("\n")))
+    assert line_rules.measure(text)[-2] == 0
+    assert line_rules.measure("plain heading without end\n" + text)[8] == 1
+
+
+def test_boilerplate_phrases_per_language(spark):
+    rows = [(1, "Tous droits réservés."), (2, "Alle Rechte vorbehalten."), (3, "Bitte hier klicken."), (4, "All rights reserved.")]
+    found = lambda **named: {r.doc_id for r in line_rules.clean(documents(spark, rows), **named).collect() if r.n_boilerplate_lines}
+    assert found() == {1, 2, 4}
+    assert found(phrases={"de": ("hier klicken",)}) == {3}
+    assert found(phrases={}) == set()
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7 + 1), "en", "abc"[i % 3] if i % 10 else None) for i in range(600)]
     rows += [(1000, "x", "en", "empty"), (1001, None, "en", "zero"), (5, rows[5][1], "en", rows[5][3])]
@@ -320,6 +371,61 @@ def test_short_punctuated_and_digit_free_secrets(spark):
     assert not any(r.is_secret for r in got if 80 <= r.doc_id < 200)
 
 
+def test_secrets_in_long_runs(spark):
+    rows = [
+        (1, "=" * 10**6), (2, "key" * 340_000), (3, "key=" + "=" * 10**6 + "!a"), (4, "key=a" + "!" * 10**6 + '"b'), (5, "key=a" + ");" * 500_000 + "b"),
+        (6, "-" * 10**6 + " key: " + "(" * 10**6 + "x"), (7, "key-" * 250_000 + "> a"), (8, "key)=(" * 150_000),
+    ]
+    started = time.monotonic()
+    got = secrets.candidates(documents(spark, rows), "doc_id").select("doc_id", "value").collect()
+    assert time.monotonic() - started < 120  # a pattern that goes back takes hours
+    found = lambda i: [r.value for r in got if r.doc_id == i]
+    assert found(1) == [] and found(2) == ["key" * 340_000] and found(4) == ["a" + "!" * 10**6] and found(6) == ["x"]
+    assert found(5) == ["a" + ");" * 500_000 + "b"]
+
+
+def test_values_after_names(spark):
+    cases = {
+        "secret-key->abc1": ["abc1"], "my_token=>'x.y'": ["x.y"], "api)=q!!": ["q"], 'pwd="a);"b': ["a"], "key=((": [], "keys": [], "notes=abc1": [],
+        "pwd=9f9f9f9f9f9f9f9f==;": ["9f9f9f9f9f9f9f9f==", "pwd=9f9f9f9f9f9f9f9f=="],
+        "pwd=9f9f9f9f9f9f9f9f!x": ["9f9f9f9f9f9f9f9f!x", "pwd=9f9f9f9f9f9f9f9f"], "=" * 40: [], "--a" + "=" * 40: ["--a" + "=" * 40],
+    }
+    got = secrets.candidates(documents(spark, list(enumerate(cases))), "doc_id").collect()
+    assert [[r.value for r in got if r.doc_id == i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_sums_do_not_grow_with_tasks(spark):
+    rows = spark.range(5000)
+    add = lambda batch: np.array([float(batch["id"].sum()), float(len(batch))])
+    for tasks in (3, 32, 200):
+        assert cotraining.added(rows.repartition(tasks), np.zeros(2), add).tolist() == [5000 * 4999 / 2, 5000]
+
+
+def test_labelled_id_repeated(spark):
+    good = lambda i: " ".join(f"Sentence {chr(97 + (i + j) % 26)} speaks of calm rivers and old towns." for j in range(4))
+    bad = lambda i: " ".join(f"#{j} || BUY {(i * 7 + j) % 100} $$ now!!" for j in range(4))
+    rows = [(i, bad(i) if i % 2 else good(i), "en", "b" if i % 2 else "a", 300) for i in range(200)]
+    df = documents(spark, rows, clash=False)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    many = df.union(df.filter("doc_id = 3").crossJoin(spark.range(100_000)).drop("id"))
+    one, other = cotraining.fit(df, labels), cotraining.fit(many, labels)
+    assert np.allclose(one.scores(cotraining._views(df.toPandas()))[2], other.scores(cotraining._views(df.toPandas()))[2])
+
+
+def test_near_duplicate_stage_keeps_one_row(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(1, text(1), "en", "s", 9)] * 3 + [(2, text(1), "en", "s", 9), (None, text(1), "en", "s", 9)]
+    rows += [(None, text(2), "en", "s", 9)] * 2 + [(None, text(2), "en", "t", 9), (7, None, None, None, None), (None, None, None, None, None), (8, "", "en", "s", 0)]
+    rows += [(9, text(3), "en", "s", 9), (9, text(4), "en", "s", 9)]
+    df = documents(spark, rows, clash=False)
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    want = [(1, text(1)), (None, text(2)), (7, None), (None, None), (8, ""), (9, text(3))]
+    assert kept == sorted(want, key=str)
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").collect() == []
+
+
 def lpc_frame(samples, order=2):
     """One 8-bit mono frame with a linear predictor of 2x - y (coefficients 4, -2, shift 1) and two Rice partitions."""
     bits = ""
