@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import sys
-import unicodedata
 from collections.abc import Mapping
 
 import numpy as np
@@ -22,8 +21,8 @@ def _endings() -> str:
     Sentence ends of all scripts as Unicode lists them, quotation marks of either side (they close in one language or
     another), closing brackets beyond ASCII, and the letters of Thai and Lao, which end sentences without a mark.
     """
-    closes = lambda c: unicodedata.category(c) in ("Pi", "Pf") or (unicodedata.category(c) == "Pe" and c > "\x7f")
-    marks = [c for c in map(chr, range(sys.maxunicode + 1)) if closes(c) or regex.match(r"\p{Sentence_Terminal}", c)]
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    marks = regex.findall(r"(?V1)[\p{Sentence_Terminal}\p{Pi}\p{Pf}[\p{Pe}--[\x00-\x7f]]]", every)
     return "".join(rf"\U{ord(c):08x}" for c in [*"\"')…", *marks]) + r"\U00000e01-\U00000edf"
 
 
@@ -31,7 +30,7 @@ _ENDINGS = _endings()
 _ENDED = re.compile(f"[{_ENDINGS}]")
 _MARKED = re.compile(r"[!-/:-@\[-`{-~]{2}(?=[ \t-\r]|\Z)")  # a word that ends with two marks
 _SEPARATOR = re.compile(r"(?:(?<=[ \t-\r])|\A)[|>»›·](?=[ \t-\r]|\Z)")
-#: Boilerplate phrases per language, as regular expressions without look-around or apostrophes.
+#: Boilerplate phrases per language, as regular expressions without look-around, anchors or apostrophes.
 PHRASES = {
     "en": (
         "all rights reserved", "terms of (?:use|service)", "privacy policy", "cookie policy", "accept cookies", "enable javascript",
@@ -56,22 +55,22 @@ SCHEMA = (
 )
 
 
-def boilerplate(phrases: Mapping[str, tuple[str, ...]] = PHRASES) -> str:
-    """One pattern for the phrases of all languages; no phrase, no match."""
-    return "(?i)" + ("|".join(p for some in phrases.values() for p in some) or r"\A\b\B")
+def searches(phrases: Mapping[str, tuple[str, ...]] = PHRASES) -> list[regex.Pattern]:
+    """A search per phrase: alone, each is found by the letters it must hold, where one pattern for all would be tried at every place."""
+    return [regex.compile("(?i)" + p) for some in phrases.values() for p in some]
 
 
-_BOILERPLATE = re.compile(boilerplate())
+_BOILERPLATE = searches()
 
 
-def failing(line: str, words: int, phrases: re.Pattern = _BOILERPLATE) -> int:
+def failing(line: str, words: int, phrases: list[regex.Pattern] = _BOILERPLATE) -> int:
     """0 for a line that stays, else 1 punctuation, 2 navigation, 3 boilerplate (the first that holds)."""
     last = line.rstrip(_SPACE)[-1]
     if not _ENDED.match(last) or 100 * len(_MARKED.findall(line)) >= MARKED_SHARE * words:
         return 1
     if 100 * len(_SEPARATOR.findall(line)) >= SEPARATOR_SHARE * words:
         return 2
-    return 3 if phrases.search(line) else 0
+    return 3 if any(p.search(line) for p in phrases) else 0
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -93,7 +92,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def measure(text: str | None, phrases: re.Pattern = _BOILERPLATE) -> tuple:
+def measure(text: str | None, phrases: list[regex.Pattern] = _BOILERPLATE) -> tuple:
     """All figures of one text, its verdict and what stays of it."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -101,6 +100,7 @@ def measure(text: str | None, phrases: re.Pattern = _BOILERPLATE) -> tuple:
     word_chars = len(text) - sum(text.count(c) for c in _SPACE)
     symbols = sum(text.count(c) for c in _SYMBOLS)
     repeats = repeated_words(words)
+    phrases = [p for p in phrases if p.search(text)]  # most texts hold none, so their lines are not searched
     seen: set[str] = set()
     dup = lines = lost = 0
     failed = [0, 0, 0, 0]
@@ -140,11 +140,11 @@ def clean(documents: DataFrame, phrases: Mapping[str, tuple[str, ...]] = PHRASES
     """
 
     names = [c.split()[0] for c in SCHEMA.split(",")]
-    pattern = re.compile(boilerplate(phrases))
+    patterns = searches(phrases)
 
     @F.pandas_udf(SCHEMA)
     def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t, pattern) for t in texts], columns=names)
+        return pd.DataFrame([measure(t, patterns) for t in texts], columns=names)
 
     # nondeterministic, so that a filter on the result does not make Spark run it twice
     return documents.select("doc_id", measured.asNondeterministic()("text").alias("_m")).select("doc_id", "_m.*")
@@ -155,6 +155,7 @@ def query(documents: DataFrame) -> DataFrame:
 
 
 _SQL_ENDINGS = re.sub(r"\\U([0-9a-f]{8})", r"\\x{\1}", _ENDINGS)
+_SQL_PHRASES = "(?i)" + "|".join(p for some in PHRASES.values() for p in some)
 _W = r"[^\x20\x09-\x0D]+"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -169,7 +170,7 @@ judged AS (
     CASE WHEN NOT regexp_matches(words[-1], '[{_SQL_ENDINGS}]$')
            OR 100 * len(list_filter(words, lambda x: regexp_matches(x, '[!-/:-@\[-`{{-~][!-/:-@\[-`{{-~]$'))) >= {MARKED_SHARE} * len(words) THEN 1
          WHEN 100 * len(list_filter(words, lambda x: regexp_matches(x, '^[|>\x{{00BB}}\x{{203A}}\x{{00B7}}]$'))) >= {SEPARATOR_SHARE} * len(words) THEN 2
-         WHEN regexp_matches(line, '{_BOILERPLATE.pattern}') THEN 3 ELSE 0 END AS rule
+         WHEN regexp_matches(line, '{_SQL_PHRASES}') THEN 3 ELSE 0 END AS rule
   FROM l),
 by_doc AS (
   SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (rule = 1) AS p, count(*) FILTER (rule = 2) AS n,
