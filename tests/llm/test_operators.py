@@ -446,6 +446,17 @@ def lpc_frame(samples, order=2):
     return frame + int(flac.crc16s(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]).to_bytes(2, "big")
 
 
+def test_each_phrase_is_found_in_either_case_and_only_in_its_line():
+    filler = "a plain line of seven words here."
+    for language, phrase in (("en", "all rights reserved"), ("en", "under the mit license"), ("de", "datenschutzerklärung"), ("es", "aceptar las cookies")):
+        for shown in (phrase, phrase.upper()):
+            text = "\n".join([filler, f"here {shown} there.", filler])
+            assert line_rules.measure(text)[10] == 1
+            assert line_rules.measure(text, line_rules.searches({language: line_rules.PHRASES[language]}))[10] == 1
+            assert line_rules.measure(text, line_rules.searches({}))[10] == 0
+    assert line_rules.measure(filler + "\nhere all rights\nreserved there.")[10] == 0
+
+
 def test_flac_linear_predictor_and_damage():
     x = (40 * np.sin(np.arange(192) / 9)).astype(np.int64)
     stream = flac._stream_info(len(x), hashlib.md5(x.astype(np.int8).tobytes()).digest()) + lpc_frame(x)
