@@ -107,7 +107,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
 
 #: The rules of the query, most of them listed, the others by host words.
-LISTED = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
+LISTED = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 RULES = [*[prefix_rule(n, v) for n, v in LISTED], *[host_word_rule(w) for w in SPAM_WORDS]]
 
 
