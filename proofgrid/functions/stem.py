@@ -7,6 +7,8 @@ whole vocabulary is stemmed inside generated code.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,3 +157,72 @@ def stemmed(vocabulary: DataFrame, word: str = "word", out: str = "stem") -> Dat
     known = _lookup(F.col(word), IRREGULAR)
     short = F.when(F.length(word) <= 2, F.col(word))
     return steps.withColumn(out, F.coalesce(known, short, w)).drop("_w", "_base", "_mended")
+
+
+def _starts(word: str, n: int) -> str:
+    """The word without its last ``n`` letters."""
+    return word[: max(len(word) - n, 0)]
+
+
+def _fits(word: str, pattern: str) -> bool:
+    shape = re.sub("yy", "yY", re.sub("(^|[aeiou])y", r"\1Y", word))
+    return re.search(pattern, shape) is not None
+
+
+def _without_suffix(word: str, suffixes, pattern: str) -> tuple[str, str]:
+    """The word's beginning and its longest listed suffix if the beginning has the measure, else the word and nothing."""
+    found = re.search(f"({_longest(suffixes)})$", word)
+    if found and _fits(word[: found.start()], pattern):
+        return word[: found.start()], found[0]
+    return word, ""
+
+
+def _mended_word(base: str) -> str:
+    if base.endswith(("at", "bl", "iz")):
+        return base + "e"
+    if len(base) >= 2 and base[-1] == base[-2] and _fits(base, f"{C}$"):
+        return base if base[-1] in "lsz" else base[:-1]
+    return base + "e" if _fits(base, M_IS_1) and _fits(base, CVC) else base
+
+
+def _past_word(w: str) -> str:
+    if w.endswith("ied"):
+        return w[:-1] if len(w) == 4 else w[:-2]
+    if w.endswith("eed"):
+        return w[:-1] if _fits(w[:-3], M_OVER_0) else w
+    for suffix in ("ed", "ing"):
+        if w.endswith(suffix) and _fits(_starts(w, len(suffix)), HAS_VOWEL):
+            return _mended_word(_starts(w, len(suffix)))
+    return w
+
+
+def stem_of(word: str) -> str:
+    """The stem that ``stemmed`` gives a word, for work that has its words at hand."""
+    if word in IRREGULAR or len(word) <= 2:
+        return IRREGULAR.get(word, word)
+    w = word
+    if w.endswith("ies") and len(w) == 4:
+        w = w[:-1]
+    elif w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    w = _past_word(w)
+    if w.endswith("y") and len(w) > 2 and _fits(w[:-1], f"{C}$"):
+        w = w[:-1] + "i"
+    if w.endswith("alli") and _fits(w[:-4], M_OVER_0):
+        w = w[:-2]
+    if w.endswith("logi"):
+        w = w[:-1] if _fits(w[:-3], M_OVER_0) else w
+    else:
+        rest, suffix = _without_suffix(w, STEP_2, M_OVER_0)
+        w = rest + STEP_2.get(suffix, "")
+    rest, suffix = _without_suffix(w, STEP_3, M_OVER_0)
+    w = rest + STEP_3.get(suffix, "")
+    rest, suffix = _without_suffix(w, STEP_4, M_OVER_1)
+    if suffix != "ion" or rest.endswith(("s", "t")):
+        w = rest
+    rest = _starts(w, 1)
+    if w.endswith("e") and (_fits(rest, M_OVER_1) or _fits(rest, M_IS_1) and not _fits(rest, CVC)):
+        w = rest
+    return w[:-1] if w.endswith("ll") and _fits(w[:-1], M_OVER_1) else w

@@ -1,19 +1,22 @@
 """Answer scores: exact match, sentence and corpus BLEU, ROUGE, METEOR.
 
 Every function takes rows with a unique ``key`` and works on the tokens of a row. Rows are
-first hash-partitioned by key; all later grouping by (key, ...) then stays inside a
-partition, so the text is shuffled once and its n-grams never.
+first hash-partitioned by key and a key's tokens are counted and aligned in one place, so
+the text is shuffled once, and its tokens and n-grams never become rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from proofgrid.functions import answers, tokens
-from proofgrid.functions.stem import stemmed
+from proofgrid.functions.stem import stem_of
 from proofgrid.session import stored, together
 
 # Fixed values of the published metrics.
@@ -25,46 +28,57 @@ METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 METRICS = ["exact_match", "bleu", "rouge1", "rouge2", "rougeL", "meteor"]
 
 
+def _split(text: str) -> list[str]:
+    return text.split(" ") if text else []
+
+
+def _clipped(references: list[str], predictions: list[str], orders: range) -> list[int]:
+    """Per order: n-grams common to both sides of a key's rows, each as often as the rarer side has it.
+
+    A row with no n-gram twice on one side counts its common ones at once, the others are counted together.
+    """
+    rows = [(_split(r), _split(p)) for r, p in zip(references, predictions)]
+    found = []
+    for n in orders:
+        matched, in_ref, in_pred = 0, Counter(), Counter()
+        for row in rows:
+            r, p = row if n == 1 else (list(zip(*[side[i:] for i in range(n)])) for side in row)
+            distinct_r, distinct_p = set(r), set(p)
+            if len(distinct_r) == len(r) or len(distinct_p) == len(p):
+                matched += len(distinct_r & distinct_p)
+            else:
+                in_ref.update(r)
+                in_pred.update(p)
+        found.append(matched + sum(min(k, in_pred[g]) for g, k in in_ref.items() if g in in_pred))
+    return found
+
+
 def ngram_overlap(rows: DataFrame, key: list[str], reference: str, prediction: str, orders: range) -> DataFrame:
     """Per key and n: clipped matches and the n-gram counts of both sides (``m1, r1, p1, ...``).
 
-    If no n-gram repeats on one side, the matches are the common n-grams and are counted
-    inside the row. Only the other lists are exploded, both sides together, and counted by
-    (key, n, gram). Either way the work is linear in the tokens.
+    Tokens hold no blank. A key's n-grams are counted where its tokens are and never become rows, so the work is
+    linear in the tokens and a task holds the n-grams of one key. A row without one side has no matches; it
+    counts only if its other side has no token twice.
     """
-    sides = [("r", reference), ("p", prediction)]
-    listed = rows.select(
-        *key,
-        *[F.size(c).alias(f"_size_{s}") for s, c in sides],
-        *[tokens.ngrams(F.col(c), n).alias(f"_{s}{n}") for n in orders for s, c in sides],
-    )
-    cell = lambda n, gram, r, p: F.struct(
-        F.lit(n).alias("n"), gram.alias("gram"), r.cast("bigint").alias("r"), p.cast("bigint").alias("p")
-    )
-    one, zero, nothing = F.lit(1), F.lit(0), F.lit(None).cast("string")
-    cells = [F.array(cell(0, nothing, F.col("_size_r"), F.col("_size_p")))]
-    for n in orders:
-        r, p = F.col(f"_r{n}"), F.col(f"_p{n}")
-        unrepeated = lambda grams: F.size(F.array_distinct(grams)) == F.size(grams)
-        common = F.size(F.array_intersect(r, p))
-        in_ref = F.transform(r, _counted(cell, n, one, zero))
-        in_pred = F.transform(p, _counted(cell, n, zero, one))
-        cells.append(
-            F.when(unrepeated(r) | unrepeated(p), F.array(cell(n, nothing, common, common))).otherwise(
-                F.concat(in_ref, in_pred)
-            )
-        )
-    spread = listed.select(*key, F.inline(F.concat(*cells)))
-    counted = spread.groupBy(*key, "n", "gram").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
-    matched = [F.sum(F.when(F.col("n") == n, F.least("r", "p"))).alias(f"m{n}") for n in orders]
-    size = lambda s: F.max(F.when(F.col("n") == 0, F.col(s))).alias(f"_size_{s}")
-    sums = counted.groupBy(*key).agg(*matched, size("r"), size("p"))
-    totals = [F.greatest(F.col(f"_size_{s}") - (n - 1), F.lit(0)).alias(f"{s}{n}") for n in orders for s, _ in sides]
-    return sums.select(*key, *[F.coalesce(f"m{n}", F.lit(0)).alias(f"m{n}") for n in orders], *totals)
-
-
-def _counted(cell, n: int, r: Column, p: Column):
-    return lambda gram: cell(n, gram, r, p)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def matches(references: pd.Series, predictions: pd.Series) -> pd.Series:
+        return pd.Series([_clipped(r, p, orders) for r, p in zip(references, predictions)])
+
+    r, p = F.col(reference), F.col(prediction)
+    unrepeated = lambda c: F.size(F.array_distinct(c)) == F.size(c)
+    counts = F.coalesce((r.isNotNull() & p.isNotNull()) | unrepeated(r) | unrepeated(p), F.lit(False))
+    # decided in the aggregate: as a filter it would make the tokens once more
+    text = lambda c: F.collect_list(F.when(counts, F.coalesce(F.array_join(c, " "), F.lit(""))).otherwise(""))
+    size = lambda c: F.max(F.when(counts, F.size(c)))
+    per_key = rows.groupBy(*key).agg(
+        text(r).alias("_ref"), text(p).alias("_pred"), size(r).alias("_size_r"), size(p).alias("_size_p"),
+        F.max(counts).alias("_counts"),
+    ).filter("_counts")
+    sums = per_key.select(*key, "_size_r", "_size_p", matches("_ref", "_pred").alias("_matches"))
+    matched = [F.get("_matches", F.lit(i)).alias(f"m{n}") for i, n in enumerate(orders)]
+    totals = [F.greatest(F.col(f"_size_{s}").cast("bigint") - (n - 1), F.lit(0)).alias(f"{s}{n}") for n in orders for s in "rp"]
+    return sums.select(*key, *matched, *totals)
 
 
 def brevity_penalty(reference_length: Column, prediction_length: Column) -> Column:
@@ -126,31 +140,29 @@ def f_measure(matched: Column, reference_total: Column, prediction_total: Column
     return F.coalesce(F.try_divide(2.0 * matched, reference_total + prediction_total), F.lit(0.0))
 
 
-def _stemmed_tokens(rows: DataFrame, key: list[str], sides: list[str], vocabulary_limit: int) -> DataFrame:
-    """``key, side, pos, word, stem`` for the token arrays in ``sides``.
+VOCABULARY_LIMIT = 1_000_000
 
-    The distinct words are stemmed once. Up to the limit, the table of stems is broadcast
-    to the tokens; a larger vocabulary is stemmed where its tokens are, which needs no
-    join on words and so knows no hot word.
-    """
-    listed = lambda side: F.transform(
-        F.col(side), lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("word"))
-    )
-    spread = rows.select(*key, F.inline(F.concat(*[listed(s) for s in sides])))
-    words = spread.select("word").distinct()
-    if words.limit(vocabulary_limit + 1).count() <= vocabulary_limit:
-        return spread.join(F.broadcast(stemmed(words)), "word")
-    return stemmed(spread)
+_STEMS: dict[str, str] = {}  # one per worker
 
 
-VOCABULARY_LIMIT = 1_000_000
+def _stem(word: str, limit: int) -> str:
+    """The stem of a word; a worker remembers those of ``limit`` words."""
+    found = _STEMS.get(word)
+    if found is None:
+        if len(_STEMS) >= limit:
+            _STEMS.clear()
+        found = _STEMS[word] = stem_of(word)
+    return found
 
 
 def rouge_ready(
     rows: DataFrame, key: list[str], reference: str, prediction: str, stemming: bool = True,
     vocabulary_limit: int = VOCABULARY_LIMIT,
 ) -> DataFrame:
-    """``key, ref_stems, pred_stems`` for the three ROUGE scores, from raw text."""
+    """``key, ref_stems, pred_stems`` for the three ROUGE scores, from raw text.
+
+    Words are stemmed where they are, without a row of their own.
+    """
     listed = together(rows.select(*key, reference, prediction), *key).select(
         *key,
         tokens.rouge_tokens(F.col(reference)).alias("ref"),
@@ -158,16 +170,23 @@ def rouge_ready(
     )
     if not stemming:
         return listed.withColumnsRenamed({"ref": "ref_stems", "pred": "pred_stems"})
-    found = _stemmed_tokens(listed, key, ["ref", "pred"], vocabulary_limit)
-    stem = F.when(F.length("word") > 3, F.col("stem")).otherwise(F.col("word"))
-    side = lambda s: F.transform(
-        F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("pos", stem.alias("stem"))))), lambda x: x["stem"]
-    )
-    gathered = found.groupBy(*key).agg(side("ref").alias("ref_stems"), side("pred").alias("pred_stems"))
-    none = F.array().cast("array<string>")  # rows without any token
-    return listed.select(*key).join(gathered, key, "left").select(
-        *key, *[F.coalesce(c, none).alias(c) for c in ("ref_stems", "pred_stems")]
-    )
+    word = lambda w: _stem(w, vocabulary_limit) if len(w) > 3 else w
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def stems(texts: pd.Series) -> pd.Series:
+        placed = ([(i, word(w)) for text in one for i, w in enumerate(_split(text))] for one in texts)
+        return pd.Series([[w for _, w in (sorted(p) if len(one) > 1 else p)] for one, p in zip(texts, placed)], dtype="object")
+
+    per_key = listed.groupBy(*key).agg(*_texts("ref", "pred"), F.count("*").cast("int").alias("_rows"))
+    gathered = per_key.select(*key, stems("ref").alias("ref_stems"), stems("pred").alias("pred_stems"), "_rows")
+    return gathered.select(*key, "ref_stems", "pred_stems", F.explode(F.array_repeat(F.lit(0), F.col("_rows")))).drop("col")
+
+
+def _texts(reference: str, prediction: str) -> list[Column]:
+    """Both sides of a key's rows as text, tokens with a blank between; a row without one side has no token."""
+    whole = F.col(reference).isNotNull() & F.col(prediction).isNotNull()
+    side = lambda c: F.collect_list(F.when(whole, F.array_join(c, " ")).otherwise("")).alias(c)
+    return [side(reference), side(prediction)]
 
 
 def rouge_n(ready: DataFrame, key: list[str]) -> DataFrame:
@@ -199,25 +218,36 @@ def rouge_l(ready: DataFrame, key: list[str]) -> DataFrame:
     return ready.select(*key, f_measure(common, F.size("ref_stems"), F.size("pred_stems")).alias("rougeL"))
 
 
-def _match(found: DataFrame, key: list[str], forms: list[str]) -> DataFrame:
-    """Pair lone tokens of equal form from the end: the k-th last of one side with the k-th last of the other.
+def _paired(refs: list, preds: list, form: Callable[[str], str]) -> tuple[list, list, list]:
+    """Pair tokens (position, word) of equal form, the k-th last of one side with the k-th last of the other.
 
-    ``found`` has a row per pair or lone token, with the positions in ``ref`` and ``pred``.
-    Pairs, and tokens without a form, pass through as they are.
+    Both sides ascend by position. Returns the pairs of positions and what is left of both sides.
     """
-    form, later = forms[0], forms[1:]
-    paired = F.col("ref").isNotNull() & F.col("pred").isNotNull()
-    side = F.when(paired, "both").when(F.col("ref").isNotNull(), "ref").otherwise("pred")
-    open_ = (side != "both") & F.col(form).isNotNull()
-    marked = found.withColumn("_side", side).withColumn("_form", F.when(open_, F.col(form)))
-    from_end = Window.partitionBy(*key, "_side", "_form").orderBy(F.desc(F.coalesce("ref", "pred")))
-    ranked = marked.withColumn("_k", F.row_number().over(from_end))
-    apart = F.when(F.col("_form").isNull(), F.col("_side")).alias("_apart")
-    ends = [F.max("ref").alias("ref"), F.max("pred").alias("pred")]
-    if form == "word":  # later forms follow from the word
-        return ranked.groupBy(*key, "_form", apart, "_k", *later).agg(*ends).select(*key, "ref", "pred", *later)
-    grouped = ranked.groupBy(*key, "_form", apart, "_k").agg(*ends, *[F.max(f).alias(f) for f in later])
-    return grouped.select(*key, "ref", "pred", *later)
+    open_: dict[str, list] = {}
+    for token in refs:
+        open_.setdefault(form(token[1]), []).append(token)
+    pairs, rest = [], []
+    for token in reversed(preds):
+        same = open_.get(form(token[1]))
+        if same:
+            pairs.append((same.pop()[0], token[0]))
+        else:
+            rest.append(token)
+    return pairs, sorted(t for same in open_.values() for t in same), rest[::-1]
+
+
+def _aligned(references: list[str], predictions: list[str], limit: int) -> tuple[list, list, list]:
+    """Pairs of positions from equal words, then equal stems, and the lone tokens of both sides."""
+    refs, preds = (sorted(t for text in texts for t in enumerate(_split(text))) for texts in (references, predictions))
+    exact, refs, preds = _paired(refs, preds, lambda w: w)
+    by_stem, refs, preds = _paired(refs, preds, lambda w: _stem(w, limit))
+    return exact + by_stem, refs, preds
+
+
+def _chunks(pairs: list[tuple[int, int]]) -> int:
+    """Runs of pairs that follow each other on both sides."""
+    along = sorted((p, r) for r, p in pairs)
+    return sum(1 for i, (p, r) in enumerate(along) if not i or (p - along[i - 1][0], r - along[i - 1][1]) != (1, 1))
 
 
 def _match_groups(found: DataFrame, key: list[str], synonyms: DataFrame) -> DataFrame:
@@ -246,27 +276,40 @@ def meteor(
     stand in several groups; a token is matched once all the same.
     """
     listed = _normal_tokens(rows, key, reference, prediction)
-    tokens_ = _stemmed_tokens(listed, key, ["ref", "pred"], vocabulary_limit)
-    forms = ["word", "stem"]
-    if synonyms is not None:
-        tokens_ = tokens_.withColumn("open_word", F.col("word"))
-    kept = ["open_word"] if synonyms is not None else []
-    at = lambda s: F.when(F.col("side") == s, F.col("pos")).alias(s)
-    found = tokens_.select(*key, at("ref"), at("pred"), *forms, *kept)
-    for i in range(len(forms)):
-        found = _match(found, key, [*forms[i:], *kept])
-    pairs = found.filter("ref is not null and pred is not null").select(*key, "ref", "pred")
-    if synonyms is not None:
+    sizes = F.collect_list(F.struct(F.size("ref").alias("r"), F.size("pred").alias("p"))).alias("_sizes")
+    per_key = listed.groupBy(*key).agg(*_texts("ref", "pred"), sizes)
+    if synonyms is None:
+
+        @F.pandas_udf(ArrayType(LongType()))
+        def totals(references: pd.Series, predictions: pd.Series) -> pd.Series:
+            pairs = (_aligned(r, p, vocabulary_limit)[0] for r, p in zip(references, predictions))
+            return pd.Series([[len(found), _chunks(found)] for found in pairs])
+
+        found = per_key.select(*key, "_sizes", totals("ref", "pred").alias("_totals"))
+        m = F.get("_totals", F.lit(0))
+        scored = found.select(*key, F.inline("_sizes"), F.when(m > 0, m).alias("m"), F.get("_totals", F.lit(1)).alias("chunks"))
+    else:
+
+        @F.pandas_udf("array<struct<ref int, pred int, open_word string>>")
+        def alignment(references: pd.Series, predictions: pd.Series) -> pd.Series:
+            cells = lambda pairs, refs, preds: [
+                *[{"ref": r, "pred": p, "open_word": None} for r, p in pairs],
+                *[{"ref": r, "pred": None, "open_word": w} for r, w in refs],
+                *[{"ref": None, "pred": p, "open_word": w} for p, w in preds],
+            ]
+            return pd.Series([cells(*_aligned(r, p, vocabulary_limit)) for r, p in zip(references, predictions)], dtype="object")
+
+        found = per_key.select(*key, alignment("ref", "pred").alias("_found")).select(*key, F.inline("_found"))
+        pairs = found.filter("ref is not null and pred is not null").select(*key, "ref", "pred")
         pairs = pairs.union(_match_groups(found, key, synonyms))
-    along = Window.partitionBy(*key).orderBy("pred")
-    follows = lambda c: F.coalesce(F.col(c) - F.lag(c).over(along) == 1, F.lit(False))
-    chained = pairs.withColumn("_new", ~(follows("pred") & follows("ref")))
-    totals = chained.groupBy(*key).agg(F.count("*").alias("m"), F.count_if("_new").alias("chunks"))
-    sizes = listed.select(*key, F.size("ref").alias("r"), F.size("pred").alias("p"))
+        along = Window.partitionBy(*key).orderBy("pred")
+        follows = lambda c: F.coalesce(F.col(c) - F.lag(c).over(along) == 1, F.lit(False))
+        chained = pairs.withColumn("_new", ~(follows("pred") & follows("ref")))
+        counts = chained.groupBy(*key).agg(F.count("*").alias("m"), F.count_if("_new").alias("chunks"))
+        scored = per_key.select(*key, F.inline("_sizes")).join(counts, key, "left")
     precision, recall = F.col("m") / F.col("p"), F.col("m") / F.col("r")
     mean = precision * recall / (METEOR_ALPHA * precision + (1 - METEOR_ALPHA) * recall)
     penalty = METEOR_GAMMA * F.pow(F.col("chunks") / F.col("m"), F.lit(METEOR_BETA))
-    scored = sizes.join(totals, key, "left")
     return scored.select(*key, F.coalesce(mean * (1 - penalty), F.lit(0.0)).alias("meteor"))
 
 

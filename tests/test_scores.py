@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from proofgrid.functions import stem
 from proofgrid.operators import calibration, gates, strata, textscore
 from proofgrid.operators.textscore import _lcs
 
@@ -213,3 +214,22 @@ def test_logistic_map_is_the_penalised_optimum(spark):
     assert (coefficient, intercept, n) == (pytest.approx(w[0], abs=1e-11), pytest.approx(w[1], abs=1e-11), 200)
     with pytest.raises(gates.GateError):
         calibration.fit_logistic(df.filter("y = 1"), "x", "y")
+
+
+def test_a_word_has_the_same_stem_in_a_row_and_in_a_vocabulary(spark):
+    made = [a + b for a in ("rat", "hopp", "sky", "y", "ye", "agre", "tri", "analog", "fall", "controll", "é", "") for b in (
+        "", "s", "ies", "sses", "ied", "eed", "ed", "ing", "y", "ational", "alli", "logi", "ization", "iveness", "icate", "ical", "ion", "ement", "ate", "e", "ll"
+    )]
+    vocabulary = spark.createDataFrame([(w,) for w in sorted({*made, *stem.IRREGULAR})], "word string")
+    assert all(stem.stem_of(r["word"]) == r["stem"] for r in stem.stemmed(vocabulary).collect())
+
+
+def test_tokens_and_n_grams_of_a_key_never_become_rows(spark, rows):
+    for scored in (
+        textscore.sentence_bleu(rows, ["i"], "reference", "prediction"),
+        textscore.corpus_bleu_counts(rows, ["i"], "reference", "prediction"),
+        textscore.rouge_n(textscore.rouge_ready(rows, ["i"], "reference", "prediction"), ["i"]),
+        textscore.meteor(rows, ["i"], "reference", "prediction"),
+    ):
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        assert not [step for step in ("Window", "Join", "gram#", "side#") if step in plan]
