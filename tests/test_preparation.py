@@ -63,6 +63,11 @@ def test_dedupe_conflicts_and_report_agree_with_a_plain_model(frame, annotations
     assert report["conflicting_image_question_groups_removed"] == sum(n > 1 for n in answers.values())
 
 
+def test_the_counts_of_a_merge_sort_no_rows(frame):
+    plan = dedupe.merge_report(collapsed(frame))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_audits_agree_with_plain_sets(frame, annotations):
     triples = lambda s: {r[:3] for r in annotations if r[3] == s}
     got = audit.overlap_audit(frame, F.col("origin") == "train", F.col("origin") == "test").first()
