@@ -172,8 +172,8 @@ def cluster_bootstrap_statistic(
     """Interval of a statistic that is not a mean but follows from sums per ``group``.
 
     ``statistic`` takes ``replicate, <group>, <sums>`` and returns ``replicate, estimate``.
-    Rows shrink to sums per cluster and group; a replicate adds them with the number of
-    times each cluster was drawn (``draws`` as in ``replicate_means``; with ``split`` a task
+    Rows shrink to sums per cluster and group; a replicate adds them as often as each
+    cluster was drawn (``draws`` as in ``replicate_means``; with ``split`` a task
     holds ``n_boot`` sums per group). A null among the sums fails the job.
     """
     _checked(draws)
@@ -185,9 +185,9 @@ def cluster_bootstrap_statistic(
     if draws == "split":
         pooled = _split_sums(located, group, sums, clusters, n_boot, seed)
     else:
-        times = _draws(rows, clusters, n_boot, seed).groupBy("replicate", "position").agg(F.count("*").alias("times"))
-        drawn = times.join(located, "position")
-        pooled = drawn.groupBy("replicate", *group).agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in sums])
+        # a draw is added where it meets its cluster; counting draws per position first would hold nearly all of them
+        drawn = _draws(rows, clusters, n_boot, seed).join(located.drop("cluster"), "position")
+        pooled = drawn.groupBy("replicate", *group).agg(*[F.sum(s).alias(s) for s in sums])
     whole = parts.groupBy(*group).agg(*[F.sum(s).alias(s) for s in sums]).withColumn("replicate", F.lit(-1).cast("bigint"))
     low, high = interval_positions(n_boot, ci)
     ordered = statistic(pooled).agg(F.sort_array(F.collect_list("estimate")).alias("e"))

@@ -76,6 +76,18 @@ def test_bootstrap_of_a_ratio_of_group_sums(spark):
     assert got["estimate"] == pytest.approx(plain([(g, v) for _, g, v in rows]))
 
 
+def test_a_bootstrap_draw_is_not_counted_per_position_first(spark):
+    df = spark.createDataFrame([(c, "a", float(c)) for c in range(9)], "c int, g string, v double")
+    seen = []
+
+    def total(sums):
+        seen.append(sums._jdf.queryExecution().optimizedPlan().toString())
+        return sums.groupBy("replicate").agg(F.sum("v").alias("estimate"))
+
+    stats.cluster_bootstrap_statistic(df, "c", ["g"], ["v"], total, n_boot=20).first()
+    assert not any("times#" in plan for plan in seen)
+
+
 def test_active_months_touch_the_month_at_either_end(spark):
     day = dt.date
     rows = [("a", day(2026, 1, 31), day(2026, 3, 1), "x"), ("b", day(2026, 2, 10), day(2026, 2, 10), "x"),
