@@ -57,7 +57,7 @@ def ngram_overlap(rows: DataFrame, key: list[str], reference: str, prediction: s
     """Per key and n: clipped matches and the n-gram counts of both sides (``m1, r1, p1, ...``).
 
     Tokens hold no blank. A key's n-grams are counted where its tokens are and never become rows, so the work is
-    linear in the tokens and a task holds the n-grams of one key. A row without one side has no matches; it
+    linear in the tokens and a task holds the n-grams of one key. Rows that share a key are summed. A row without one side has no matches; it
     counts only if its other side has no token twice.
     """
 
@@ -70,14 +70,14 @@ def ngram_overlap(rows: DataFrame, key: list[str], reference: str, prediction: s
     counts = F.coalesce((r.isNotNull() & p.isNotNull()) | unrepeated(r) | unrepeated(p), F.lit(False))
     # decided in the aggregate: as a filter it would make the tokens once more
     text = lambda c: F.collect_list(F.when(counts, F.coalesce(F.array_join(c, " "), F.lit(""))).otherwise(""))
-    size = lambda c: F.max(F.when(counts, F.size(c)))
+    size = lambda c: F.sum(F.when(counts, F.size(c)))
     per_key = rows.groupBy(*key).agg(
         text(r).alias("_ref"), text(p).alias("_pred"), size(r).alias("_size_r"), size(p).alias("_size_p"),
         F.max(counts).alias("_counts"),
     ).filter("_counts")
     sums = per_key.select(*key, "_size_r", "_size_p", matches("_ref", "_pred").alias("_matches"))
     matched = [F.get("_matches", F.lit(i)).alias(f"m{n}") for i, n in enumerate(orders)]
-    totals = [F.greatest(F.col(f"_size_{s}").cast("bigint") - (n - 1), F.lit(0)).alias(f"{s}{n}") for n in orders for s in "rp"]
+    totals = [F.greatest(F.col(f"_size_{s}") - (n - 1), F.lit(0)).alias(f"{s}{n}") for n in orders for s in "rp"]
     return sums.select(*key, *matched, *totals)
 
 

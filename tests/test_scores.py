@@ -233,3 +233,10 @@ def test_tokens_and_n_grams_of_a_key_never_become_rows(spark, rows):
     ):
         plan = scored._jdf.queryExecution().optimizedPlan().toString()
         assert not [step for step in ("Window", "Join", "gram#", "side#") if step in plan]
+
+
+def test_rows_that_share_a_key_are_summed(rows):
+    once = by_key(textscore.corpus_bleu_counts(rows, ["i"], "reference", "prediction"))
+    twice = by_key(textscore.corpus_bleu_counts(rows.union(rows), ["i"], "reference", "prediction"))
+    assert twice.keys() == once.keys()
+    assert all(twice[i][c] == 2 * once[i][c] for i in once for c in ("m1", "m2", "m3", "m4", "r1", "p1"))
