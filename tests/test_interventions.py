@@ -265,3 +265,56 @@ def test_seed_leaves_out_mode_and_treatment(spark):
     row = spark.createDataFrame([("i", "m", 0.05, 1)], "item_id string, method string, fraction double, repeat int")
     got = row.select(intervene.mask_seed(DESIGN), keys.stable_seed(F.lit(42), F.lit("i"), F.lit("m"), F.lit("0.05"), F.lit(1))).first()
     assert got[0] == got[1]
+
+
+def test_random_masks_are_the_first_of_the_shuffled_patches_also_at_ties(spark, monkeypatch):
+    rows = spark.createDataFrame([([0.0] * n, seed, k) for seed in range(8) for n, k in ((1, 1), (12, 3), (64, 19))] + [(None, 1, 1)],
+                                 "v array<double>, seed bigint, k int")
+    want = F.sort_array(F.slice(saliency.shuffled_patches(F.col("v"), F.col("seed")), 1, F.col("k")))
+    pairs = lambda: rows.select(want.alias("want"), saliency.random_mask(F.col("v"), F.col("seed"), F.col("k")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in pairs())
+    digits = saliency._hex
+    monkeypatch.setattr(saliency, "_hex", lambda text: F.substring(digits(text), 1, 1))  # sixteen hashes for 64 patches
+    want = F.sort_array(F.slice(saliency.shuffled_patches(F.col("v"), F.col("seed")), 1, F.col("k")))
+    tied = pairs()
+    assert all(r["got"] == r["want"] for r in tied) and len(tied) == 25
+
+
+def test_masks_of_a_grid_of_ten_round_half_even(spark):
+    got = spark.range(1).select(*[saliency.mask_size(F.array_repeat(F.lit(0.0), n), F.lit(f)) for n, f in ((10, 0.25), (10, 0.35), (6, 0.25), (3, 0.05))])
+    assert list(got.first()) == [2, 4, 2, 1]
+
+
+def test_replaced_patches_with_nulls_and_grids_of_all_sizes(spark):
+    rows = [([1.0, None, 3.0], [7.0, 8.0, 9.0], [1, 2]), ([1.0, 2.0], [None, 5.0], [0]), (None, [1.0], [0]), ([], [], []), ([4.0], [5.0], None),
+            ([1.0, 2.0, 3.0], [6.0], [0, 2, 9, None]), ([5.0], None, [0]), ([1.0] * 40, [2.0] * 40, list(range(0, 40, 2)))]
+    df = spark.createDataFrame(rows, "v array<double>, r array<double>, m array<int>").coalesce(1)
+    at = F.transform("v", lambda v, i: F.when(F.array_contains("m", i), F.get("r", i)).otherwise(v))
+    for r in df.select(intervene.deleted(F.col("v"), F.col("r"), F.col("m")).alias("got"), at.alias("want")).collect():
+        assert r["got"] == r["want"]
+    assert df.filter("get(v, 0) = 5").select(intervene.inserted(F.col("v"), F.array(F.lit(2.0)), F.array(F.lit(0)))).first()[0] == [5.0]
+
+
+def test_a_table_of_weights_scores_like_a_weight_function(spark):
+    rng = np.random.default_rng(3)
+    rows = [([float(v) for v in rng.normal(0, 1e3, 16)],) for _ in range(50)] + [(None,), ([1.0] * 15 + [None],), ([float("nan")] * 16,)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    table = intervene.linear_scorer([(i + 1) / 4.0 for i in range(16)])
+    for r in df.select(SCORER(F.col("v")).alias("want"), table(F.col("v")).alias("got")).collect():
+        assert r["got"] == r["want"] or (math.isnan(r["got"]) and math.isnan(r["want"]))
+    with pytest.raises(Exception, match="16 patches"):
+        spark.createDataFrame([([1.0],)], "v array<double>").select(table(F.col("v"))).collect()
+
+
+def test_scoring_works_on_whole_batches_after_items_are_dealt_out(spark):
+    table = intervene.linear_scorer([(i + 1) / 4.0 for i in range(16)])
+    got = intervene.run(items(spark), table, 4, DESIGN)
+    cols = ["intervention_id", "original_fixed_answer_mean_logprob", "fixed_answer_mean_logprob"]
+    want = {tuple(r) for r in intervene.run(items(spark), SCORER, 4, DESIGN).select(*cols).collect()}
+    assert {tuple(r) for r in got.select(*cols).collect()} == want
+    plan = got.select("item_id", "fixed_answer_mean_logprob")._jdf.queryExecution().executedPlan().toString()
+    steps = plan.split("\n")  # the last step first
+    grown = next(k for k, line in enumerate(steps) if "inline(uses" in line)
+    assert "ArrowEvalPython" in plan and not any("lambda" in line for line in steps[:grown])  # nothing patch by patch per intervention
+    dealt = next(k for k, line in enumerate(steps) if "Exchange" in line)
+    assert any("aggregate(" in line for line in steps[:dealt]) and not any("aggregate(" in line for line in steps[dealt:])  # smoothing comes after
