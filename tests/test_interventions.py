@@ -7,8 +7,10 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
+from proofgrid import session
 from proofgrid.functions import keys
 from proofgrid.operators import gates, intervene, saliency
+from proofgrid.plans import perturbation
 from proofgrid.sources import files, shapes
 from proofgrid.streaming import ingest
 
@@ -236,6 +238,55 @@ def test_repeats_within_the_wait_are_dropped_and_ids_leave_the_state(spark, tmp_
     assert max(held) <= 2 * rows.count() / len(ids) < rows.count()
 
 
+def test_ids_of_an_item_are_one_state_and_its_rows_lie_together(spark, tmp_path):
+    rows = arriving_rows(spark)
+    folder, store, mark = (str(tmp_path / d) for d in ("arriving", "store", "mark"))
+    part = F.conv(F.substring("intervention_id", 1, 4), 16, 10).cast("int") % 3
+    put(rows.filter(part == 0).repartition(3), folder, 0)
+    put(rows.filter(part <= 1).union(rows.filter("mode = 'targeted'")), folder, 1)
+    put(rows.union(rows), folder, 2)
+    query = ingest.ingest(ingest.result_stream(spark, folder, shapes.INTERVENTION, 1), store, mark)
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(held) >= 3 and max(held) == 3
+    stored = ingest.stored_results(spark, store)
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, rows.collect()))
+    files_of_an_item = stored.select("item_id", F.input_file_name().alias("file")).filter("file like '%batch=2%'").groupBy("item_id")
+    assert {r["n"] for r in files_of_an_item.agg(F.count_distinct("file").alias("n")).collect()} == {1}
+
+
+def test_ids_that_do_not_follow_from_their_rows_are_taken_once_whatever_the_item(spark, tmp_path):
+    own = arriving_rows(spark).filter("item_id = 'i0'").limit(1).collect()[0].asDict()
+    given = {**own, "item_id": "a", "intervention_id": "x1", "target_text": "line\nz\u00e4\U0001f600", "attribution_sha256": None}
+    bar = keys.intervention_id(*[F.lit(v) for v in ("a|m", "n", "d", "g", 0.1, "targeted", 0)])
+    bar = spark.range(1).select(bar).first()[0]  # the id of an item "a" with the method "m|n" too
+    barred = {"intervention_id": bar, "intervention": "d", "treatment": "g", "fraction": 0.1, "mode": "targeted", "repeat": 0}
+    first = [own, given, {**given, "intervention_id": None}, {**given, **barred, "item_id": "a|m", "method": "n"}, {**own, "target_text": ""}]
+    later = [{**given, "item_id": "b"}, {**given, "intervention_id": None, "item_id": None}, {**given, **barred, "item_id": "a", "method": "m|n"},
+             {**given, "intervention_id": "x2", "target_text": "", "fraction": float("nan")}, own]
+    folder, store, mark = (str(tmp_path / d) for d in ("arriving", "store", "mark"))
+    rows = lambda given: spark.createDataFrame(given, shapes.INTERVENTION).coalesce(1)
+    for hours, given_rows in enumerate((first, later, [])):
+        put(rows(given_rows), folder, hours)
+    ingest.ingest(ingest.result_stream(spark, folder, shapes.INTERVENTION, 1), store, mark).awaitTermination()
+    want = rows([*first[:4], later[3]])
+    assert sorted(map(repr, ingest.stored_results(spark, store).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_the_streamed_query_keeps_less_than_twenty_kilobytes_a_vector(spark, tmp_path, monkeypatch):
+    rng, n = np.random.default_rng(5), 200
+    vectors = spark.createDataFrame([(k, [float(v) for v in rng.normal(0, 1, 64)], k % 7) for k in range(n)], "vec_id bigint, embedding array<float>, label int")
+    vectors.write.parquet(str(tmp_path / "sf/embeddings.parquet"))
+    for module in (session, perturbation):
+        monkeypatch.setattr(module, "shared_folder", lambda spark, name: str(tmp_path / "kept" / name))
+    got = perturbation.streamed_level_effects(spark, str(tmp_path / "sf"))
+    want = perturbation.level_effects(spark, str(tmp_path / "sf"))
+    cols = ["item_id", "source_img_id", "method", "treatment", "fraction", "targeted_fixed_answer_mean_logprob"]
+    assert got.count() == 16 * n and got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    kept = sum(os.path.getsize(f) for f in glob.glob(str(tmp_path / "kept/**/*"), recursive=True) if os.path.isfile(f))
+    assert kept < 20_000 * n
+
+
 def test_insertion_area(spark):
     rows = spark.createDataFrame(
         [("i", "m", "targeted", 0.1, 1.0), ("i", "m", "targeted", 0.3, 2.0), ("i", "m", "random", 0.1, 1.0), ("i", "m", "random", 0.1, 3.0)],
